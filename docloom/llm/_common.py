@@ -88,7 +88,7 @@ def map_texts(
     return narrow.mapInArrow(run, schema)
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batch with about most bytes of text each: Python objects of long texts never pile up."""
     if batch.num_rows == 0 or batch.nbytes <= most:
         yield batch

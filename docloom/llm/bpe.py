@@ -131,16 +131,19 @@ class Codec:
                 last = out[-1] if out else -1
 
     def _segment(self, segment: str) -> tuple[int, ...]:
-        """Ids of a part of a text between two safe cuts, by its pattern matches."""
+        """Ids of a part of a text between two safe cuts, by its pattern matches. A match that begins with a space is
+        remembered as the segment that it is elsewhere."""
+        found = self.find.findall(segment) if len(segment) <= LONG else (m.group() for m in self.find.finditer(segment))
         ids: list[int] = []
-        for piece in self.find.findall(segment) if len(segment) <= LONG else (m.group() for m in self.find.finditer(segment)):
-            got = self.pieces.get(piece)
-            if got is None:
+        for piece in found:
+            spaced = piece[0] == " " and len(piece) > 1
+            memo = self.known if spaced else self.pieces
+            name = piece[1:] if spaced else piece
+            got = memo.get(name) or spaced and self.older.get(name)
+            if not got:
                 got = self.encode_piece(piece)
-                if len(piece) < 64:
-                    if len(self.pieces) >= PIECES:
-                        self.pieces = {}
-                    self.pieces[piece] = got
+                if len(piece) < 64 and len(memo) < PIECES:
+                    memo[name] = got
             ids += got
         return tuple(ids)
 
@@ -194,8 +197,12 @@ def _codec(shared, pattern: str) -> Codec:
     return cache[name]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
-    """docs' columns of keep (all by default) and an array of token ids of the whole text. Null: no ids. Any column named like out is replaced."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs' columns of keep (all by default) and out, an array of token ids of the whole text. Null: no ids.
+
+    With decoded, a column of that name has the bytes that the ids decode to, from the same worker. Any columns with the
+    new names are replaced.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -203,15 +210,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         codec = _codec(shared, pattern)
 
         def work(texts):
-            found, ends = array("i"), array("i", [0])
+            found, ends, back = array("i"), array("i", [0]), []
             for t in texts:
-                found.extend(codec.encode(t))
+                ids = codec.encode(t)
+                found.extend(ids)
                 ends.append(len(found))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(found), pa.int32()))]
+                if decoded:
+                    back.append(codec.decode(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(found), pa.int32()))
+            return [lists, pa.array(back, pa.binary())] if decoded else [lists]
 
         return work
 
-    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, [T.StructField(out, T.ArrayType(T.IntegerType(), False))], make)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, fields, make)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -223,7 +235,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: st
     def run(batches):
         name = shared.value.__getitem__
         for b in batches:
-            made = [None if x is None else b"".join(map(name, x)) for x in b.column(ids).to_pylist()]
+            made = [b"".join(map(name, x.values.to_numpy().tolist())) if x.is_valid else None for x in b.column(ids)]  # a row's ids at a time
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*b.schema.names, out])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())]))

@@ -43,8 +43,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    tokens = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    return bpe.digests(bpe.decode(tokens, ranks), "doc_id")
+    tokens = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded")
+    return bpe.digests(tokens, "doc_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
