@@ -38,8 +38,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, token ids, and whether they decode to the text's bytes."""
     ranks = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     body = docs.select("doc_id", "source", "lang", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("md5"))
-    tokens = bpe.encode(body, ranks, public_tokenizers.PATTERN, keep=["doc_id", "source", "lang", "md5"])
-    return bpe.decode(tokens, ranks).select("doc_id", "source", "lang", F.size("ids").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("md5")).alias("round_trip"))
+    tokens = bpe.encode(body, ranks, public_tokenizers.PATTERN, keep=["doc_id", "source", "lang", "md5"], decoded="decoded")
+    return tokens.select("doc_id", "source", "lang", F.size("ids").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("md5")).alias("round_trip"))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("encode", encode)]
