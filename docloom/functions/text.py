@@ -227,12 +227,18 @@ def graph_timeout(chars: Column, chunk_chars: int = 4800, seconds: int = 22, con
     return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(chunks * seconds / concurrency))).cast("long")
 
 
-def repair_record(line: Column) -> Column:
-    """An extraction record with the field it lacks: entities have four fields, relations five."""
-    parts = F.split(line, r"<\|#\|>")
-    entity = (F.get(parts, 0) == "entity") & (F.size(parts) == 3)
-    relation = (F.get(parts, 0) == "relation") & (F.size(parts) == 4)
-    return F.when(entity | relation, F.array_join(F.concat(parts, F.array(F.element_at(parts, -1))), "<|#|>")).otherwise(line)
+def repair_record(line: Column, delimiter: str = "<|#|>") -> Column:
+    """An extraction record with a default for the field it lacks: an entity's type, a relation's keywords."""
+    parts = F.split(F.trim(line), r"<\|#\|>")
+    kind = F.lower(F.trim(F.get(parts, 0)))
+    entity = F.array_join(F.array_insert(parts, 3, F.lit("category")), delimiter)
+    relation = F.array_join(F.array_insert(parts, 4, F.lit("related")), delimiter)
+    return F.when((kind == "entity") & (F.size(parts) == 3), entity).when(kind.isin("relation", "relationship") & (F.size(parts) == 4), relation).otherwise(line)
+
+
+def repair_extraction(text: Column) -> Column:
+    """Every short record of an extraction repaired, all other lines as they are."""
+    return F.array_join(F.transform(F.split(text, "\n"), repair_record), "\n")
 
 
 def parse_model_json(text: Column, schema: str) -> Column:

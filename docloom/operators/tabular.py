@@ -5,8 +5,10 @@ A grid is one row per sheet row: doc_id, sheet, row_idx, cells array<string>.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,21 +123,57 @@ def narrative(table: DataFrame, keys: Sequence[str], measures: Sequence[str], la
     return F.concat(F.lit(f"{context}: " if context else ""), F.concat_ws(", ", *said), F.lit("; " if said and told else ""), F.concat_ws(", ", *told))
 
 
-def regions(grid: DataFrame, misses: int = 1) -> DataFrame:
-    """H8, K5: for messy sheets the header whose run of rows of its width is longest: header_row and last row of the run.
-
-    A candidate is a row of at least two texts and no number; its run ends before the first row that isn't as wide. Of
-    equal runs the first wins. Candidates are rows, so runs come from the next break in row order, not from all pairs.
-    """
-    k = kinds(F.col("cells"))
-    filled = F.size(k) - count_of(k, "empty")
-    base = grid.select(*SHEET, "row_idx", filled.alias("filled"), ((count_of(k, "text") >= 2) & (count_of(k, "number") == 0)).alias("head"))
-    order = Window.partitionBy(*SHEET).orderBy("row_idx")
-    marks = base.withColumn("same", F.coalesce(F.col("filled") == F.lag("filled").over(order), F.lit(False)))
-    marks = marks.withColumn("run", F.sum((~F.col("same")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marks.groupBy(*SHEET, "run").agg(F.min(F.when(F.col("head"), F.col("row_idx"))).alias("header_row"), F.max("row_idx").alias("end_row")).filter("header_row is not null and end_row > header_row")
-    best = F.max_by(F.struct("header_row", "end_row"), F.struct((F.col("end_row") - F.col("header_row")).alias("n"), (-F.col("header_row")).alias("f")))
-    return runs.groupBy(*SHEET).agg(best.alias("b")).select(*SHEET, "b.header_row", "b.end_row")
+def looks_like_header(row: Sequence[str | None]) -> bool:
+    k = [_kind(c) for c in row]
+    filled = [x for x in k if x != "empty"]
+    return len(filled) >= LEAST_CELLS and len(filled) / len(k) >= LEAST_FILLED and filled.count("number") / len(filled) <= MOST_NUMERIC
+
+
+def _kind(cell: str | None) -> str:
+    """cell_kind in Python, for sheets that are walked row by row."""
+    bare = re.sub(r"[$,%]", "", (cell or "").strip()).strip()
+    if not (cell or "").strip():
+        return "empty"
+    try:
+        float(bare)
+    except ValueError:
+        return "text"
+    return "number"
+
+
+def consistent_run(rows: Sequence[Sequence[str | None]], header: int) -> int:
+    """End of the run of data rows beneath a header: rows join while they have two filled cells, aren't wider than the
+    header, and leave every column of one kind to four fifths."""
+    width = len(rows[header])
+    tally = [[0, 0] for _ in range(width)]
+    for end in range(header + 1, len(rows)):
+        k = [_kind(c) for c in rows[end]]
+        if len(k) > width or len(k) - k.count("empty") <= 1:
+            return end
+        now = [[n + (x == "number"), t + (x == "text")] for (n, t), x in zip(tally, k + ["empty"] * (width - len(k)), strict=True)]
+        if any(max(c) < CONSISTENT * sum(c) for c in now):
+            return end
+        tally = now
+    return len(rows)
+
+
+def regions(grid: DataFrame) -> DataFrame:
+    """H8, K5: header_row and end (exclusive) of each sheet's longest consistent run of at least three rows, the first of
+    equals. Whether a row joins hangs on all before it, so a sheet is walked in Python; a sheet's rows are bounded."""
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row_idx")
+        rows = [list(c) for c in frame["cells"]]
+        best = (0, -1, -1)
+        for h in range(min(len(rows) - 1, SCAN)):
+            if looks_like_header(rows[h]):
+                end = consistent_run(rows, h)
+                if end - h - 1 >= LEAST_ROWS and end - h - 1 > best[0]:
+                    best = (end - h - 1, h, end)
+        found = [] if best[1] < 0 else [(frame["doc_id"].iloc[0], frame["sheet"].iloc[0], best[1], best[2])]
+        return pd.DataFrame(found, columns=["doc_id", "sheet", "header_row", "end_row"])
+
+    return grid.groupBy(*SHEET).applyInPandas(walk, "doc_id string, sheet string, header_row int, end_row int")
 
 
 def resolve_hints(hints: DataFrame) -> DataFrame:

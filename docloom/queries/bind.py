@@ -139,18 +139,18 @@ entities as (
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier and part rows as untyped sheets: a header row, then cells as text; every 17th part cell is odd."""
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 150")
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey <= 150")
+    p = table(spark, sf_dir, "part").filter("p_partkey < 150")
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 150")
     head = spark.createDataFrame(
         [("part", "parts", 0, ["Part Name", "Brand", "Size (cm)", "Retail Price"]), ("supplier", "suppliers", 0, ["Supplier", "Nation", "Balance"])],
         "doc_id string, sheet string, row_idx int, cells array<string>",
     )
     parts = p.select(
-        F.lit("part").alias("doc_id"), F.lit("parts").alias("sheet"), F.col("p_partkey").cast("int").alias("row_idx"),
+        F.lit("part").alias("doc_id"), F.lit("parts").alias("sheet"), (F.col("p_partkey") + 1).cast("int").alias("row_idx"),
         F.array("p_name", "p_brand", F.when(F.col("p_partkey") % 17 == 0, "n/a").otherwise(F.col("p_size").cast("string")), F.concat(F.lit("$"), F.format_string("%.2f", "p_retailprice"))).alias("cells"),
     )
     sups = s.select(
-        F.lit("supplier").alias("doc_id"), F.lit("suppliers").alias("sheet"), F.col("s_suppkey").cast("int").alias("row_idx"),
+        F.lit("supplier").alias("doc_id"), F.lit("suppliers").alias("sheet"), (F.col("s_suppkey") + 1).cast("int").alias("row_idx"),
         F.array("s_name", F.when(F.col("s_suppkey") % 2 == 0, "n/a").otherwise(F.col("s_nationkey").cast("string")), F.format_string("%.2f", "s_acctbal")).alias("cells"),
     )
     return head.unionByName(parts).unionByName(sups)
