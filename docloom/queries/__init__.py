@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, retrieval, sqlsurface, structured
+from docloom.queries import catalog, retrieval, scoped, sqlsurface, structured
 
-MODULES = (retrieval, catalog, sqlsurface, structured)
+MODULES = (retrieval, catalog, scoped, sqlsurface, structured)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
