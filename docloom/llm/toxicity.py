@@ -135,6 +135,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
         part = F.when(F.col("__y") == y, F.lit(min(1_000_000, int(1_000_000 * most / max(n, 1))))).otherwise(part)
     named = named.filter(F.abs(F.xxhash64(F.lit(5), "__id") % 1_000_000) < part)
     some = docs if learn is None else docs.filter(learn)
+    # some thousand keys whatever the input's size: sent to every task, so that texts are sampled where they are read
+    named = F.broadcast(named.limit(4 * most))
     rows = some.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__body")).join(named, "__id")
 
     def make():
