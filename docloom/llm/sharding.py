@@ -35,11 +35,11 @@ def _prefix(hash_: Column, depth: Column) -> Column:
 def _split(sums: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     """From bytes by prefix p of high bits to the shards among depths low to high: depth, prefix, open.
 
-    Of each p it is the shallowest depth at which the bucket fits; open ones fit at none.
+    Of each p it is the shallowest depth at which the bucket fits or is one row; open ones fit at none.
     """
-    levels = sums.select("p", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    levels = sums.select("p", "bytes", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
     levels = levels.withColumn("q", F.call_function("shiftright", F.col("p"), (F.lit(high) - F.col("depth")).cast("int")))
-    fits = levels.groupBy("depth", "q").agg(F.sum("bytes").alias("all")).withColumn("fits", F.col("all") <= limit)
+    fits = levels.groupBy("depth", "q").agg(F.sum("bytes").alias("all"), F.sum("n").alias("n")).withColumn("fits", (F.col("all") <= limit) | (F.col("n") == 1))
     at = levels.join(fits.filter("fits").select("depth", "q"), ["depth", "q"]).groupBy("p").agg(F.min("depth").alias("depth"))
     return sums.select("p").join(at, "p", "left").withColumn("open", F.col("depth").isNull()).withColumn("depth", F.coalesce("depth", F.lit(high)))
 
@@ -47,7 +47,8 @@ def _split(sums: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per document: key, n_bytes (null text: 0), depth and prefix of its bucket, page, shard_id.
 
-    shard_id is depth:prefix:page. No shard exceeds limit bytes, but for a single row that does so alone. Rows of one key
+    shard_id is depth:prefix:page. No shard exceeds limit bytes, but for a single row that does so alone: its bucket is
+    split until it is alone. Rows of one key
     can't be told apart by hash bits; where they exceed the limit together, they overflow onto pages 1, 2, ... of their
     bucket, each filled to the limit. Null keys count as the empty key. An empty table gives an empty table.
     """
@@ -58,7 +59,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     left, done = rows, []
     while True:
         p = _prefix(F.col("h"), F.lit(high))
-        sums = checkpoint(left.groupBy(p.alias("p")).agg(F.sum("n_bytes").alias("bytes")))
+        sums = checkpoint(left.groupBy(p.alias("p")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
         found = checkpoint(_split(sums, low, high, limit))
         placed = left.withColumn("p", p).join(found, "p").drop("p")
         done.append(placed.filter("not open").select(key, "n_bytes", "h", "depth"))
@@ -126,7 +127,7 @@ b as (
 a as (
   select r.doc_id, r.n_bytes, min(d.depth)::int as depth, r.h
   from r join d on true join b on b.depth = d.depth and b.prefix = r.h >> ({BITS} - d.depth)::int
-  where b.s <= {LIMIT} or (b.n = 1 and d.depth = 40)
+  where b.s <= {LIMIT} or b.n = 1
   group by r.doc_id, r.n_bytes, r.h)
 select doc_id, n_bytes, depth, h >> ({BITS} - depth)::int as prefix, 0::bigint as page,
        depth || ':' || (h >> ({BITS} - depth)::int) || ':0' as shard_id

@@ -91,7 +91,7 @@ def brute_shards(sizes, limit):
     while open_:
         depth, prefix = open_.pop()
         inside = [(k, n) for k, n in sizes if h[k] >> (60 - depth) == prefix]
-        if sum(n for _, n in inside) <= limit:
+        if sum(n for _, n in inside) <= limit or len(inside) == 1:
             out |= {k: (depth, prefix) for k, _ in inside}
         else:
             open_ += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
@@ -100,7 +100,7 @@ def brute_shards(sizes, limit):
 
 def test_sharding_matches_brute_force(spark):
     random.seed(4)
-    texts = ["x" * random.choice([0, 10, 100, 900]) for _ in range(300)]
+    texts = ["x" * random.choice([0, 10, 100, 900, 1500]) for _ in range(300)]
     got = {r.doc_id: (r.depth, r.prefix) for r in sharding.assign(named(spark, texts), limit=1000).collect()}
     assert got == brute_shards([(i, len(t)) for i, t in enumerate(texts, 1)], 1000)
 
