@@ -31,7 +31,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int, types: Sequence[str] |
     """(node, hop): nodes within depth links of the seeds, either way, with the least number of links.
 
     An edge list both ways turns source-or-target into an equality; each hop joins the frontier only, and visited nodes
-    are taken out by an anti-join. The lineage grows with depth, which callers bound (3 in the reference's tools).
+    are taken out by an anti-join. The lineage grows with depth, which callers bound.
     """
     some = edges if types is None else edges.filter(F.col("relation_type").isin(*types))
     both = some.select(F.col("source").alias("u"), F.col("target").alias("v")).unionByName(some.select(F.col("target").alias("u"), F.col("source").alias("v"))).distinct()
