@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import access, figures as U, routing as C
+from docloom.operators import figures as U, routing as C
 from docloom.operators import retrieval as R
 from docloom.plans import strategies as S
 from docloom.queries import bind
