@@ -20,8 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT = "__text"
 
 
+#: Whole documents in an Arrow batch at most: Spark's default of 10,000 is meant for narrow rows.
+BATCH, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in Python workers and make sure that a checkpoint folder is set."""
+    """Make the package importable in Python workers, keep Arrow batches of documents small, and see to a checkpoint folder."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH:
+        spark.conf.set(BATCH_KEY, str(BATCH))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
@@ -63,11 +69,13 @@ def map_texts(
     keep: list[str],
     fields: list[T.StructField],
     make: Callable[[], Callable[[list], list]],
+    model: str | None = None,
 ) -> DataFrame:
     """Append columns that are computed from each row's text, as bytes (None if null).
 
     make() runs once per task and gives a function from a list of texts to one list (or Arrow array) per field. The
-    columns in keep pass through unchanged, unless a field replaces them.
+    columns in keep pass through unchanged, unless a field replaces them. model names what make() takes from
+    worker_cache(); a worker forgets the models of other operators, so that it holds one at a time.
     """
     prepare(df.sparkSession)
     taken = {f.name.lower() for f in fields}
@@ -78,12 +86,15 @@ def map_texts(
     names = [*keep, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in set(worker_cache()) - {model}:
+            del worker_cache()[name]
         work = make()
         for whole in batches:
             for batch in _pieces(whole):
                 columns = work(batch.column(batch.num_columns - 1).to_pylist())
                 made = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
+            pa.default_memory_pool().release_unused()
 
     return narrow.mapInArrow(run, schema)
 

@@ -9,9 +9,9 @@ fit, and steps back where none does; a place from which no end was reached is ne
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterable
-from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from docloom.llm._common import map_texts, prepare, worker_cache
 
 #: Entries of the memos of pieces and of neighbours in a worker; a full memo starts again.
-PIECES, NEIGHBOURS = 1 << 18, 1 << 20
+PIECES, NEIGHBOURS = 1 << 17, 1 << 18
 #: Characters of a text that are taken at a time.
 LONG = 1 << 20
 #: Safe cuts, and parts that lie between two of them.
@@ -47,9 +47,9 @@ class Codec:
         self.parts: dict[int, tuple[int, int]] = {}  # the two tokens that merge into a token last
         self.shorter = [-1] * top  # longest token that is a proper prefix
         self.fits_memo: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}  # by segment, a space before it
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}  # memos hold ids as the bytes of an array: small, and quickly joined
+        self.known: dict[str, bytes] = {}  # by segment, a space before it
+        self.older: dict[str, bytes] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             halves = self._merge(token, rank) if len(token) > 1 else [rank, rank]
             if len(halves) == 2:  # else no merge leads here: never a token of an encoding, but for a piece as a whole
@@ -130,24 +130,24 @@ class Codec:
                 at -= size[token]
                 last = out[-1] if out else -1
 
-    def _segment(self, segment: str) -> tuple[int, ...]:
+    def _segment(self, segment: str) -> bytes:
         """Ids of a part of a text between two safe cuts, by its pattern matches. A match that begins with a space is
         remembered as the segment that it is elsewhere."""
         found = self.find.findall(segment) if len(segment) <= LONG else (m.group() for m in self.find.finditer(segment))
-        ids: list[int] = []
+        ids: list[bytes] = []
         for piece in found:
             spaced = piece[0] == " " and len(piece) > 1
             memo = self.known if spaced else self.pieces
             name = piece[1:] if spaced else piece
             got = memo.get(name) or spaced and self.older.get(name)
             if not got:
-                got = self.encode_piece(piece)
+                got = array("i", self.encode_piece(piece)).tobytes()
                 if len(piece) < 64 and len(memo) < PIECES:
                     memo[name] = got
-            ids += got
-        return tuple(ids)
+            ids.append(got)
+        return b"".join(ids)
 
-    def _window(self, text: str, first: bool) -> Iterable[tuple[int, ...]]:
+    def _window(self, text: str, first: bool) -> Iterable[bytes]:
         """Ids by segments. A single space between two characters that aren't white space is a safe cut: a match always
         begins with that space. So what stands between two such spaces is encoded once and remembered."""
         parts = text.split(" ")
@@ -175,13 +175,14 @@ class Codec:
     def encode(self, data: bytes | None) -> array:
         """Ids of a whole text; null and empty give none. Bytes that aren't UTF-8 count as U+FFFD."""
         text = (data or b"").decode("utf-8", "replace")
-        if len(text) <= LONG:
-            return array("i", chain.from_iterable(self._window(text, True))) if text else array("i")
         ids, start = array("i"), 0
+        if len(text) <= LONG:
+            ids.frombytes(b"".join(self._window(text, True)) if text else b"")
+            return ids
         while start < len(text):  # windows from a safe cut to a safe cut
             cut = CUT.search(text, start + LONG)
             end = cut.start() if cut else len(text)
-            ids.extend(chain.from_iterable(self._window(text[start:end], start == 0)))
+            ids.frombytes(b"".join(self._window(text[start:end], start == 0)))
             start = end + 1
         return ids
 
@@ -189,9 +190,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """One codec per worker and vocabulary."""
-    cache, name = worker_cache(), ("bpe", pattern, len(shared.value), hash(frozenset(list(shared.value.items())[:999])))
+def _codec(shared, name: str, pattern: str) -> Codec:
+    """One codec per worker and vocabulary; a vocabulary that the worker has isn't unpacked again."""
+    cache = worker_cache()
     if name not in cache:
         cache[name] = Codec(shared.value, pattern)
     return cache[name]
@@ -205,9 +206,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    name = "bpe:" + hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
     def make():
-        codec = _codec(shared, pattern)
+        codec = _codec(shared, name, pattern)
 
         def work(texts):
             found, ends, back = array("i"), array("i", [0]), []
@@ -223,7 +225,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         return work
 
     fields = [T.StructField(out, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
-    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, fields, make)
+    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, fields, make, name)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -8,6 +8,7 @@ list they and their weights are learned from labelled texts, as are exceptions.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
 from collections import Counter
@@ -238,11 +239,15 @@ def _measured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         a = _automaton(lexicon)
         return lambda texts: [[list(measures(t, a)) for t in texts]]
 
-    return map_texts(rows.select("__y", F.col("__body").cast("string").alias("__t")), F.col("__t"), ["__y"], [T.StructField("m", T.ArrayType(T.DoubleType()))], make)
+    return map_texts(rows.select("__y", F.col("__body").cast("string").alias("__t")), F.col("__t"), ["__y"], [T.StructField("m", T.ArrayType(T.DoubleType()))], make, _name(lexicon))
+
+
+def _name(lexicon: Lexicon) -> str:
+    return "toxicity:" + hashlib.sha256(repr((sorted(lexicon.entries.items()), lexicon.exceptions)).encode()).hexdigest()
 
 
 def _automaton(lexicon: Lexicon):
-    cache, name = worker_cache(), ("toxicity", hash((frozenset(lexicon.entries.items()), lexicon.exceptions)))
+    cache, name = worker_cache(), _name(lexicon)
     if name not in cache:
         cache[name] = lexicon.automaton()
     return cache[name]
@@ -286,7 +291,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str]
         return work
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, fields, make)
+    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, fields, make, _name(lexicon))
 
 
 def spans(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:

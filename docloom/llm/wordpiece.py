@@ -6,6 +6,8 @@ built: their number was computed beforehand, is added, and the failure link lead
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,9 +104,10 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text", keep: l
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    name = "wordpiece:" + hashlib.sha256("\n".join(pieces).encode()).hexdigest()
 
     def make():
-        cache, name = worker_cache(), ("wordpiece", len(shared.value), hash(tuple(shared.value)))
+        cache = worker_cache()
         if name not in cache:
             cache[name] = Counter(Automaton(shared.value))
         counts = cache[name]
@@ -123,4 +126,4 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text", keep: l
 
         return work
 
-    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())], make)
+    return map_texts(docs, F.col(f"`{text}`"), docs.columns if keep is None else keep, [T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())], make, name)
