@@ -85,18 +85,21 @@ def fingerprints(docs: DataFrame, key: str, text: str, chunk: int = CHUNK, huge:
     return small.unionByName(large)
 
 
-def unequal(docs: DataFrame, groups: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
+def unequal(docs: DataFrame, groups: DataFrame, key: str, text: str, chunk: int = CHUNK, repeated: bool = True) -> DataFrame:
     """(key, __tk) of rows whose text, compared chunk by chunk, differs from that of their group's representative.
 
     groups: key, __tk, g (the group), and whether it stands for it (rep), of rows with a partner. Chunks are the unit of
-    the shuffle and of the comparison, so a task holds one at a time, however long a text or large a group.
+    the shuffle and of the comparison, so a task holds one at a time, however long a text or large a group. Without
+    repeated rows a representative is one row, and both sides of the comparison come straight from their shuffles: then
+    Spark can split a large group over tasks.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{key}`").alias("__k"), text_key(body).alias("__t"), body.cast("binary").alias("__body"))
     mine = base.join(groups, base["__k"].eqNullSafe(groups[key]) & (base["__t"] == groups["__tk"])).select(groups[key], "__tk", "g", "rep", "__body")
     cut = mine.select(key, "__tk", "g", "rep", "__body", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("__body") / chunk).cast("int"), F.lit(1)) - 1)).alias("at"))
     cut = cut.select(key, "__tk", "g", "rep", "at", F.expr(f"substring(__body, at * {chunk} + 1, {chunk})").alias("part"))
-    reps = cut.filter("rep").select(F.col("g").alias("rg"), F.col("at").alias("ra"), F.col("part").alias("rpart")).dropDuplicates(["rg", "ra"])
+    reps = cut.filter("rep").select(F.col("g").alias("rg"), F.col("at").alias("ra"), F.col("part").alias("rpart"))
+    reps = reps.dropDuplicates(["rg", "ra"]) if repeated else reps
     others = cut.filter("not rep")
     met = others.join(reps, (others["g"] == reps["rg"]) & (others["at"] == reps["ra"]), "left")
     return met.filter(~F.col("part").eqNullSafe(F.col("rpart"))).select(key, "__tk").distinct()
@@ -109,7 +112,7 @@ def decide(docs: DataFrame, key: str, text: str, chunk: int = CHUNK, huge: int =
     sizes = rows.groupBy("len", "fp").agg(F.sum("n").alias("size"), F.count("*").alias("names"), F.max(F.struct(F.col(key).alias("k"), F.col("__tk").alias("t"))).alias("r"))
     member = rows.join(checkpoint(sizes.filter("names > 1")), ["len", "fp"], "left")
     pairs = member.filter("r is not null").select(key, "__tk", F.concat_ws("/", "len", "fp").alias("g"), (F.col(key).eqNullSafe(F.col("r.k")) & (F.col("__tk") == F.col("r.t"))).alias("rep"))
-    odd = checkpoint(unequal(docs, pairs, key, text, chunk))
+    odd = checkpoint(unequal(docs, pairs, key, text, chunk, not rows.filter("n > 1").isEmpty()))
     if odd.isEmpty():
         return member.select(key, "__tk", "n", "sha", F.coalesce("size", "n").alias("size"), F.when(F.col("r").isNull(), F.col(key)).otherwise(F.col("r.k")).alias("keep"))
     # Different texts under one fingerprint: where that happens, the digest tells the groups apart.
