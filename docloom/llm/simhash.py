@@ -239,7 +239,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     reached = linked.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
     label = least.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("__root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(label, "fp").select(key, "__tk", "fp", "__root", "component_id")
+    # met over another form of the key: both sides are shuffled for this join, so that Spark can split common fingerprints
+    rows, label = rows.withColumn("__f", F.bitwise_not("fp")), label.select(F.bitwise_not("fp").alias("__f"), "__root", "component_id")
+    return rows.join(label, "__f").select(key, "__tk", "fp", "__root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 4, width: int = 4) -> DataFrame:
