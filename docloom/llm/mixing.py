@@ -8,7 +8,6 @@ length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +22,7 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Words of a budget that the knapsack fits at most; beyond, the longest documents that fit are taken first.
 BUDGET = 1 << 15
 #: Documents of a length that a window of the selection sees at most, about.
-SLICE = 4096
+SLICE = 256
 
 
 def word_count(text: Column) -> Column:
