@@ -176,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if count > sample:
         named = named.filter(F.abs(F.xxhash64(F.lit(11), "__id") % 1_000_000) < int(1_000_000 * sample / count))
     some = docs if learn is None else docs.filter(learn)
+    # at most the sample's keys whatever the input's size: sent to every task, so that texts are sampled where they are read
+    named = F.broadcast(named.limit(2 * sample))
     rows = some.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__body")).join(named, "__id")
     got = featurise(rows, "__body", ["__id", "__y"]).orderBy("__id").select("__y", "stats").toPandas()
     stats = np.array(got["stats"].tolist(), float).reshape(len(got), len(NAMES))
