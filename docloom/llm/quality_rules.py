@@ -1,8 +1,9 @@
 """Quality rules: fixed limits on a text's statistics, then robust multivariate outliers per language and source.
 
 The statistics are transformed to a vector; location and scatter of each (language, source) come from a minimum covariance
-determinant estimate by concentration steps: the 75 % nearest to the present estimate give the next one. Texts whose
-Mahalanobis distance exceeds the cut-off are rejected. DataFrame operations only.
+determinant estimate by concentration steps: the half nearest to the present estimate gives the next one, from several
+starts until no determinant falls, and the least determinant counts. Equal vectors count once, so copies of a text weigh no
+more than the text. Texts whose Mahalanobis distance exceeds the cut-off are rejected. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from docloom.llm._common import SPACE, WORD, checkpoint, text_key
 SYMBOL = r"[#*$%&|<>]"
 #: Words of a window, least words of a text, and most per cent of words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Share of rows that a concentration step keeps, steps, chance to reject a text of a normal source, and rows from which
-#: a (language, source) has an estimate of its own; smaller ones share one.
-KEEP, STEPS, CHANCE, OWN = 0.75, 3, 1e-9, 100
+#: Chance to reject a text of a normal source, and rows from which a (language, source) has an estimate of its own;
+#: smaller ones share one. Steps go on while a log determinant falls by more than FALL.
+CHANCE, OWN, FALL = 1e-9, 100, 1e-3
 #: Vector: names, and the least standard deviation that counts in each (most texts have no symbols at all).
 VECTOR = {"v_words": 0.5, "v_length": 0.08, "v_symbols": 0.35, "v_lines": 0.5, "v_repeat": 0.5}
 #: Groups whose estimates are sent to every task; with more they are joined by key.
@@ -91,42 +92,50 @@ def vector() -> dict[str, Column]:
     }
 
 
-def chi2_quantile(p: float, d: int) -> float:
-    """Quantile of the chi-squared distribution by bisection on its series."""
-
-    def cdf(x: float, k: int = d) -> float:
-        a, h = k / 2, x / 2
-        term = math.exp(-h + a * math.log(h) - math.lgamma(a + 1)) if h > 0 else 0.0
-        total, n = term, 1
-        while term > 1e-18 * max(total, 1e-300) and n < 10_000:
-            term *= h / (a + n)
-            total += term
-            n += 1
-        return total
+def chi2_cdf(x: float, d: int) -> float:
+    """The chi-squared distribution by its series."""
+    a, h = d / 2, x / 2
+    term = math.exp(-h + a * math.log(h) - math.lgamma(a + 1)) if h > 0 else 0.0
+    total, n = term, 1
+    while term > 1e-18 * max(total, 1e-300) and n < 10_000:
+        term *= h / (a + n)
+        total += term
+        n += 1
+    return total
 
+
+def chi2_quantile(p: float, d: int) -> float:
+    """Quantile of the chi-squared distribution by bisection."""
     lo, hi = 0.0, 1000.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
+        lo, hi = (mid, hi) if chi2_cdf(mid, d) < p else (lo, mid)
     return (lo + hi) / 2
 
 
-def chi2_cdf(x: float, d: int) -> float:
-    lo, hi = 0.0, 1.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi2_quantile(mid, d) < x else (lo, mid)
-    return (lo + hi) / 2
+def half(n: Column) -> tuple[Column, Column]:
+    """Of n vectors the size of the subset with the highest breakdown, and what corrects its scatter at the normal."""
+    d = len(VECTOR)
+    h = F.least(n, F.floor((n + d + 1) / 2)).cast("long")
+    grow = [k / 100 / chi2_cdf(chi2_quantile(k / 100, d), d + 2) for k in range(50, 100)] + [1.0]
+    return h, F.get(F.array(*map(F.lit, grow)), (F.round(100 * h / n) - 50).cast("int"))
 
 
-def _moments(rows: DataFrame, names: list[str], grow: float) -> DataFrame:
-    """Mean and Cholesky factor of the scatter of each group g; grow corrects the scatter of a concentrated subset."""
+def _moments(rows: DataFrame, names: list[str], grow: float | Column) -> DataFrame:
+    """Mean and Cholesky factor of the scatter of each group g; grow, a number or an aggregate, corrects the scatter of a concentrated subset."""
     sums = [F.count("*").alias("n"), *[F.avg(x).alias(f"m_{x}") for x in names]]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
-    out = rows.groupBy("g").agg(*sums, *[F.covar_pop(a, b).alias(f"s_{a}_{b}") for a, b in pairs])
+    grow = grow if isinstance(grow, Column) else F.lit(grow)
+    out = rows.groupBy("g").agg(*sums, *[F.covar_pop(a, b).alias(f"s_{a}_{b}") for a, b in pairs], grow.alias("grow"))
     for a, b in pairs:
         floor = VECTOR[a] ** 2 if a == b else 0.0
-        out = out.withColumn(f"s_{a}_{b}", F.col(f"s_{a}_{b}") * grow + floor)
+        out = out.withColumn(f"s_{a}_{b}", F.col(f"s_{a}_{b}") * F.col("grow") + floor)
+    return _factor(out, names)
+
+
+def _factor(out: DataFrame, names: list[str]) -> DataFrame:
+    """g, the means m_ and the Cholesky factor l_ of the scatter s_."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
     for i, a in enumerate(names):  # row by row; the floors keep every pivot away from 0
         for j, b in enumerate(names[:i]):
             rest = F.col(f"s_{a}_{b}")
@@ -153,17 +162,72 @@ def _distance(rows: DataFrame, estimate: DataFrame, names: list[str], few: bool)
     return met.withColumn("d2", total).select(*rows.columns, "d2")
 
 
-def _nearest(rows: DataFrame, share: float, few: bool) -> DataFrame:
-    """The share of each group's rows with the least d2, to a twentieth of a power of e: counted by bins, not sorted."""
+def _nearest(rows: DataFrame, few: bool) -> DataFrame:
+    """The h rows of each group with the least d2, to a twentieth of a power of e: counted by bins, not sorted."""
     binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 20).cast("int"))
-    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
+    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("n"), F.max("h").alias("h"))
     upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("g")
-    last = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(all_)).filter(F.col("before") < F.col("all") * share).groupBy("g").agg(F.max("bin").alias("last"))
+    last = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).filter("before < h").groupBy("g").agg(F.max("bin").alias("last"))
     return binned.join(F.broadcast(last) if few else last, "g").filter("bin <= last").drop("bin", "last", "d2")
 
 
-def outliers(rows: DataFrame, group: list[str], keep: float = KEEP, steps: int = STEPS, chance: float = CHANCE, own: int = OWN) -> DataFrame:
+def _starts(points: DataFrame, names: list[str], few: bool) -> DataFrame:
+    """First estimates of each group around its median, scaled by the median deviation: g is the start's digit and the group.
+
+    0 has no correlations, 1 those of the directions alone, 2 those of the deviations damped by tanh.
+    """
+
+    def median(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+        return rows.groupBy("g").agg(*[F.percentile_approx(v, 0.5, 2000).alias(k) for k, v in values.items()])
+
+    def at(other: DataFrame) -> DataFrame:
+        return points.join(F.broadcast(other) if few else other, "g")
+
+    middle = checkpoint(median(points, {f"m_{x}": F.col(x) for x in names}))
+    wide = median(at(middle), {f"w_{x}": 1.4826 * F.abs(F.col(x) - F.col(f"m_{x}")) for x in names})
+    wide = wide.select("g", *[F.greatest(F.col(f"w_{x}"), F.lit(VECTOR[x])).alias(f"w_{x}") for x in names])
+    middle = checkpoint(middle.join(wide, "g"))
+    scaled = at(middle).withColumns({f"z_{x}": (F.col(x) - F.col(f"m_{x}")) / F.col(f"w_{x}") for x in names})
+    scaled = scaled.withColumn("r", F.greatest(F.sqrt(sum((F.col(f"z_{x}") ** 2 for x in names), F.lit(0.0))), F.lit(1e-9)))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+    products = {1: lambda x: F.col(f"z_{x}") / F.col("r"), 2: lambda x: F.tanh(f"z_{x}")}
+    means = scaled.groupBy("g").agg(*[F.avg(f(a) * f(b)).alias(f"c{k}_{a}_{b}") for k, f in products.items() for a, b in pairs])
+    met = means.join(middle, "g")
+
+    def start(k: int) -> DataFrame:
+        def spread(a: str) -> Column:
+            return F.col(f"c{k}_{a}_{a}") + 1e-3
+
+        def scatter(a: str, b: str) -> Column:
+            r = F.lit(1.0) if a == b else F.lit(0.0) if k == 0 else F.col(f"c{k}_{a}_{b}") / F.sqrt(spread(a) * spread(b))
+            return r * F.col(f"w_{a}") * F.col(f"w_{b}")
+
+        named = met.select(F.concat(F.lit(str(k)), "g").alias("g"), *[f"m_{x}" for x in names], *[scatter(a, b).alias(f"s_{a}_{b}") for a, b in pairs])
+        return _factor(named, names)
+
+    return checkpoint(start(0).unionByName(start(1)).unionByName(start(2)))
+
+
+def _concentrated(points: DataFrame, names: list[str], few: bool) -> DataFrame:
+    """The estimate of least determinant of each group g, of its points, which have h and grow of half()."""
+    estimate = _starts(points, names, few).withColumn("det", F.lit(math.inf))
+    rows = points.withColumn("g", F.explode(F.array(*[F.concat(F.lit(k), "g") for k in "012"])))
+    found = None
+    while True:  # ends: each time round a determinant falls by FALL, and the floors bound them
+        near = _nearest(_distance(rows, estimate, names, few), few)
+        step = _moments(near, names, F.max("grow")).withColumn("det", sum((2 * F.log(f"l_{x}_{x}") for x in names), F.lit(0.0)))
+        was = estimate.select("g", F.col("det").alias("was"))
+        step = checkpoint(step.join(F.broadcast(was) if few else was, "g"))
+        found = step.drop("was") if found is None else found.unionByName(step.drop("was"))
+        estimate = step.filter(F.col("det") < F.col("was") - FALL).drop("was")
+        if estimate.isEmpty():
+            break
+    columns = [c for c in found.columns if c not in ("g", "det")]
+    least = found.groupBy(F.substring("g", 2, 1 << 30).alias("g")).agg(F.min(F.struct("det", *columns)).alias("e"))
+    return checkpoint(least.select("g", *[f"e.{c}" for c in columns]))
+
+
+def outliers(rows: DataFrame, group: list[str], chance: float = CHANCE, own: int = OWN) -> DataFrame:
     """rows, which have the columns of VECTOR, and d2, the squared robust distance, and outlier, whether it's over the cut-off.
 
     Groups with fewer than own rows share one estimate; is even that from fewer than own rows, nothing is an outlier.
@@ -172,27 +236,20 @@ def outliers(rows: DataFrame, group: list[str], keep: float = KEEP, steps: int =
     key = F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in group]))
     sizes = checkpoint(rows.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("g", F.when(F.col("__n") >= own, key).otherwise(F.lit(""))))
     summary = sizes.agg(F.countDistinct("g").alias("groups"), F.sum(F.when(F.col("g") == "", F.col("__n")).otherwise(0)).alias("rest")).first()
-    few, rest = summary["groups"] <= SENT, summary["rest"] or 0
+    few, rest = 3 * summary["groups"] <= SENT, summary["rest"] or 0
     count = sizes.count()
     named = sizes.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(group)], "g")
     on = F.lit(True)
     for k, c in enumerate(group):
         on = on & rows[c].eqNullSafe(named[f"__g{k}"])
     rows = checkpoint(rows.join(F.broadcast(named) if count <= SENT else named, on).drop(*[f"__g{k}" for k in range(len(group))]))
-    grow = keep / chi2_cdf(chi2_quantile(keep, d), d + 2)  # consistency at the normal
-    middle = checkpoint(rows.groupBy("g").agg(*[F.percentile_approx(x, [0.5, 0.25, 0.75], 2000).alias(x) for x in names]))
-    wide = [F.greatest((F.col(x)[2] - F.col(x)[1]) / 1.349, F.lit(VECTOR[x])) for x in names]
-    first = middle.select(
-        "g",
-        *[F.col(x)[0].alias(f"m_{x}") for x in names],
-        *[(w if a == b else F.lit(0.0)).alias(f"l_{a}_{b}") for i, (a, w) in enumerate(zip(names, wide, strict=True)) for b in names[: i + 1]],
-    )
-    estimate = first
-    for _ in range(steps):
-        near = _nearest(_distance(rows, estimate, names, few), keep, few)
-        estimate = checkpoint(_moments(near, names, grow))
+    points = checkpoint(rows.select("g", *names).distinct())
+    h, grow = half(F.col("__n"))
+    held = checkpoint(points.groupBy("g").agg(F.count("*").alias("__n")).select("g", h.alias("h"), grow.alias("grow")))
+    points = points.join(F.broadcast(held) if few else held, "g")
+    estimate = _concentrated(points, names, few)
     inner = chi2_quantile(0.975, d)
-    close = _distance(rows, estimate, names, few).filter(F.col("d2") <= inner)
+    close = _distance(points, estimate, names, few).filter(F.col("d2") <= inner)
     estimate = checkpoint(_moments(close, names, 0.975 / chi2_cdf(inner, d + 2)))
     cut = chi2_quantile(1 - chance, d)
     judged = _distance(rows, estimate, names, few)

@@ -475,6 +475,18 @@ def test_rules_reject_outliers(spark):
     assert got.loc[1:300].kept.mean() > 0.99 and not got.loc[301:320].kept.any() and not got.base_failed.any()
 
 
+@pytest.mark.parametrize("share,change", [(1 / 3, 0), (1 / 3, 1), (0.6, 0)])
+def test_rules_reject_many_copies_of_one_junk_text(spark, share, change):
+    """Copies, or near copies that differ in a few words, of a symbol-ridden text that passes the base rules."""
+    random.seed(5)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(400)]
+    clean = [" ".join(random.choices(vocabulary, k=random.randint(60, 400))) for _ in range(240)]
+    junk = [w + "$$$" for w in random.choices(vocabulary, k=150)]
+    copies = [" ".join(junk + change * random.choices(vocabulary, k=random.randint(1, 5))) for _ in range(round(240 * share / (1 - share)))]
+    got = quality_rules.apply_rules(named(spark, clean + copies)).toPandas().set_index("doc_id")
+    assert not got.base_failed.any() and not got.loc[241:].kept.any() and got.loc[:240].kept.all()
+
+
 def test_rules_brute_force_mahalanobis(spark):
     """The last estimate's distance, computed with a matrix inverse."""
     names = list(quality_rules.VECTOR)
