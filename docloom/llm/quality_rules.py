@@ -20,9 +20,9 @@ from docloom.llm._common import SPACE, WORD, checkpoint, text_key
 SYMBOL = r"[#*$%&|<>]"
 #: Words of a window, least words of a text, and most per cent of words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Chance to reject a text of a normal source, and rows from which a (language, source) has an estimate of its own;
-#: smaller ones share one. Steps go on while a log determinant falls by more than FALL.
-CHANCE, OWN, FALL = 1e-9, 100, 1e-3
+#: Chance to reject a text of a normal source, and distinct vectors, six times their dimension, from which a (language,
+#: source) or language has an estimate of its own. Steps go on while a log determinant falls by more than FALL.
+CHANCE, OWN, FALL = 1e-9, 30, 1e-3
 #: Vector: names, and the least standard deviation that counts in each (most texts have no symbols at all).
 VECTOR = {"v_words": 0.5, "v_length": 0.08, "v_symbols": 0.35, "v_lines": 0.5, "v_repeat": 0.5}
 #: Groups whose estimates are sent to every task; with more they are joined by key.
@@ -230,31 +230,38 @@ def _concentrated(points: DataFrame, names: list[str], few: bool) -> DataFrame:
 def outliers(rows: DataFrame, group: list[str], chance: float = CHANCE, own: int = OWN) -> DataFrame:
     """rows, which have the columns of VECTOR, and d2, the squared robust distance, and outlier, whether it's over the cut-off.
 
-    Groups with fewer than own rows share one estimate; is even that from fewer than own rows, nothing is an outlier.
+    Groups with fewer than own distinct vectors are judged by all rows alike in all columns of group but the last, and
+    so on up to the estimate of all rows, which has no least size: every row is judged.
     """
     names, d = list(VECTOR), len(VECTOR)
-    key = F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in group]))
-    sizes = checkpoint(rows.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("g", F.when(F.col("__n") >= own, key).otherwise(F.lit(""))))
-    summary = sizes.agg(F.countDistinct("g").alias("groups"), F.sum(F.when(F.col("g") == "", F.col("__n")).otherwise(0)).alias("rest")).first()
-    few, rest = 3 * summary["groups"] <= SENT, summary["rest"] or 0
-    count = sizes.count()
-    named = sizes.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(group)], "g")
-    on = F.lit(True)
-    for k, c in enumerate(group):
-        on = on & rows[c].eqNullSafe(named[f"__g{k}"])
-    rows = checkpoint(rows.join(F.broadcast(named) if count <= SENT else named, on).drop(*[f"__g{k}" for k in range(len(group))]))
-    points = checkpoint(rows.select("g", *names).distinct())
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in group]
+    levels = list(range(len(group), -1, -1))
+    keys = {f"k{n}": F.to_json(F.array(*parts[:n])) if n else F.lit("[]") for n in levels}
+    rows = rows.withColumns(keys)
+    vectors = checkpoint(rows.select(*keys, *names).distinct())
     h, grow = half(F.col("__n"))
-    held = checkpoint(points.groupBy("g").agg(F.count("*").alias("__n")).select("g", h.alias("h"), grow.alias("grow")))
-    points = points.join(F.broadcast(held) if few else held, "g")
+    sizes = {k: checkpoint(vectors.select(k, *names).distinct().groupBy(k).agg(F.count("*").alias("__n"))) for k in keys}
+    finest = f"k{levels[0]}"
+    placed = vectors.select(*keys).distinct().withColumn("g", F.lit(None).cast("string"))
+    for k, size in sizes.items():
+        big = size.filter(F.col("__n") >= (own if k != "k0" else 0)).select(k, F.lit(True).alias("big"))
+        placed = placed.join(big, k, "left").withColumn("g", F.coalesce("g", F.when(F.col("big"), F.col(k)))).drop("big")
+    placed = checkpoint(placed.select(finest, "g"))
+    used = checkpoint(placed.select("g").distinct())
+    few = 3 * used.count() <= SENT
+    rows = checkpoint(rows.join(F.broadcast(placed) if placed.count() <= SENT else placed, finest).drop(*keys))
+    held = None
+    for k, size in sizes.items():
+        some = size.withColumnRenamed(k, "g").join(used, "g", "left_semi").select("g", h.alias("h"), grow.alias("grow"))
+        some = vectors.select(F.col(k).alias("g"), *names).distinct().join(F.broadcast(some) if few else some, "g")
+        held = some if held is None else held.unionByName(some)
+    points = checkpoint(held)
     estimate = _concentrated(points, names, few)
     inner = chi2_quantile(0.975, d)
     close = _distance(points, estimate, names, few).filter(F.col("d2") <= inner)
     estimate = checkpoint(_moments(close, names, 0.975 / chi2_cdf(inner, d + 2)))
     cut = chi2_quantile(1 - chance, d)
-    judged = _distance(rows, estimate, names, few)
-    known = F.lit(True) if rest >= own else F.col("g") != ""
-    return judged.withColumn("outlier", known & (F.col("d2") > cut)).drop("g")
+    return _distance(rows, estimate, names, few).withColumn("outlier", F.col("d2") > cut).drop("g")
 
 
 def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -487,6 +487,26 @@ def test_rules_reject_many_copies_of_one_junk_text(spark, share, change):
     assert not got.base_failed.any() and not got.loc[241:].kept.any() and got.loc[:240].kept.all()
 
 
+def test_rules_judge_small_groups(spark):
+    """A rare source by its language, a rare language by all rows, and a small table by itself."""
+    random.seed(6)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(400)]
+
+    def texts(n, sign):
+        return [" ".join(w + sign for w in random.choices(vocabulary, k=random.randint(60, 400))) for _ in range(n)]
+
+    # in "xx" signs are common, so that its rare source is normal there and would not be among all rows
+    groups = [("en", "big", 90, ""), ("xx", "big", 40, "$$$"), ("xx", "rare", 9, "$$$"), ("en", "rare", 9, ""), ("en", "rare", 3, "$$$"), ("yy", None, 3, "$$$"), (None, "z", 3, "")]
+    data = [(t, lang, source, n) for lang, source, n, sign in groups for t in texts(n, sign)]
+    docs = spark.createDataFrame([(i, t, lang, source, 0, "x", "y") for i, (t, lang, source, _) in enumerate(data)], DOCS)
+    got = quality_rules.apply_rules(docs).toPandas().set_index("doc_id")
+    bad = {("en", "rare", 3), ("yy", None, 3)}
+    assert len(got) == len(data) and not got.base_failed.any() and got.d2.notna().all()
+    assert all(got.kept[i] == ((lang, source, n) not in bad) for i, (_, lang, source, n) in enumerate(data))
+    small = quality_rules.apply_rules(named(spark, texts(20, "") + texts(4, "$$$"))).toPandas().set_index("doc_id")
+    assert small.loc[1:20].kept.all() and not small.loc[21:].kept.any()
+
+
 def test_rules_brute_force_mahalanobis(spark):
     """The last estimate's distance, computed with a matrix inverse."""
     names = list(quality_rules.VECTOR)
