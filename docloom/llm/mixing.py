@@ -53,7 +53,8 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, limit: int =
     """How many documents of each length to take so that their words come as near to the budget as can be.
 
     lengths are distinct and positive. Proportional shares first, then the longest that fit while more than limit is
-    left, then an exact bounded knapsack: of the sums that can be reached, the nearest to what is left, below or above.
+    left, then an exact bounded knapsack: of the sums that can be reached, the nearest to what is left, below or above. Where
+    more than limit is left and no document fits, the shortest is taken if that is nearer.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
@@ -72,6 +73,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, limit: int =
     free = [(i, counts[i] - take[i]) for i in order[::-1] if counts[i] > take[i]]
     if not left or not free:
         return take
+    if left > limit:  # every free document is longer than that: the shortest may still be nearer than none
+        short = free[0][0]
+        take[short] += lengths[short] - left < left
+        return take
     top = min(left + lengths[free[0][0]], 2 * limit)  # a sum above may be nearer
     mask, reach, layers = (1 << top + 1) - 1, 1, []
     for i, c in free:

@@ -208,6 +208,13 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
             left -= full[s]
 
 
+def test_fit_budget_takes_a_long_document_if_that_is_nearer():
+    assert mixing.fit_budget([200_000], [1], 180_000) == [1] and mixing.fit_budget([200_000], [1], 90_000) == [0]
+    assert mixing.fit_budget([200_000, 300_000], [1, 1], 120_000) == [1, 0]
+    for budget in range(1, 40):  # one long document, whatever the limit
+        assert mixing.fit_budget([40], [1], budget, limit=4) == [int(40 - budget < budget)]
+
+
 def test_mixing(spark):
     random.seed(1)
     data = [(i, " ".join(["w"] * random.choice([1, 2, 3, 5, 8, 40, 41])), "en", random.choice(["a", "b", "ä", "c", "d", None]), 0, "x", "y") for i in range(800)]
