@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,10 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import ship
+
 #: ASCII white space of the word definition: space and \t \n \v \f \r. bytes.split() splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: The same bytes one by one, and a pattern for them in bytes.
+SPACES, _SPACE = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"), re.compile(rb"[\x20\x09-\x0D]")
+
 TEXT = "__text"
 
 
@@ -25,16 +31,31 @@ BATCH, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, keep Arrow batches of documents small, and see to a checkpoint folder."""
+    """Ship the package to Python workers, keep Arrow batches of documents small, and see to a checkpoint folder.
+
+    The folder is that of spark.checkpoint.dir. Only a local session, which has no other machines, gets one of its own where
+    that is unset; elsewhere it's an error, because a folder of one machine is lost with it.
+    """
     if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH:
         spark.conf.set(BATCH_KEY, str(BATCH))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    ship(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoints-"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder for a table that is written and read again."""
+    prepare(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a path that scratch() gave, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -126,22 +147,51 @@ def worker_cache() -> dict:
     return sys.modules[__name__].__dict__.setdefault("_WORKER", {})
 
 
+def blocks(data: bytes, most: int) -> Iterator[bytes]:
+    """Parts of most bytes or so, each ending behind white space, so that no word is cut. A longer word stays whole in a
+    longer part; only the last part may end without white space."""
+    start, size = 0, len(data)
+    while size - start > most:
+        cut = 1 + max(data.rfind(c, start, start + most) for c in SPACES)
+        if cut <= start:  # one word fills the part: it goes on to its end
+            found = _SPACE.search(data, start + most)
+            if not found:
+                break
+            cut = found.end()
+        yield data[start:cut]
+        start = cut
+    if start < size:
+        yield data[start:]
+
+
 def text_key(text: Column) -> Column:
-    """With the row's key it names a row without moving its text: rows equal in both have equal texts (null counts as empty)."""
-    body = F.coalesce(text.cast("string"), F.lit(""))
-    return F.xxhash64(body, F.octet_length(body))
+    """MD5 of a text, 16 bytes, null counting as empty. With the row's key it names a row without moving its text."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def boxed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs as __k (the key), __tk (see text_key) and __row, all columns by their position: names can't clash."""
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    k, t = (plain.columns[docs.columns.index(c)] for c in (key, text))
+    return plain.select(F.col(k).alias("__k"), text_key(F.col(t)).alias("__tk"), F.struct(*plain.columns).alias("__row"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from the __row of boxed()."""
+    return rows.select("__row.*").toDF(*docs.columns)
 
 
 def keep_rows(docs: DataFrame, keepers: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of docs that keepers name by (key, __tk), each once. keepers has a column n: rows of docs with that name.
+    """The rows of docs that keepers name by (__k, __tk), each once; n there is the number of docs' rows of that name.
 
-    A name that fits several rows can only mean repeated rows; of those one stays. Nulls in key match nulls.
+    A name that fits several rows means rows equal in key and text; of those one stays. Nulls in key match nulls. Columns of
+    docs may have any names.
     """
-    named = docs.withColumn("__tk", text_key(F.col(f"`{text}`")))
-    k = keepers.select(F.col(key).alias("__k"), F.col("__tk").alias("__t"), "n")
-    hit = named.join(k, named[key].eqNullSafe(k["__k"]) & (named["__tk"] == k["__t"]), "inner")
-    once = hit.filter("n = 1").select(*[f"`{c}`" for c in docs.columns])
-    if keepers.filter("n > 1").isEmpty():
-        return once
-    again = hit.filter("n > 1").dropDuplicates(["__k", "__t"]).select(*[f"`{c}`" for c in docs.columns])
-    return once.unionByName(again)
+    named = boxed(docs, key, text)
+    k = keepers.select(F.col("__k").alias("__wk"), F.col("__tk").alias("__wt"), F.col("n").alias("__wn"))
+    hit = named.join(k, named["__k"].eqNullSafe(k["__wk"]) & (named["__tk"] == k["__wt"]), "inner")
+    once = hit.filter("__wn = 1")
+    if not k.filter("__wn > 1").isEmpty():
+        again = hit.filter("__wn > 1").dropDuplicates(["__wk", "__wt"])
+        once = once.unionByName(again)
+    return unboxed(once, docs)

@@ -199,8 +199,11 @@ def _codec(shared, name: str, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, out: str = "ids", decoded: str | None = None) -> DataFrame:
-    """docs' columns of keep (all by default) and out, an array of token ids of the whole text. Null: no ids.
+    """docs' columns of keep (all by default) and out, an array of token ids of the whole text. Null and empty: no ids.
 
+    Very long texts are encoded whole, in windows from one safe cut to the next. A cut is safe for patterns whose matches
+    begin with the single space before a word, as those of the public vocabularies do. Repeated rows are encoded alike, an
+    empty table gives an empty table.
     With decoded, a column of that name has the bytes that the ids decode to, from the same worker. Any columns with the
     new names are replaced.
     """

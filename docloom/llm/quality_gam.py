@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm._common import map_texts
+from docloom.llm._common import blocks, map_texts
 
 NAMES = ("log_words", "word_bytes", "distinct", "repeat", "upper", "digit", "symbol", "shout", "bar", "punct", "dup_lines", "high", "longest_run")
 #: Bytes of a text looked at together.
@@ -31,7 +31,7 @@ def statistics(text: bytes | None) -> list[float]:
     if not data.strip():
         return [0.0] * len(NAMES)
     counts, words, distinct, repeats, size, run = np.zeros(256, np.int64), 0, 0.0, 0, 0, 1
-    for block in blocks(data):
+    for block in blocks(data, BLOCK):
         counts += np.bincount(np.frombuffer(block, np.uint8), minlength=256)
         w = block.split()
         n = len(w)
@@ -49,27 +49,13 @@ def statistics(text: bytes | None) -> list[float]:
             distinct += len(set(w[at : at + 1000])) / min(1000, n - at) * min(1000, n - at)
         size += sum(map(len, w))
         words += n
-    lines = [x for x in data.split(b"\n") if x.strip()] if len(data) <= BLOCK else [x for b in blocks(data) for x in b.split(b"\n") if x.strip()]
+    lines = [x for x in data.split(b"\n") if x.strip()]
     share = (counts @ _CLASS) / max(1, size)
     return [
         np.log1p(words), size / words, distinct / words, repeats / words, *map(float, share[:6]), 1 - len(set(lines)) / max(1, len(lines)), float(share[6]), np.log1p(run - 1),
     ]
 
 
-def blocks(data: bytes, most: int = BLOCK):
-    """Parts of most bytes or so that end at white space, if there is any."""
-    start = 0
-    while start < len(data):
-        end = start + most
-        if end >= len(data):
-            yield data[start:]
-            return
-        cut = max(data.rfind(b" ", start, end), data.rfind(b"\n", start, end)) + 1
-        end = cut if cut > start else end
-        yield data[start:end]
-        start = end
-
-
 def featurise(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "stats") -> DataFrame:
     def make():
         return lambda texts: [[statistics(t) for t in texts]]
@@ -187,7 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """docs' columns of keep (all by default), score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts are scored by their statistics, all 0. Columns named score or predicted are replaced.
+    Null and empty texts are scored by their statistics, all 0. Texts of any length count whole, in parts cut between words.
+    Repeated rows are scored alike, an empty table gives an empty table. Columns named score or predicted are replaced.
     """
 
     def make():

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm._common import SPACE, WORD, checkpoint, text_key
+from docloom.llm._common import SPACE, WORD, checkpoint
 
 SYMBOL = r"[#*$%&|<>]"
 #: Words of a window, least words of a text, and most per cent of words in repeated windows.
@@ -265,15 +265,16 @@ def outliers(rows: DataFrame, group: list[str], chance: float = CHANCE, own: int
 
 
 def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per document: key, __tk, the statistics, base_failed, d2 (null if base_failed), kept.
+    """One row per document: key, the statistics, base_failed, d2 (null if base_failed), kept.
 
-    Null and empty texts have no words and fail. Null languages and sources are groups of their own. Repeated rows are
-    judged alike. An empty table gives an empty table.
+    Null and empty texts have no words and fail. Very long texts are measured whole. Null languages and sources are groups of
+    their own. Repeated rows are judged alike and count once in an estimate; of estimates with equal determinants the first
+    in order of their values counts. An empty table gives an empty table. Other columns of docs may have any names.
     """
-    rows = docs.select(F.col(f"`{key}`").alias(key), text_key(F.col(f"`{text}`")).alias("__tk"), F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), *[c.alias(n) for n, c in statistics(F.col(f"`{text}`")).items()])
+    rows = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), *[c.alias(n) for n, c in statistics(F.col(f"`{text}`")).items()])
     rows = checkpoint(rows.withColumn("base_failed", base_failed()))
     passed = rows.filter("not base_failed").withColumns(vector())
     judged = outliers(passed, ["__lang", "__source"])
-    names = [key, "__tk", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = [F.col("__k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = rows.filter("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return failed.unionByName(judged.select(*names, "d2", (~F.col("outlier")).alias("kept")))

@@ -44,16 +44,8 @@ def _split(sums: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     return sums.select("p").join(at, "p", "left").withColumn("open", F.col("depth").isNull()).withColumn("depth", F.coalesce("depth", F.lit(high)))
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per document: key, n_bytes (null text: 0), depth and prefix of its bucket, page, shard_id.
-
-    shard_id is depth:prefix:page. No shard exceeds limit bytes, but for a single row that does so alone: its bucket is
-    split until it is alone. Rows of one key
-    can't be told apart by hash bits; where they exceed the limit together, they overflow onto pages 1, 2, ... of their
-    bucket, each filled to the limit. Null keys count as the empty key. An empty table gives an empty table.
-    """
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = checkpoint(docs.select(F.col(f"`{key}`").alias(key), F.octet_length(body).cast("long").alias("n_bytes"), row_hash(F.col(f"`{key}`")).alias("h")))
+def _placed(rows: DataFrame, limit: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """rows (h, n_bytes and more) with their depth, in parts, and those that no number of bits can tell apart, if any."""
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("b")).first()["b"]
     low, high = 0, min(BITS, SPARE + max(0, math.ceil(math.log2(max(1, total / limit)))))
     left, done = rows, []
@@ -62,15 +54,40 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         sums = checkpoint(left.groupBy(p.alias("p")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
         found = checkpoint(_split(sums, low, high, limit))
         placed = left.withColumn("p", p).join(found, "p").drop("p")
-        done.append(placed.filter("not open").select(key, "n_bytes", "h", "depth"))
+        done.append(placed.filter("not open").select(*rows.columns, "depth"))
         if found.filter("open").isEmpty():
-            break
-        left = placed.filter("open").select(key, "n_bytes", "h")
+            return done, None
+        left = placed.filter("open").select(*rows.columns)
         if high == BITS:
-            return _pages(done, left, key, limit)
+            return done, checkpoint(left)
         left = checkpoint(left)
         low, high = high + 1, min(BITS, high + STEP)
-    return _named(_union(done).withColumn("page", F.lit(0).cast("long")), key)
+
+
+def _rows(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """h, n_bytes and more of each row; all the operator's own names begin with two underscores or are h, n_bytes."""
+    size = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long")
+    return docs.select(F.col(key).alias("__k"), size.alias("n_bytes"), row_hash(F.col(key)).alias("h"), *more)
+
+
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
+    """One row per document: key, n_bytes (null text: 0), depth and prefix of its bucket, page, shard_id.
+
+    shard_id is depth:prefix:page. No shard exceeds limit bytes, but for a single row that does so alone, as a very long text
+    may: its bucket is split until it is alone. Rows of one key can't be told apart by hash bits; where they exceed the limit
+    together, they overflow onto pages 1, 2, ... of their bucket, each filled to the limit. Null keys count as the empty key.
+    An empty table gives an empty table. Other columns of docs may have any names.
+    """
+    plain, k, t = _plain(docs, key, text)
+    done, left = _placed(checkpoint(_rows(plain, k, t, F.spark_partition_id().alias("__part"))), limit)
+    out = _union(done).withColumn("page", F.lit(0).cast("long"))
+    return _named(out if left is None else out.unionByName(_paged(left, limit)), key)
+
+
+def _plain(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str, str]:
+    """docs with its columns named by their position, and the new names of key and text."""
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    return plain, plain.columns[docs.columns.index(key)], plain.columns[docs.columns.index(text)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -80,24 +97,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _shard() -> list[Column]:
+    prefix = _prefix(F.col("h"), F.col("depth"))
+    return [F.col("depth").cast("int").alias("depth"), prefix.alias("prefix"), F.col("page"), F.concat_ws(":", F.col("depth").cast("int"), prefix, "page").alias("shard_id")]
+
+
 def _named(rows: DataFrame, key: str) -> DataFrame:
-    rows = rows.withColumn("prefix", _prefix(F.col("h"), F.col("depth")))
-    return rows.select(key, "n_bytes", F.col("depth").cast("int").alias("depth"), "prefix", "page", F.concat_ws(":", "depth", "prefix", "page").alias("shard_id"))
+    return rows.select(F.col("__k").alias(key), "n_bytes", *_shard())
 
 
-def _pages(done: list[DataFrame], left: DataFrame, key: str, limit: int) -> DataFrame:
-    """Overflow pages of hashes that exceed the limit: rows equal in key and size are counted, so a page is arithmetic.
+def _paged(left: DataFrame, limit: int) -> DataFrame:
+    """left, checkpointed rows with __part, with depth and page: overflow pages of hashes that exceed the limit.
 
-    Of one size, limit / size rows fill a page; sizes of a hash follow each other and never share a page.
+    limit / size rows of one size fill a page; sizes of a hash follow each other and never share a page. So a row's page is
+    arithmetic on its number among the rows of its hash and size: how many are in earlier parts, and its number in its part.
     """
-    kinds = left.groupBy("h", key, "n_bytes").agg(F.count("*").alias("n"))
+    kinds = left.groupBy("h", "n_bytes").agg(F.count("*").alias("n"))
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
     kinds = kinds.withColumn("each", each).withColumn("pages", F.ceil(F.col("n") / F.col("each")))
-    before = F.coalesce(F.sum("pages").over(Window.partitionBy("h").orderBy(F.desc("n_bytes"), key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kinds = kinds.withColumn("before", before).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    over = kinds.select(key, "n_bytes", "h", F.lit(BITS).alias("depth"), (F.col("before") + F.floor(F.col("i") / F.col("each"))).cast("long").alias("page"))
-    fine = _union(done).withColumn("page", F.lit(0).cast("long"))
-    return _named(fine.unionByName(over), key)
+    first = F.coalesce(F.sum("pages").over(Window.partitionBy("h").orderBy(F.desc("n_bytes")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kinds = kinds.select("h", "n_bytes", "each", first.alias("first"))
+    parts = left.groupBy("h", "n_bytes", "__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("h", "n_bytes").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = checkpoint(parts.select("h", "n_bytes", "__part", before.alias("before")).join(kinds, ["h", "n_bytes"]))
+    number = F.row_number().over(Window.partitionBy("h", "n_bytes", "__part").orderBy("__k")) - 1
+    met = left.withColumn("i", number).join(parts, ["h", "n_bytes", "__part"])
+    page = (F.col("first") + F.floor((F.col("before") + F.col("i")) / F.col("each"))).cast("long")
+    return met.select(*left.columns, F.lit(BITS).alias("depth"), page.alias("page"))
 
 
 def directory(assigned: DataFrame) -> DataFrame:
@@ -105,13 +131,27 @@ def directory(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("shard_id", "depth", "prefix", "page").agg(F.count("*").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> None:
-    """Write docs as Parquet, a folder per shard, each row into its own."""
-    names = assign(docs, key, text, limit).select(F.col(key).alias("__k"), F.col("n_bytes").alias("__b"), "shard_id")
-    names = names.groupBy("__k", "__b").agg(F.min("shard_id").alias("shard_id"))
-    size = F.octet_length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("long")
-    out = docs.join(names, docs[key].eqNullSafe(names["__k"]) & (size == names["__b"])).drop("__k", "__b")
-    out.repartition("shard_id").sortWithinPartitions("shard_id").write.mode("overwrite").partitionBy("shard_id").parquet(path)
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> str:
+    """Write docs as Parquet, a folder per shard, each row once into its own; gives the name of the folders' column.
+
+    That is shard_id, or shard_id_1, shard_id_2, ... if docs has such a column, so that no column is lost. The shards are those
+    of assign(), within the limit: rows of a hash that needs no pages find theirs by the hash, and only those of hashes that
+    do are numbered. Nulls, empty and very long texts are as in assign(); an empty table writes no folder.
+    """
+    plain, k, t = _plain(docs, key, text)
+    done, left = _placed(checkpoint(_rows(plain, k, t)), limit)
+    taken = {c.lower() for c in docs.columns}
+    name = next(x for x in ("shard_id", *(f"shard_id_{i}" for i in range(1, len(taken) + 2))) if x not in taken)
+    by_hash = _union(done).select("h", "depth").distinct().withColumn("page", F.lit(0).cast("long")).select(F.col("h").alias("__h"), _shard()[-1].alias("__shard"))
+    boxed = plain.select(F.struct(*plain.columns).alias("__row"), F.col(k).alias("__k"), row_hash(F.col(k)).alias("__hash"), F.octet_length(F.coalesce(F.col(t).cast("string"), F.lit(""))).cast("long").alias("n_bytes"))
+    out = boxed.join(by_hash, boxed["__hash"] == by_hash["__h"]).select("__row", "__shard")
+    if left is not None:
+        over = left.select(F.col("h").alias("__h")).distinct()
+        rows = boxed.join(over, boxed["__hash"] == over["__h"], "left_semi").select("__row", "__k", "n_bytes", F.col("__hash").alias("h"), F.spark_partition_id().alias("__part"))
+        out = out.unionByName(_paged(checkpoint(rows), limit).select("__row", _shard()[-1].alias("__shard")))
+    flat = out.select("__shard", "__row.*").toDF(name, *docs.columns)
+    flat.repartition(name).sortWithinPartitions(name).write.mode("overwrite").partitionBy(name).parquet(path)
+    return name
 
 
 #: The directory and assignment as SQL: sizes by prefix at every depth, then the shallowest that fits.

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -25,8 +25,9 @@ from docloom.llm.components import connected_components
 
 #: Words of a text that are shingled at a time.
 BLOCK = 1 << 16
-#: Pairs compared at a time, and home fingerprints of an anchor in one task; an anchor with more is split.
-PAIRS, HOMES = 1 << 22, 1 << 16
+#: Pairs compared at a time, fingerprints of an anchor, at home or guests, in one task (an anchor with more is split), and
+#: split anchors that are sent to every task; with more they are joined by key.
+PAIRS, HOMES, SENT = 1 << 22, 1 << 16, 10_000
 #: Up to so many distinct fingerprints three bands suffice; beyond, the two wider bands compare fewer pairs.
 MANY = 1 << 28
 
@@ -192,62 +193,85 @@ def _meet(threshold: int):
     return run
 
 
-def links(fps: DataFrame, threshold: int = 4, plan: list[Band] | None = None, most_homes: int = HOMES) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, plan: list[Band] | None = None, most: int = HOMES) -> DataFrame:
     """Links (a, b) that connect exactly what pairs within the threshold connect; not all such pairs.
 
     fps: distinct fingerprints in a column fp, checkpointed or cheap to read twice.
     """
     prepare(fps.sparkSession)
     plan = plan or bands(threshold, fps.count() > MANY)
-    parts = []
+    homes, guests, values = [], [], []
     for k, band in enumerate(plan):
-        value = band.value(F.col("fp"))
-        base = fps.select(F.lit(k).alias("band"), value.alias("v"), "fp")
-        parts.append(base.select("band", band.home(F.col("v")).alias("anchor"), F.lit(0).alias("guest"), "fp"))
-        guests = F.explode(band.anchors(F.col("v"))) if band.r or band.t else F.col("v")
-        parts.append(base.select("band", guests.alias("anchor"), F.lit(1).alias("guest"), "fp"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    at_home = [parts[2 * k] for k in range(len(plan))]
-    size = at_home[0]
-    for part in at_home[1:]:
-        size = size.unionByName(part)
-    hot = checkpoint(size.groupBy("band", "anchor").count().filter(F.col("count") > most_homes).select("band", "anchor", F.ceil(F.col("count") / most_homes).cast("int").alias("ways")))
-    if hot.isEmpty():
+        base = fps.select(F.lit(k).alias("band"), band.value(F.col("fp")).alias("v"), "fp")
+        homes.append(base.select("band", band.home(F.col("v")).alias("anchor"), F.lit(0).alias("guest"), "fp"))
+        guests.append(base.select("band", _seen(band).alias("anchor"), F.lit(1).alias("guest"), "fp"))
+        values.append(base.groupBy("band", "v").count())
+    rows = reduce(DataFrame.unionByName, homes + guests)
+    hot = _hot(plan, values, most)
+    n = hot.count()
+    if not n:
         rows = rows.withColumn("salt", F.lit(0))
-    else:  # the home fingerprints of a full anchor are dealt out, its guests go to each part
-        rows = rows.join(hot, ["band", "anchor"], "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
-        deal = F.when(F.col("guest") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("ways") - 1))
-        rows = rows.withColumn("salt", F.explode(deal))
+    else:  # the homes of a full anchor are dealt out into rows, its guests into columns, and each part meets each
+        rows = rows.join(F.broadcast(hot) if n <= SENT else hot, ["band", "anchor"], "left")
+        wide, high = F.coalesce("wide", F.lit(1)), F.coalesce("high", F.lit(1))
+        own = F.xxhash64("fp")
+        to_home = F.transform(F.sequence(F.lit(0), wide - 1), lambda j: F.pmod(own, high).cast("int") * wide + j)
+        to_guest = F.transform(F.sequence(F.lit(0), high - 1), lambda i: i * wide + F.pmod(own, wide).cast("int"))
+        rows = rows.withColumn("salt", F.explode(F.when(F.col("guest") == 0, to_home).otherwise(to_guest)))
     rows = rows.select("band", "anchor", "salt", "guest", "fp").repartition("band", "anchor", "salt").sortWithinPartitions("band", "anchor", "salt", "guest")
     return rows.mapInArrow(_meet(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 4, width: int = 4) -> DataFrame:
-    """One row per document: key, __tk (see text_key), fp, __root (the component's least fingerprint), component_id: the
-    least key reachable over links, itself included.
+def _seen(band: Band) -> Column:
+    return F.explode(band.anchors(F.col("v"))) if band.r or band.t else F.col("v")
+
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Null keys get a component but are never its id,
-    unless all its keys are null. Repeated rows give repeated rows. An empty table gives an empty table.
+def _hot(plan: list[Band], values: list[DataFrame], most: int) -> DataFrame:
+    """band, anchor, high, wide: the parts into which homes and guests of anchors with over most of either are dealt.
+
+    Counted by the values of a band, not by its rows. Values so rare that all that can reach an anchor add less than most
+    together aren't spread over their anchors.
     """
-    named = docs.select(F.col(f"`{key}`").alias(key), text_key(F.col(f"`{text}`")).alias("__tk"), F.col(f"`{text}`").alias("__body"))
-    rows = checkpoint(fingerprints(named, "__body", [key, "__tk"], width))
-    least = checkpoint(rows.groupBy("fp").agg(F.min(key).alias("least")))
+    at_home, seen = [], []
+    for band, counts in zip(plan, values, strict=True):
+        counts = checkpoint(counts.filter(F.col("count") * sum(map(len, band.turns)) >= most)) if band.r or band.t else counts
+        at_home.append(counts.select("band", band.home(F.col("v")).alias("anchor"), "count", F.lit(0).cast("long").alias("guests")))
+        seen.append(counts.select("band", _seen(band).alias("anchor"), F.lit(0).cast("long").alias("count"), F.col("count").alias("guests")))
+    size = reduce(DataFrame.unionByName, at_home + seen).groupBy("band", "anchor").agg(F.sum("count").alias("h"), F.sum("guests").alias("g")).filter((F.col("h") > most) | (F.col("g") > most))
+    ways = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int")
+    return checkpoint(size.select("band", "anchor", ways("h").alias("high"), ways("g").alias("wide")))
+
+
+def _grouped(docs: DataFrame, key: str, text: str, threshold: int, width: int) -> DataFrame:
+    """__k, __tk, fp, __root (the component's least fingerprint) and component_id of each row."""
+    named = docs.select(F.col(f"`{key}`").alias("__k"), text_key(F.col(f"`{text}`")).alias("__tk"), F.col(f"`{text}`").alias("__body"))
+    rows = checkpoint(fingerprints(named, "__body", ["__k", "__tk"], width))
+    least = checkpoint(rows.groupBy("fp").agg(F.min("__k").alias("least")))
     roots = checkpoint(connected_components(links(least.select("fp"), threshold)))
     linked = least.join(roots, least["fp"] == roots["node"])
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    reached = linked.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    # met over other forms of the keys: both sides are shuffled for these joins, so that Spark can split common ones
+    reached = linked.select("fp", F.bitwise_not("root").alias("__r")).join(ids.withColumn("__r", F.bitwise_not("root")), "__r").select("fp", "root", "component_id")
     label = least.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("__root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    # met over another form of the key: both sides are shuffled for this join, so that Spark can split common fingerprints
     rows, label = rows.withColumn("__f", F.bitwise_not("fp")), label.select(F.bitwise_not("fp").alias("__f"), "__root", "component_id")
-    return rows.join(label, "__f").select(key, "__tk", "fp", "__root", "component_id")
+    return rows.join(label, "__f").select("__k", "__tk", "fp", "__root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 4, width: int = 4) -> DataFrame:
+    """One row per document: key, fp, component_id: the least key reachable over links, itself included.
+
+    Null and empty texts have fingerprint 0 and are linked like any other; very long ones are shingled whole, in parts. Null
+    keys get a component but are never its id, unless all its keys are null. Repeated rows give repeated rows. An empty table
+    gives an empty table. Other columns of docs may have any names.
+    """
+    return _grouped(docs, key, text, threshold, width).select(F.col("__k").alias(key), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 4, width: int = 4) -> DataFrame:
-    """docs with one row of each component: the one with the least key (null keys last), of equal keys the least text key."""
-    rows = near_duplicates(docs, key, text, threshold, width)
-    rows = rows.groupBy(key, "__tk", "__root").agg(F.count("*").alias("n"))
-    order = F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("k"), F.col("__tk").alias("t"), F.col("n").alias("n"))
+    """docs with one row of each component, with all its columns: the one with the least key (null keys last), of equal keys the
+    least text key; of repeated rows one. Nulls, empty and very long texts and empty tables are as in near_duplicates()."""
+    rows = _grouped(docs, key, text, threshold, width)
+    rows = rows.groupBy("__k", "__tk", "__root").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("__k").isNull().alias("x"), F.col("__k").alias("k"), F.col("__tk").alias("t"), F.col("n").alias("n"))
     best = rows.groupBy("__root").agg(F.min(order).alias("b"))
-    return keep_rows(docs, checkpoint(best.select(F.col("b.k").alias(key), F.col("b.t").alias("__tk"), F.col("b.n").alias("n"))), key, text)
+    return keep_rows(docs, checkpoint(best.select(F.col("b.k").alias("__k"), F.col("b.t").alias("__tk"), F.col("b.n").alias("n"))), key, text)

@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import math
 import unicodedata
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -21,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm._common import map_texts, prepare, worker_cache
-from docloom.llm.quality_gam import blocks
+from docloom.llm._common import blocks, map_texts, prepare, worker_cache
 
 # Common English insults, letters of other scripts that look like Latin ones, and signs used for letters.
 INSULTS = ("disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless", "clown", "imbecile", "bastard")
@@ -38,6 +39,12 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "circus clown", "clown fish", "pond scum", "soap scum")
 
 
+#: Bytes of a text that are folded at a time.
+BLOCK = 1 << 20
+#: Least word hashes that two texts share to count as near copies in the sample.
+SKETCH = 16
+
+
 class _Fold(dict):
     """Translation table, filled as characters turn up: letters folded, signs read as letters, all else white space."""
 
@@ -55,13 +62,13 @@ _FOLD = _Fold()
 
 
 def fold(text: str) -> str:
-    """Folded text: words apart by spaces, one at either end."""
-    return f" {text.translate(_FOLD)} "
+    """Folded text: words one space apart, one space at either end."""
+    return f" {' '.join(text.translate(_FOLD).split())} "
 
 
 def pieces(data: bytes | None):
     """A whole text, folded, in bounded parts that end between words."""
-    for block in blocks(data or b"", 1 << 20):
+    for block in blocks(data or b"", BLOCK):
         yield fold(block.decode("utf-8", "replace"))
 
 
@@ -87,28 +94,48 @@ class Lexicon:
         return a
 
 
-def hits(folded: str, automaton) -> tuple[int, float]:
-    """Number and weight of entries found outside exception phrases; of entries that start at one place the weightiest."""
+def hits(parts: str | Iterable[str], automaton) -> tuple[int, float]:
+    """Number and weight of entries found outside exception phrases, in a folded text or its parts one after the other; of
+    entries that start at one place the weightiest. The automaton goes on from part to part, so phrases may span them."""
     found: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
-    for end, (length, weight) in automaton.iter(folded):
-        start = end - length + 1
-        if weight is None:
-            spared.append((start, end))
-        elif weight > found.get(start, 0.0):
-            found[start] = weight
-    for a, b in spared:
-        for start in [s for s in found if a <= s < b]:
-            del found[start]
-    return len(found), sum(found.values())
+    search = None
+    for part in [parts] if isinstance(parts, str) else parts:
+        if search is None:
+            search = automaton.iter(part)
+        else:
+            search.set(part[1:])  # the space before it was the last part's end
+        for end, (length, weight) in search:
+            start = end - length + 1
+            if weight is None:
+                spared.append((start, end))
+            elif weight > found.get(start, 0.0):
+                found[start] = weight
+    if not spared:
+        return len(found), sum(found.values())
+    spared.sort()
+    n, total, at, reach = 0, 0.0, 0, -1
+    for start in sorted(found):  # one sweep: reach is the farthest end of the phrases that begin up to here
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if start >= reach:
+            n += 1
+            total += found[start]
+    return n, total
 
 
 def measures(data: bytes | None, automaton) -> tuple[float, float]:
     """Weight found per hundred words and, damped, in all."""
-    weight, words = 0.0, 0
-    for text in pieces(data):
-        words += len(text.split())
-        weight += hits(text, automaton)[1]
+    words = 0
+
+    def counted():
+        nonlocal words
+        for text in pieces(data):
+            words += max(0, text.count(" ") - 1)
+            yield text
+
+    weight = hits(counted(), automaton)[1]
     return math.log1p(100 * weight / max(words, 20)), math.log1p(weight)
 
 
@@ -141,20 +168,17 @@ def sample_of(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     rows = some.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__body")).join(named, "__id")
 
     def make():
-        def sketch(t):
-            words = set((t or b"").lower().split())
-            return hash(tuple(sorted(_crc(w) for w in words)[:2]))
-
         return lambda texts: [[sketch(t) for t in texts]]
 
-    marked = map_texts(rows, F.col("__body"), ["__id", "__y", "__body"], [T.StructField("__sketch", T.LongType())], make)
-    return marked.dropDuplicates(["__y", "__sketch"]).select("__y", F.col("__body").cast("binary").alias("__body"))
-
+    marked = map_texts(rows, F.col("__body"), ["__id", "__y", "__body"], [T.StructField("__sketch", T.StringType())], make)
+    # of near copies the one with the smallest key and text stays: reruns agree
+    first = F.min(F.struct("__id", "__body"))
+    return marked.groupBy("__y", "__sketch").agg(first.alias("r")).select("__y", F.col("r.__body").cast("binary").alias("__body"))
 
-def _crc(word: bytes) -> int:
-    import zlib
 
-    return zlib.crc32(word)
+def sketch(data: bytes | None) -> str:
+    """The least hashes of a text's words: near copies mostly share all of them."""
+    return ",".join(map(str, sorted({zlib.crc32(w) for w in set((data or b"").lower().split())})[:SKETCH]))
 
 
 def _document_counts(rows: DataFrame, wanted=None) -> DataFrame:
@@ -183,9 +207,10 @@ def _document_counts(rows: DataFrame, wanted=None) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn=None, sample: int = 3000, entries: int = 2000) -> Lexicon:
     """A lexicon from the labelled documents for which learn holds.
 
-    About sample labelled rows of each label are looked at: the bound of the sample. An entry is in at least 2 % of the
-    toxic ones (3 at least), at least 20 times likelier there, and that not by chance; its weight is the log of that ratio. The shortest
-    beginning that is as telling stands for the longer ones; words that begin so in clean texts become exceptions.
+    About sample labelled rows of each label are looked at: the bound of the sample. An entry is in at least 3 of the toxic
+    ones, at least 20 times likelier there, and that not by chance; its weight is the log of that ratio. The shortest
+    beginning that is as telling stands for the longer ones; words that begin so in clean texts become exceptions. Without
+    toxic or clean rows the fixed list alone is the lexicon.
     """
     prepare(docs.sparkSession)
     rows = sample_of(docs, labels, key, text, label, learn, sample).persist()
@@ -195,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         base = Lexicon({f" {fold(w).strip()} ": 3.0 for w in INSULTS}, tuple(fold(x).strip() for x in EXCEPTIONS))
         if not bad or not good:
             return base
-        least = max(3, math.ceil(0.02 * bad))
+        least = 3
         common = {r["piece"]: r["n"] for r in _document_counts(rows.filter("__y = 1")).filter(F.col("n") >= least).collect()}
         wanted = docs.sparkSession.sparkContext.broadcast(set(common))
         clean = {r["piece"]: r["n"] for r in _document_counts(rows.filter("__y = 0"), wanted).collect()}
@@ -209,13 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             short = next((q for n in range(5, len(p)) if (q := p[:n]) in chosen), None)
             if short is None or common[p] > common[short]:
                 chosen[p] = round(telling[p], 3)
-        for p, n in clean.items():  # a whole word, common in clean texts, that an entry would catch
-            if p.endswith(" ") and p not in chosen and n >= 3 and odds[p] < 0:
-                spared.add(p.strip())
-        chosen = dict(sorted(chosen.items(), key=lambda x: -x[1] * common[x[0]])[:entries])
+        chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1] * common[x[0]], x[0]))[:entries])
         for p, w in base.entries.items():
             if odds.get(p, 3.0) > 0:
                 chosen.setdefault(p, w)
+        for p, n in sorted(clean.items()):  # a whole word, common in clean texts, that a beginning among the entries would catch
+            if p.endswith(" ") and p not in chosen and n >= 3 and odds[p] < 0 and any(p[:k] in chosen for k in range(2, len(p))):
+                spared.add(p.strip())
         lexicon = Lexicon(chosen, tuple(sorted(spared)))
         measured = _measured(rows, lexicon).toPandas()
         lexicon.slope = _logistic(np.array(measured["m"].tolist(), float).reshape(-1, 2), measured["__y"].to_numpy(float))
@@ -275,9 +300,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, reg: float = 0.02) -> tuple[float, f
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
-    """docs' columns of keep (all by default), n_hits, score (0 to 1) and predicted (1 if score >= threshold, else 0).
+    """docs' columns of keep (all by default), score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts have no findings and are scored so. Columns with the names of the new ones are replaced.
+    Null and empty texts have no findings and are scored so. Texts of any length are searched whole, in parts across whose
+    borders the search goes on; the work grows in proportion to the length. Repeated rows are scored alike, an empty table
+    gives an empty table. Columns with the names of the new ones are replaced.
     """
 
     def make():

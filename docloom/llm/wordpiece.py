@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm._common import map_texts, prepare, worker_cache
-from docloom.llm.quality_gam import blocks
+from docloom.llm._common import blocks, map_texts, prepare, worker_cache
 
+#: Bytes of a text whose words are listed at a time.
+BLOCK = 1 << 22
 #: Words whose counts a worker remembers, and the mark of pieces that begin a word.
 WORDS, BEGIN = 1 << 18, "▁"
 
@@ -100,7 +101,8 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text", keep: l
     """docs' columns of keep (all by default), n_words and n_tokens of the whole text.
 
     Words end at ASCII white space; a word with a letter outside the vocabulary is one unknown token. Null and empty texts
-    have none of either. Columns with the names of the new ones are replaced.
+    have none of either. Texts of any length are counted whole, in parts that never cut a word. Repeated rows count alike, an
+    empty table gives an empty table. Columns with the names of the new ones are replaced.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
@@ -116,7 +118,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], text: str = "text", keep: l
             words, tokens = [], []
             for t in texts:
                 n = total = 0
-                for block in blocks(t or b""):
+                for block in blocks(t or b"", BLOCK):
                     found = block.split()
                     n += len(found)
                     total += sum(map(counts.__getitem__, found))
