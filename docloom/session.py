@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +25,22 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once: it needn't be installed on the executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docloom_shipped", False):
+        return
+    root, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("docloom", os.path.relpath(path, root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="docloom-"), "docloom-package.zip")  # Spark copies it from here to the executors
+    with open(path, "wb") as out:
+        out.write(held.getvalue())
+    sc.addPyFile(path)
+    sc._docloom_shipped = True
