@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.session import checkpoint
+
 
 def entity_key(name: Column) -> Column:
     """The loosest form in which names match: lower case, dots, hyphens and white space as one space; short names only as they are."""
@@ -140,3 +142,28 @@ def top_hub_rank(edges: DataFrame) -> DataFrame:
     """Nodes by number of links, both ways."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
     return ends.groupBy("node").agg(F.count("*").alias("degree")).withColumn("place", F.rank().over(Window.orderBy(F.desc("degree"))))
+
+
+def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node of a link; root is the least node that it is connected with, however long the way.
+
+    Rounds of two steps, until nothing changes: all neighbours above a node are linked to the least of its neighbourhood, then
+    all below it. They grow with the logarithm of the longest way; each is checkpointed.
+    """
+    def down(edges: DataFrame) -> DataFrame:
+        return edges.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).filter("hi != lo").distinct()
+
+    now, seen = checkpoint(down(links.select(F.col(a).alias("x"), F.col(b).alias("y")))), None
+    while True:
+        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = down(both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").select(F.col("lo").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("hi").alias("x"), F.col("m").alias("y")))
+        now = checkpoint(down(small))
+        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        if sign == seen:
+            break
+        seen = sign
+    star = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())

@@ -7,7 +7,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +44,21 @@ def ship(spark: SparkSession) -> None:
         out.write(held.getvalue())
     sc.addPyFile(path)
     sc._docloom_shipped = True
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: that of spark.checkpoint.dir. Only a local session, which has no other machines, gets one
+    of its own where that is unset; elsewhere it's an error, because a folder of one machine is lost with it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -27,7 +27,7 @@ def test_cells(spark, cell, kind, number):
 
 
 def test_column_names():
-    assert X.column_names(["GS Grade", "Step (1)", "", "Step (1)", "2024"]) == ["gs_grade", "step_1", "col_2", "step_1_1", "c_2024"]
+    assert X.column_names(["Unit Weight", None, "Unit-weight!", "7 days", "(%)", "unit weight"]) == ["unit_weight", "col_1", "unit_weight_1", "c_7_days", "col_4", "unit_weight_2"]
 
 
 @pytest.mark.parametrize("query,pattern", [
@@ -245,25 +245,73 @@ def test_repair_loop():
 # editions
 
 
-def manual(i, **facts):
-    base = dict(doc_id=str(i), content_hash=f"h{i}", identifier="M-1", product_normalized="p", headings=[], normalized_title="m", title_source="explicit")
-    return base | facts
-
-
-def test_relationship_and_order():
-    a, b = manual(1, revision="1.2", effective_date="2020-01-01"), manual(2, revision="1.10", effective_date="2021-01-01")
-    assert editions.relationship(a, b)[0] == 0.99 and editions.newer(b, a) == 1 and editions.newer(a, b) == -1
-    assert editions.newer(a | {"effective_date": "2022-01-01"}, b) is None and editions.newer(a, b | {"conflicts": ["revision"]}) is None
-    assert editions.relationship(a, manual(3, identifier="M-2"))[0] == 0.0
-    assert editions.relationship(manual(4, identifier="M-2", supersedes=["M-1 rev 1.2"]), a)[0] == 0.98
-    assert editions.relationship(a, manual(5, product_normalized="q"))[0] == 0.0
+def manuals(spark, *facts):
+    """A table of documents with the given facts about each."""
+    base = dict(identifier="M-1", product_normalized="p", headings=[], normalized_title="m", title_source="explicit", revision=None, publication_date=None, effective_date=None, environment=None, supersedes=[], applicability=[], conflicts=[])
+    kinds = ", ".join(f"{k}: {'array<string>' if isinstance(v, list) else 'string'}" for k, v in base.items())
+    rows = [(f.get("doc_id", f"d{i}"), f.get("content_hash", f"h{i}"), tuple((base | f)[k] for k in base)) for i, f in enumerate(facts)]
+    return spark.createDataFrame(rows, f"doc_id string, content_hash string, identity struct<{kinds}>")
+
+
+def pairs_of(spark, *facts):
+    return {(r.a, r.b): (r.confidence, r.reason) for r in editions.pairs(editions._profiles(manuals(spark, *facts))[0]).collect()}
+
+
+def test_relations(spark):
+    got = pairs_of(spark, {}, dict(revision="2"), dict(identifier="M-2"), dict(identifier="M-3", supersedes=["M-1 rev 1.2"]), dict(product_normalized="q"))
+    assert got == {("d0", "d1"): (0.99, "same identifier"), ("d0", "d3"): (0.98, "supersession"), ("d1", "d3"): (0.98, "supersession")}
+    sections = ["setup", "safety", "cabling", "faults"]
+    alike = [dict(identifier=None, normalized_title="campus router installation guide" + s, headings=sections) for s in ("", "s")]
+    assert pairs_of(spark, *alike) == {("d0", "d1"): (0.65, "possible")}
+    assert pairs_of(spark, alike[0], alike[0] | {"headings": sections[:3]}) == {("d0", "d1"): (0.93, "same title, product and sections")}
+    assert pairs_of(spark, alike[0], alike[1] | {"headings": ["other"]}) == {}
+    assert pairs_of(spark, dict(identifier=None, content_hash="x", normalized_title="a"), dict(content_hash="x", normalized_title="b")) == {("d0", "d1"): (1.0, "same bytes")}
+
+
+def test_pairs_against_all_pairs(spark):
+    """Blocking loses no related pair: the same conditions over all pairs of random documents give the same."""
+    rng = random.Random(3)
+    facts = [
+        dict(
+            identifier=rng.choice([None, None, f"M-{rng.randint(1, 12)}"]), content_hash=f"h{rng.randint(1, 40)}", product_normalized=rng.choice(["", "p", "q"]), normalized_title=rng.choice(["router guide", "router guides", "switch book", "a b"]),
+            title_source=rng.choice(["explicit", "filename"]), headings=rng.sample(["a1", "b2", "c3", "d4", "e5", "f6"], rng.randint(0, 6)), supersedes=rng.choice([[], [f"M-{rng.randint(1, 12)} rev 1"]]),
+        )
+        for _ in range(40)
+    ]
+    profiles = editions._profiles(manuals(spark, *facts))[0]
+    x, y = profiles.select(F.col("doc_id").alias("a"), F.col("d").alias("x")), profiles.select(F.col("doc_id").alias("b"), F.col("d").alias("y"))
+    every = x.crossJoin(y).filter("a < b").withColumn("alike", editions._likeness("x.normalized_title", "y.normalized_title"))
+    want = every.withColumn("r", editions.related(F.col("x"), F.col("y"), F.col("alike"))).select("a", "b", "r.confidence", "r.reason").filter("confidence > 0")
+    assert sorted(map(tuple, editions.pairs(profiles).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_newer(spark):
+    def sign(a, b):
+        d = manuals(spark, a, b).select("doc_id", "identity")
+        x, y = d.filter("doc_id = 'd0'").select(F.col("identity").alias("x")), d.filter("doc_id = 'd1'").select(F.col("identity").alias("y"))
+        return x.crossJoin(y).select(editions.newer(F.col("x"), F.col("y"))).first()[0]
+
+    old, new = dict(revision="1.2", effective_date="2020-01-01"), dict(revision="1.10", effective_date="2021-01-01")
+    assert sign(new, old) == 1 and sign(old, new) == -1 and sign(old, old) is None
+    assert sign(old | {"effective_date": "2022-01-01"}, new) is None and sign(old, new | {"conflicts": ["revision"]}) is None
+    assert sign(dict(supersedes=["M-1 revision 3"]), dict(revision="3")) == 1 and sign(dict(supersedes=["M-1 revision 4"]), dict(revision="3")) is None
+
+
+@pytest.mark.parametrize("facts,asked,fits", [
+    (dict(applicability=["2.0 - 2.9"]), "2.4", True), (dict(applicability=[">= 3"]), "2.4", False), (dict(applicability=["2.4"]), "2.4.1", True), (dict(applicability=["all models"]), "2.4", None),
+    ({}, "2.4", None), (dict(environment="lab"), "2.4", False), (dict(environment="Prod"), "2.4", None), (dict(applicability=["1.0 to 1.5", "at least 2.0"]), "2.4", True),
+])
+def test_applicability(spark, facts, asked, fits):
+    c = editions.request_context(f"we run firmware {asked} in prod")
+    assert c["software_version"] == asked and c["environment"] == "production"
+    assert manuals(spark, facts).select(editions.applicable(F.col("identity"), c)).first()[0] is fits
 
 
-def test_applicability():
-    c = editions.request_context("we run firmware 2.4 in prod")
-    assert c["software_version"] == "2.4" and c["environment"] == "production"
-    assert editions.applicable({"applicability": ["2.0 - 2.9"]}, c) is True and editions.applicable({"applicability": [">= 3"]}, c) is False
-    assert editions.applicable({"applicability": ["2.4"]}, c) is True and editions.applicable({}, c) is None and editions.applicable({"environment": "lab"}, c) is False
+def test_families_of_a_long_chain(spark):
+    """Nine manuals, each superseding the one before: complete linkage pairs them off, however long the chain."""
+    facts = [dict(identifier=f"M-{i}", normalized_title=f"t{i}", supersedes=[f"M-{i - 1}"] if i else [], doc_id=f"{i:02}") for i in range(9)]
+    got = {r.doc_id: r.family for r in editions.families(manuals(spark, *facts)).collect()}
+    assert got == {f"{i:02}": f"{i - i % 2:02}" for i in range(9)}
 
 
 def test_select_editions(spark):
@@ -322,11 +370,25 @@ def test_evidence():
     assert len(evidence.rows_that_fit([{"a": "x" * 10}] * 100, 600)) == 25
     assert evidence.batches(["aa", "bb", "cccccc", "d"], 4) == [["aa", "bb"], ["cccccc"], ["d"]]
     assert evidence.reduced(["a", "b", "c", "d", "e"], "".join, 2) == "abcde" and evidence.reduced([], "".join, 2) == ""
-    assert evidence.unsupported_quotes('He said "the quick  brown" and "never written"', ["The quick brown fox"]) == ["never written"]
     assert evidence.envelope('{"status": "Partial", "answer": "x"}') == {"status": "partial", "answer": "x"} and evidence.envelope("status: none\nnothing") == {"status": "none", "answer": "nothing"}
     assert evidence.without_reasoning("<think>a</think>Answer") == "Answer"
 
 
+def test_quotes():
+    valve = evidence.Source("Ev", "Close valve 7 5 before DO NOT START is lit.", "valve.pdf")
+    check = lambda said, *sources, q="": evidence.unsupported_quotes(said, sources or [valve], q)
+    assert check('It says "Close\n valve" [Ev].') == [] and check('It says "close valve" [Ev].') == ["close valve"]
+    assert check('"DO NOT START" [Ev]') == [] and check('"do not start" [Ev]') == ["do not start"] and check('"DO NOT START" [Ex]') == ["DO NOT START"]
+    assert check('"valve 75" [Ev]') == ["valve 75"] and check('"DO NOT\u00ad START" [Ev]') == []
+    assert check('"lamp" [Ev]', q="what is the lamp?") == [] and check("`lamp` [Ev]", q="what is the lamp?") == ["lamp"] and check("`valve.pdf` [Ev]") == []
+    assert check('```mermaid\na["x y"]\n```\n"Close valve" [Ev]') == []
+    made = evidence.Source("Em", "Document: a.pdf\nSummary: Safe at any speed.\n\nSlow down.")
+    assert check('"Safe at any speed" [Em]', made) == ["Safe at any speed"] and check('"Slow down" [Em]', made) == []
+    assert check('"Slow down" [Em]', evidence.Source("Em", "Slow down.", kind="derived")) == ["Slow down"]
+    assert evidence.has_source_quote('so "Slow" [Em]', [made]) and not evidence.has_source_quote("plain") and not evidence.has_source_quote('"lamp"', [], "lamp?")
+    assert evidence.has_source_quote("`Slow down` [Em]", [made]) and not evidence.has_source_quote("`Hurry` [Em]", [made])
+
+
 # files
 
 
