@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.session import ship
+from docloom.session import checkpoint_folder, ship
 
 #: ASCII white space of the word definition: space and \t \n \v \f \r. bytes.split() splits at exactly these.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,19 +30,11 @@ BATCH, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to Python workers, keep Arrow batches of documents small, and see to a checkpoint folder.
-
-    The folder is that of spark.checkpoint.dir. Only a local session, which has no other machines, gets one of its own where
-    that is unset; elsewhere it's an error, because a folder of one machine is lost with it.
-    """
+    """Ship the package to Python workers, keep Arrow batches of documents small, and see to a checkpoint folder."""
     if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH:
         spark.conf.set(BATCH_KEY, str(BATCH))
     ship(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-checkpoints-"))
+    checkpoint_folder(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
