@@ -12,6 +12,7 @@ PATTERN_STOP = (
     "its that this those can could would should will may might must shall tell me list show find give get"
 ).split()
 ORGANISATIONS = ("army", "navy", "air force", "marine corps", "dha", "dla", "defense health agency", "defense logistics agency", "u.s. army corps of engineers")
+# How dates, amounts and long numbers are spelled in a query pattern.
 DATE = (
     r"(?i)(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
     r"[\w.]*\s+\d{1,2}(?:st|nd|rd|th)?(?:\s*,?\s*\d{4})?"
@@ -32,6 +33,7 @@ ROLES = {
     "interpretation": r"if .* (?:then|indicates|means)|indicates|expected|otherwise",
     "correction": r"remediat|corrective|resolution|workaround|repair",
 }
+# Fixed value: a version.
 VERSION = r"\d+(?:\.\d+){0,3}(?:[a-z])?"
 # What marks a line of a web page as furniture.
 SOCIAL = ("facebook.com", "instagram.com", "linkedin.com", "youtube.com", "twitter.com", "/#facebook", "/#x)", "/#email")

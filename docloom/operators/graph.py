@@ -6,8 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from docloom.session import checkpoint
 
 
@@ -82,9 +80,11 @@ def merged(edges: DataFrame, mapping: DataFrame, ends: Sequence[str] = ("source"
 def merge_candidates(entities: DataFrame, most_difference: float = 0.7) -> DataFrame:
     """Pairs of one type whose names may be the same: equal but for case (auto) or equal in loose form (propose).
 
-    Blocked by the loose key instead of comparing all pairs of a type. Pairs whose lengths differ by over 70 % are left out.
+    Blocked by the loose key instead of comparing all pairs of a type. Nodes of one spelling are a class: pairs are between
+    the least nodes of two spellings, and name_classes() says who belongs to them, so that a common name gives no more pairs
+    than a rare one. Pairs whose lengths differ by over 70 % are left out.
     """
-    e = entities.withColumn("k", entity_key(F.col("name")))
+    e = name_classes(entities).filter("node = keep").drop("keep").withColumn("k", entity_key(F.col("name")))
     a, b = e.alias("a"), e.alias("b")
     on = (F.col("a.k") == F.col("b.k")) & (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.node") < F.col("b.node"))
     la, lb = F.length("a.name"), F.length("b.name")
@@ -92,6 +92,12 @@ def merge_candidates(entities: DataFrame, most_difference: float = 0.7) -> DataF
     return pairs.select(F.col("a.node").alias("keep"), F.col("b.node").alias("remove"), F.when(F.lower("a.name") == F.lower("b.name"), "auto").otherwise("propose").alias("outcome"))
 
 
+def name_classes(entities: DataFrame) -> DataFrame:
+    """M6: entities (node, name, entity_type) and keep, the least node of their spelling and type."""
+    least = entities.groupBy("name", "entity_type").agg(F.min("node").alias("keep"))
+    return entities.select("node", "name", "entity_type").join(least, ["name", "entity_type"]).select("node", "name", "entity_type", "keep")
+
+
 def verdict(confidence: Column) -> Column:
     """M6: what a judge's confidence leads to."""
     return F.when(confidence >= 0.9, "auto").when(confidence >= 0.7, "propose").otherwise("reject")
@@ -138,10 +144,17 @@ def capitalised(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})*)"), 1))
 
 
-def top_hub_rank(edges: DataFrame) -> DataFrame:
-    """Nodes by number of links, both ways."""
+def hubs(edges: DataFrame, most: int = 100) -> DataFrame:
+    """The most nodes with the most links, both ways."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"))
-    return ends.groupBy("node").agg(F.count("*").alias("degree")).withColumn("place", F.rank().over(Window.orderBy(F.desc("degree"))))
+    return ends.groupBy("node").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(most)
+
+
+def sizes(edges: DataFrame) -> DataFrame:
+    """Numbers of nodes and links, links counted once each."""
+    links = edges.select("source", "target").distinct().agg(F.count("*").alias("n_edges"))
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().agg(F.count("*").alias("n_nodes"))
+    return nodes.crossJoin(links)  # one row each
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

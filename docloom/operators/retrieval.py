@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +15,8 @@ from docloom.functions import text as X
 from docloom.functions import vectors as V
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Rows of a group that is packed into a budget.
+MOST_ROWS = 100_000
 
 
 def vector_topk(rows: DataFrame, query: Sequence[float], k: int = 10, vector: str = "vector", key: str = "id") -> DataFrame:
@@ -35,6 +39,53 @@ def postings(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return base.select(key, F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
+@dataclass(frozen=True)
+class TermIndex:
+    """An inverted index, written once: postings in buckets of their terms, sorted by term, and the facts of the whole.
+
+    A question reads the buckets of its terms, and of these the row groups with the terms: the texts are never read again.
+    """
+
+    spark: SparkSession
+    path: str
+    key: str
+    buckets: int
+
+    @staticmethod
+    def _bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+    @classmethod
+    def write(cls, rows: DataFrame, path: str, key: str = "id", text: str = "text", buckets: int = 64) -> TermIndex:
+        """buckets should grow with the vocabulary; a term's postings are one sorted run, however common it is."""
+        spark = rows.sparkSession
+        size = rows.select(F.size(tokens(F.col(text))).alias("len"))
+        size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).write.parquet(f"{path}/facts")
+        p = postings(rows, key, text).withColumn("bucket", cls._bucket(F.col("term"), buckets))
+        # dealt by ranges of (bucket, term, key): a common term may fill several tasks
+        p.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        return cls(spark, path, key, buckets)
+
+    def search(self, query: str, k: int = 10, keys: DataFrame | None = None) -> DataFrame:
+        """The k best rows by BM25, ties by key; keys: only these rows may be among them. Facts are those of all rows."""
+        terms = query_words(query)
+        number = {t: r for t, r in zip(terms, self.spark.range(1).select(*[self._bucket(F.lit(t), self.buckets).alias(f"b{i}") for i, t in enumerate(terms)]).first() or (), strict=True)}
+        found = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(*set(number.values())) & F.col("term").isin(*terms))
+        facts = self.spark.read.parquet(f"{self.path}/facts").first()  # one row
+        df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term asked for
+        idf = F.lit(0.0)
+        for t, n in df.items():
+            idf = F.when(F.col("term") == t, F.lit(math.log(1 + (facts["n"] - n + 0.5) / (n + 0.5)))).otherwise(idf)
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (facts["avg_len"] or 1.0)))
+        found = found if keys is None else found.join(keys.select(self.key), self.key, "left_semi")
+        return found.groupBy(self.key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), self.key).limit(k)
+
+
+def query_words(query: str) -> list[str]:
+    """Distinct tokens of a question, see tokens()."""
+    return sorted({t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
+
+
 def _times(tokens_: Column, term: str) -> Column:
     return F.size(F.filter(tokens_, lambda w: w == term))
 
@@ -45,11 +96,12 @@ def bm25(rows: DataFrame, query: str, k: int = 10, key: str = "id", text: str =
     Term frequencies are counted inside the row, so that nothing but matching rows leaves the scan; N and the mean
     length come from one aggregate.
     """
-    terms = sorted({t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
+    terms = query_words(query)
     if not terms:
         return rows.select(key).withColumn("score", F.lit(0.0)).limit(0)
-    base = rows.select(F.col(key), tokens(F.col(text)).alias("w"))
-    counts = base.select(key, F.size("w").alias("len"), *[_times(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = tokens(F.col(text))  # the question's words of a row are picked once, then counted among few
+    base = rows.select(F.col(key), F.size(words).alias("len"), F.filter(words, lambda w: w.isin(*terms)).alias("w"))
+    counts = base.select(key, "len", *[_times(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
     facts = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counts.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(facts))  # facts is one row
     total = F.lit(0.0)
@@ -194,11 +246,14 @@ def neighbours(seeds: DataFrame, chunks: DataFrame, window: int = 1, score: floa
 def greedy_budget(rows: DataFrame, group: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
     """Rows admitted in order while they fit; one that doesn't is skipped and later ones still may.
 
-    Not a running sum, so each group is folded in Python. Groups are bounded before (a section's or an answer's rows).
+    Not a running sum, so each group is folded in Python. Groups are bounded before (a section's or an answer's rows): one
+    of over MOST_ROWS is an error.
     """
     schema = rows.schema
 
     def admit(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > MOST_ROWS:
+            raise ValueError(f"a group of {len(frame)} rows: bound it before it is packed")
         frame = frame.sort_values(list(order), kind="stable")
         left, keep = budget, []
         for n in frame[size]:

@@ -73,16 +73,24 @@ def append_unique(target: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return target.unionByName(fresh, allowMissingColumns=True)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, row: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, row: str, stretch: Column | None = None) -> DataFrame:
     """Left rows with the latest right row of their key at or before their time, null if there is none.
 
-    Both sides are sorted together once and the last right row is carried on, so a key's pairs are never formed.
+    Both sides are sorted together once and the last right row is carried on, so a key's pairs are never formed. A key is
+    sorted by stretches of time (days, unless given), and the last right row of each is carried on to the later ones: a key
+    with very many rows is many tasks.
     """
+    stretch = F.date_trunc("day", F.col(time)) if stretch is None else stretch
     l = left.withColumn("__side", F.lit(1)).withColumn("__r", F.lit(None).cast(right.schema[row].dataType))
     r = right.withColumn("__side", F.lit(0)).withColumn("__r", F.col(row))
-    both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(*key).orderBy(time, "__side", row).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"right_{row}", F.last("__r", ignorenulls=True).over(order)).filter("__side = 1").drop("__side", "__r")
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("__s", stretch)
+    here = Window.partitionBy(*key, "__s").orderBy(time, "__side", row).rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.filter("__side = 0").groupBy(*key, "__s").agg(F.max_by("__r", F.struct(time, row)).alias("__last"))
+    asked = both.select(*key, "__s").distinct()
+    before = Window.partitionBy(*key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asked.join(ends, [*key, "__s"], "left").withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+    found = both.withColumn("__here", F.last("__r", ignorenulls=True).over(here)).filter("__side = 1").join(carried, [*key, "__s"], "left")
+    return found.withColumn(f"right_{row}", F.coalesce("__here", "__carried")).drop("__side", "__r", "__s", "__here", "__carried")
 
 
 def deltas(rows: DataFrame, group: Sequence[str], time: str, row: str) -> DataFrame:

@@ -19,6 +19,10 @@ SHEET = ("doc_id", "sheet")
 SCAN, LEAST_FILLED, MOST_NUMERIC, LEAST_CELLS, LEAST_ROWS, RECTANGULAR, CONSISTENT = 10, 0.6, 0.3, 2, 3, 0.8, 0.8
 
 
+#: Rows of a sheet at most: the limit of the file format.
+SHEET_ROWS = 1 << 20
+
+
 def kinds(cells: Column) -> Column:
     return F.transform(cells, X.cell_kind)
 
@@ -159,9 +163,11 @@ def consistent_run(rows: Sequence[Sequence[str | None]], header: int) -> int:
 
 def regions(grid: DataFrame) -> DataFrame:
     """H8, K5: header_row and end (exclusive) of each sheet's longest consistent run of at least three rows, the first of
-    equals. Whether a row joins hangs on all before it, so a sheet is walked in Python; a sheet's rows are bounded."""
+    equals. Whether a row joins hangs on all before it, so a sheet is walked in Python; file formats bound its rows."""
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > SHEET_ROWS:
+            raise ValueError(f"a sheet of {len(frame)} rows is none")
         frame = frame.sort_values("row_idx")
         rows = [list(c) for c in frame["cells"]]
         best = (0, -1, -1)

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import retrieval as R
+from docloom.session import checkpoint_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as catalog: types by number, source as category (every seventh has none), two groups each."""
+    """documents as catalog: types by number, source as category (every seventh has none), two groups each. Every fifth may share its
+    file name with others."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id",
-        F.concat(F.lit("doc-"), F.col("doc_id") % 400, F.lit(".txt")).alias("filename"),
+        F.concat(F.lit("doc-"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 400).otherwise(F.col("doc_id")), F.lit(".txt")).alias("filename"),
         F.get(F.array(F.lit("pdf"), F.lit("docx"), F.lit("txt")), (F.col("doc_id") % 3).cast("int")).alias("doc_type"),
         F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("source")).alias("category"),
         (F.col("doc_id") % 5).alias("dataset_id"),
@@ -28,7 +34,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CATALOG = """
 catalog as (
-  select doc_id, 'doc-' || (doc_id % 400) || '.txt' as filename,
+  select doc_id, 'doc-' || case when doc_id % 5 = 0 then doc_id % 400 else doc_id end || '.txt' as filename,
          case doc_id % 3 when 0 then 'pdf' when 1 then 'docx' else 'txt' end as doc_type,
          case when doc_id % 7 = 0 then '' else source end as category, doc_id % 5 as dataset_id,
          ['g' || (doc_id % 4), case when doc_id % 10 = 0 then 'ALL' else 'h' || (doc_id % 6) end] as acl_groups,
@@ -139,8 +145,8 @@ entities as (
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier and part rows as untyped sheets: a header row, then cells as text; every 17th part cell is odd."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 150")
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 150")
+    p = table(spark, sf_dir, "part")
+    s = table(spark, sf_dir, "supplier")
     head = spark.createDataFrame(
         [("part", "parts", 0, ["Part Name", "Brand", "Size (cm)", "Retail Price"]), ("supplier", "suppliers", 0, ["Supplier", "Nation", "Balance"])],
         "doc_id string, sheet string, row_idx int, cells array<string>",
@@ -154,3 +160,31 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("s_name", F.when(F.col("s_suppkey") % 2 == 0, "n/a").otherwise(F.col("s_nationkey").cast("string")), F.format_string("%.2f", "s_acctbal")).alias("cells"),
     )
     return head.unionByName(parts).unionByName(sups)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, files: dict[str, bytes]) -> str:
+    """A new folder with these few small files, in whatever store the shared folder is."""
+    path = folder(spark, "files")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, data in files.items():
+        out = fs.create(hadoop(f"{path}/{name}"))
+        out.write(bytearray(data))
+        out.close()
+    return path
+
+
+_INDEXES: dict[tuple[str, str], R.TermIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> R.TermIndex:
+    """The term index of documents, written once a session."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _INDEXES:
+        _INDEXES[name] = R.TermIndex.write(catalog(spark, sf_dir), folder(spark, "terms"), "doc_id")
+    return _INDEXES[name]

@@ -168,7 +168,7 @@ def m2_c22_induced(spark: SparkSession, sf: str) -> DataFrame:
 
 def m6_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
     p = bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("name"), F.col("p_type").alias("entity_type"))
-    return M.merge_candidates(p.filter("p_partkey <= 300"))
+    return M.merge_candidates(p)
 
 
 def c16_entity_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,8 +296,8 @@ ORACLE_SQL = {
     "m5_merged": f"with {bind.EDGES}, k as (select case when source in ('n1', 'n2', 'n3') then 'n0' else source end as source, case when target in ('n1', 'n2', 'n3') then 'n0' else target end as target, relation_type from edges where relation_type != 'placed_by') select distinct * from k where source != target",
     "m9_view": f"with {bind.EDGES}, {bind.ENTITIES}, c as (select node, count(*) as n from (select target as node from edges union all select source from edges) group by 1) select e.*, coalesce(n, 0) as n_mentions, least(60, greatest(20, 20 + 5 * coalesce(n, 0)))::bigint as size from entities e left join c using (node)",
     "m2_c22_induced": f"with {bind.EDGES} select source, target, relation_type from edges where relation_type = 'part_of'",
-    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case when p_partkey % 2 = 0 then upper(p_brand) else replace(p_brand, '#', '-') end as name, p_type as t from part where p_partkey <= 300),
-        k as (select *, trim(regexp_replace(lower(name), '[.\\-\\s]+', ' ', 'g')) as k from p)
+    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case when p_partkey % 2 = 0 then upper(p_brand) else replace(p_brand, '#', '-') end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t),
+        k as (select *, trim(regexp_replace(lower(name), '[.\\-\\s]+', ' ', 'g')) as k from c)
         select a.node as keep, b.node as remove, case when lower(a.name) = lower(b.name) then 'auto' else 'propose' end as outcome from k a join k b on a.k = b.k and a.t = b.t and a.node < b.node""",
     "c16_entity_search": f"with {bind.ENTITIES} select * from entities where name ilike '%AN%' and entity_type = 'nation'",
     "i9_resolved_entities": """with m as (select case p_partkey % 3 when 0 then lower(p_brand) when 1 then replace(p_brand, '#', '-') else p_brand end as name, p_type as entity_type, p_partkey as d from part),

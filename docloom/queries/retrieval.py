@@ -55,7 +55,7 @@ def d1_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d4_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(bind.catalog(spark, sf), QUESTION, 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    return bind.index(spark, sf).search(QUESTION, 20).select("doc_id", F.round("score", 4).alias("score"))
 
 
 def d4_postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +148,7 @@ def e12_figure_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h2_greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
-    d = bind.catalog(spark, sf).filter("doc_id < 200").select((F.col("doc_id") % 10).alias("section"), "doc_id", F.length("text").alias("n_chars_"))
+    d = bind.catalog(spark, sf).select(F.floor(F.col("doc_id") / 20).alias("section"), "doc_id", F.length("text").alias("n_chars_"))
     return R.greedy_budget(d, ["section"], ["doc_id"], "n_chars_", 8000)
 
 
@@ -216,7 +216,7 @@ ORACLE_SQL = {
     "c3_catalog_literal_all": f"with {bind.CATALOG} select doc_id from catalog where list_has_any(acl_groups, ['ALL'])",
     "x12_strict_original": f"with {bind.CATALOG} select doc_id from catalog where list_has_any(acl_groups, ['h3'])",
     "c2_scope_filter": f"with {bind.CHUNKS} select id, doc_id, chunk_index from chunks where list_has_any(acl_groups, ['g1', 'g3']) and chunk_size_tier = 'medium' and doc_id in (2, 4, 6, 13, 30)",
-    "c21_graph_paths": "select doc_id from documents where (doc_id % 400) % 2 = 0 and ((doc_id * 3) % 400) % 2 = 0",
+    "c21_graph_paths": "select doc_id from documents where (doc_id % 5 = 0 or doc_id < 400) and doc_id % 2 = 0 and ((doc_id * 3) % 400) % 2 = 0",
     "c21_allowed_filenames": f"with {bind.CATALOG} select filename from catalog group by filename having bool_and(list_has_any(acl_groups, ['g0', 'g1', 'h2']))",
     "d1_vector_topk": _near(10, "list_has_any(acl_groups, ['g0', 'g1']) and chunk_size_tier = 'medium'") + "select id, round(distance, 4) as distance, round(score, 4) as score from top",
     "d4_bm25": f"with {BM25} select doc_id, round(score, 4) as score from bm order by bm.score desc, doc_id limit 20",
@@ -254,6 +254,10 @@ ORACLE_SQL = {
     "e12_figure_pages": f"""with {bind.CHUNKS}, p as (select id, doc_id, chunk_index + 1 as page from chunks), a as (select doc_id, page from p where id % 23 = 0),
         m as (select p.id, p.doc_id, p.page, abs(p.page - a.page) as away, p.page < a.page as ahead from p join a on p.doc_id = a.doc_id and p.page between greatest(1, a.page - 1) and a.page + 2),
         r as (select *, row_number() over (partition by id order by away, ahead) as k from m) select id, doc_id, page, away, ahead from r where k = 1""",
+    "h2_greedy_budget": """with s as (select doc_id // 20 as section, list(length(text) order by doc_id) as ns, list(doc_id order by doc_id) as ids from documents group by 1),
+        e as (select section, ns, unnest(ids) as doc_id, generate_subscripts(ids, 1) as i from s),
+        u as (select section, doc_id, ns[i] as n_chars_, list_reduce(list_prepend(0, ns[1:i - 1]), lambda a, x: case when a + x <= 8000 then a + x else a end) as used from e)
+        select section, doc_id, n_chars_::int as n_chars_ from u where used + n_chars_ <= 8000""",
     "i1_keyed_union": f"with {bind.CHUNKS} select id, doc_id, chunk_index from chunks where id % 3 = 0 or id % 2 = 0",
     "o4_per_document": f"with {bind.CHUNKS} select id from chunks where chunk_index < 3",
     "o7_tier_fallback": f"with {bind.CHUNKS}, c as (select * from chunks where doc_id % 3 != 0 or chunk_size_tier = 'medium') select id from c",

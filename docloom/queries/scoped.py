@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ def c11_type_after_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def c12_speaker(spark: SparkSession, sf: str) -> DataFrame:
     t = bind.table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.when(F.rtrim("text").endswith("?"), "question").otherwise("statement").alias("utterance_type"))
-    return C.speaker_filter(t.orderBy("conv_id", "turn").limit(50), "ASSIST", "statement").select("conv_id", "turn")
+    return C.speaker_filter(t, "ASSIST", "statement").select("conv_id", "turn")
 
 
 def c17_suggested(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,8 +78,8 @@ def d9_chosen_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d23_graph_sources(spark: SparkSession, sf: str) -> DataFrame:
-    hints = bind.catalog(spark, sf).filter("doc_id < 300").select(F.col("doc_id").alias("hint_id"), F.substring("text", 1, 400).alias("text"), "filename")
-    return C.graph_sources(hints, "that with then there", bind.catalog(spark, sf).filter("doc_id < 350"))
+    hints = bind.catalog(spark, sf).select(F.col("doc_id").alias("hint_id"), "text", "filename")
+    return C.graph_sources(hints, "that with then there onre", bind.catalog(spark, sf))
 
 
 def x28_activity(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,12 +90,12 @@ def x28_activity(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     l = bind.table(spark, sf, "lineitem")
-    return l.select((F.col("l_orderkey") % 50).alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), F.monotonically_increasing_id().alias("line_id"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_suppkey") * 7 % 700).cast("double").alias("top")).withColumns({"x1": F.col("x0") + 60, "bottom": F.col("top") + 10})
+    return l.select(F.floor(F.col("l_orderkey") / 20).alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), F.monotonically_increasing_id().alias("line_id"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_suppkey") * 7 % 700).cast("double").alias("top")).withColumns({"x1": F.col("x0") + 60, "bottom": F.col("top") + 10})
 
 
 def _boxes(spark: SparkSession, sf: str) -> DataFrame:
-    o = bind.table(spark, sf, "orders").filter("o_orderkey % 40 = 0")
-    return o.select((F.col("o_orderkey") % 50).alias("doc_id"), (F.col("o_orderkey") % 3).cast("int").alias("page"), (F.col("o_custkey") % 400).cast("double").alias("x0"), (F.col("o_custkey") * 3 % 600).cast("double").alias("top")).withColumns({"x1": F.col("x0") + 150, "bottom": F.col("top") + 120})
+    o = bind.table(spark, sf, "orders")
+    return o.select(F.floor(F.col("o_orderkey") / 20).alias("doc_id"), (F.col("o_orderkey") % 3).cast("int").alias("page"), (F.col("o_custkey") % 400).cast("double").alias("x0"), (F.col("o_custkey") * 3 % 600).cast("double").alias("top")).withColumns({"x1": F.col("x0") + 150, "bottom": F.col("top") + 120})
 
 
 def e24_outside_boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +149,7 @@ def d17_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 def d18_candidates(spark: SparkSession, sf: str) -> DataFrame:
     a = R.vector_topk(bind.chunks(spark, sf), bind.query_vector(spark, sf), 40).groupBy("doc_id").agg(F.max("score").alias("score"))
-    b = bind.catalog(spark, sf).filter("doc_id < 50").select("doc_id", (F.col("n_chars") % 13).cast("double").alias("score"))
+    b = bind.catalog(spark, sf).select("doc_id", (F.col("n_chars") % 1009).cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(40)
     return S.map_reduce_candidates(a, b).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -161,13 +159,11 @@ def d20_cross_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b1_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Append twice, the second time with a new column, delete, compact; the rows that are left. On a cluster the
-    folder is the shared one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    store = stores.Store(spark, f"{folder}/store-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}")
+    """Append twice, the second time with a new column, delete, compact; the rows that are left."""
+    store = stores.Store(spark, bind.folder(spark, "store"))
     n = bind.table(spark, sf, "nation")
     store.append(n.filter("n_nationkey < 10").withColumn("id", stores.row_id("n_nationkey")))
-    store.append(n.filter("n_nationkey >= 10").withColumn("kind", F.lit("late")), {"kind": F.lit("early")})
+    store.append(n.filter("n_nationkey >= 10").withColumn("kind", F.lit("late")), {"kind": "early"})
     store.delete(n.filter("n_regionkey = 2"), "n_nationkey")
     store.optimise(1)
     return store.read().select("n_nationkey", "kind", F.col("id").isNotNull().alias("has_id"))
@@ -175,8 +171,8 @@ def b1_store(spark: SparkSession, sf: str) -> DataFrame:
 
 ALLOWED = "select doc_id from labels"
 BOXES = """
-l as (select l_orderkey % 50 as doc_id, (l_linenumber % 3)::int as page, (l_partkey % 500)::double as x0, ((l_suppkey * 7) % 700)::double as top, row_number() over () as line_id from lineitem),
-b as (select o_orderkey % 50 as doc_id, (o_orderkey % 3)::int as page, (o_custkey % 400)::double as x0, ((o_custkey * 3) % 600)::double as top from orders where o_orderkey % 40 = 0)"""
+l as (select l_orderkey // 20 as doc_id, (l_linenumber % 3)::int as page, (l_partkey % 500)::double as x0, ((l_suppkey * 7) % 700)::double as top, row_number() over () as line_id from lineitem),
+b as (select o_orderkey // 20 as doc_id, (o_orderkey % 3)::int as page, (o_custkey % 400)::double as x0, ((o_custkey * 3) % 600)::double as top from orders)"""
 NEAR = """
  near as (select c.*, list_sum(list_transform(range(1, len(c.vector) + 1), lambda i: power(c.vector[i]::double - q.v[i]::double, 2))) as distance
           from chunks c, (select embedding as v from embeddings where vec_id = 7) q)"""
@@ -186,7 +182,7 @@ ORACLE_SQL = {
     "c4_revisions_differ": "select true as same, true as other",
     "c5_scoped_schemas": f"with {bind.CATALOG} select 'doc_' || doc_id as table_name from catalog where doc_id % 3 = 0 and dataset_id = 1 and list_contains(acl_groups, 'g2') union all select 'sales'",
     "c11_type_after_topk": f"with {bind.CHUNKS}, {NEAR}, t as (select id from near order by distance, id limit 30) select id from t where id % 2 = 0",
-    "c12_speaker": "with t as (select * from conversations order by conv_id, turn limit 50) select conv_id, turn from t where role ilike '%assist%' and not rtrim(text) like '%?'",
+    "c12_speaker": "select conv_id, turn from conversations where role ilike '%assist%' and not rtrim(text) like '%?'",
     "c17_suggested": "with k as (select p_partkey as name, generate_subscripts(w, 1) as i, unnest(w) as keyword from (select p_partkey, string_split(p_name, ' ') as w from part)), h as (select *, row_number() over (partition by name order by i) as p from k where contains('a red bolt, or a cold gear?', lower(keyword))) select name, keyword from h where p = 1",
     "c18_all_sources": "select 'category' as kind, r_name as name, 'd' as description from region union all select 'schema', n_name, 'n' from nation",
     "c19_listed": f"with {bind.CATALOG} select doc_id, filename from catalog where dataset_id = 2 and doc_type = 'pdf'",
@@ -197,9 +193,9 @@ ORACLE_SQL = {
         / sqrt(list_sum(list_transform(q.v, lambda x: x::double * x::double))) as sim from embeddings e, (select embedding as v from embeddings where vec_id = 7) q) select table_name from s where sim >= 0.1 order by sim desc, table_name limit 8""",
     "d9_chosen_tables": """with s as (select 't' || e.vec_id as table_name, list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::double * q.v[i]::double)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double)))
         / sqrt(list_sum(list_transform(q.v, lambda x: x::double * x::double))) as sim from embeddings e, (select embedding as v from embeddings where vec_id = 7) q), t as (select table_name, row_number() over (order by sim desc, table_name) as p from s) select table_name from t where p in (1, 4)""",
-    "d23_graph_sources": f"""with {bind.CATALOG}, h as (select doc_id as hint_id, lower(substr(text, 1, 400)) as t, filename from catalog where doc_id < 300),
-        s as (select *, (contains(t, 'that')::int + contains(t, 'with')::int + contains(t, 'then')::int + contains(t, 'there')::int) as shared from h), b as (select * from s where shared > 0 order by shared desc, hint_id limit 3),
-        f as (select filename, min(doc_id) as doc_id from catalog where doc_id < 350 group by 1 having count(*) = 1) select hint_id, doc_id, shared from b join f using (filename)""",
+    "d23_graph_sources": f"""with {bind.CATALOG}, h as (select doc_id as hint_id, lower(text) as t, filename from catalog),
+        s as (select *, (contains(t, 'that')::int + contains(t, 'with')::int + contains(t, 'then')::int + contains(t, 'there')::int + contains(t, 'onre')::int) as shared from h), b as (select * from s where shared > 0 order by shared desc, hint_id limit 3),
+        f as (select filename, min(doc_id) as doc_id from catalog group by 1 having count(*) = 1) select hint_id, doc_id, shared from b join f using (filename)""",
     "x28_activity": "select case when event_id % 9 = 0 then 'error' when event_id % 4 = 0 then 'cache' when event_id % 7 != 0 then event_type else 'unknown' end as strategy, count(*) as n from events group by 1",
     "e24_outside_boxes": f"with {BOXES} select doc_id, page, count(*) as n from l where not exists (select 1 from b where b.doc_id = l.doc_id and b.page = l.page and l.x0 + 30 between b.x0 and b.x0 + 150 and l.top + 5 between b.top and b.top + 120) group by all",
     "a10_split_words": f"""with {BOXES}, c as (select distinct doc_id, page, x0 as x from b), w as (select l.doc_id, l.page, l.line_id, bool_or(c.x > l.x0 and c.x < l.x0 + 60) as cut from l join c using (doc_id, page) group by all)
@@ -214,7 +210,7 @@ ORACLE_SQL = {
     "o6_page_order": "select event_id, row_number() over (partition by user_id % 20, event_id % 3 order by event_id * 31 % 97, event_id * 17 % 89, event_type != 'view', event_id)::int as place from events",
     "d17_sweep": f"""with {bind.CHUNKS}, {NEAR}, k as (select c.* from chunks c join documents d on d.doc_id = c.id), s as (select doc_id, 1 / (1 + distance) as score from near where chunk_index = 0 and id in (select id from k) order by distance, id limit 20),
         d as (select doc_id from (select doc_id, max(score) as m from s group by 1) where m >= 0.3 * (select max(score) from s)) select id, doc_id, chunk_index from k where doc_id in (select doc_id from d) and chunk_index < 5""",
-    "d18_candidates": f"""with {bind.CHUNKS}, {NEAR}, a as (select doc_id, max(1 / (1 + distance)) as score from (select * from near order by distance, id limit 40) group by 1), b as (select doc_id, (n_chars % 13)::double as score from documents where doc_id < 50),
+    "d18_candidates": f"""with {bind.CHUNKS}, {NEAR}, a as (select doc_id, max(1 / (1 + distance)) as score from (select * from near order by distance, id limit 40) group by 1), b as (select doc_id, (n_chars % 1009)::double as score from documents order by score desc, doc_id limit 40),
         r as (select doc_id, row_number() over (order by score desc, doc_id) as k from a union all select doc_id, row_number() over (order by score desc, doc_id) from b), f as (select doc_id, sum(1.0 / (60 + k)) as score from r group by 1)
         select doc_id, round(score, 6) as score from f where score >= 0.3 * (select max(score) from f)""",
     "b1_store": "select n_nationkey, case when n_nationkey < 10 then 'early' else 'late' end as kind, n_nationkey < 10 as has_id from nation where n_regionkey != 2",

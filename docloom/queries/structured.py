@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docloom.functions import chunking, text as X
 from docloom.operators import editions as L
@@ -150,7 +149,7 @@ def j6_table_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def j10_versions(spark: SparkSession, sf: str) -> DataFrame:
     p = bind.table(spark, sf, "part").select("p_partkey", F.concat(F.col("p_size"), F.lit("."), F.col("p_partkey") % 12, F.when(F.col("p_partkey") % 3 == 0, "b").otherwise("")).alias("v"))
-    return p.select("p_partkey", "v", F.row_number().over(Window.orderBy(X.version_key(F.col("v")), "p_partkey")).alias("place"))
+    return p.select("p_partkey", "v", X.version_key(F.col("v")).alias("k")).select("p_partkey", "v", F.col("k.n1").alias("n1"), F.col("k.n2").alias("n2"), F.col("k.n3").alias("n3"), F.col("k.suffix").alias("suffix"))
 
 
 def j10_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,8 +245,8 @@ def x1_basic_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 GRID = """
 grid as (
-  select 'part' as doc_id, p_partkey as row_idx, [p_name, p_brand, case when p_partkey % 17 = 0 then 'n/a' else p_size::varchar end, '$' || printf('%.2f', p_retailprice)] as cells from part where p_partkey < 150
-  union all select 'supplier', s_suppkey, [s_name, case when s_suppkey % 2 = 0 then 'n/a' else s_nationkey::varchar end, printf('%.2f', s_acctbal)] from supplier where s_suppkey < 150),
+  select 'part' as doc_id, p_partkey as row_idx, [p_name, p_brand, case when p_partkey % 17 = 0 then 'n/a' else p_size::varchar end, '$' || printf('%.2f', p_retailprice)] as cells from part
+  union all select 'supplier', s_suppkey, [s_name, case when s_suppkey % 2 = 0 then 'n/a' else s_nationkey::varchar end, printf('%.2f', s_acctbal)] from supplier),
 cells as (select doc_id, generate_subscripts(cells, 1) - 1 as col, unnest(cells) as c from grid),
 kinds as (select *, case when trim(c) = '' then 'empty' when try_cast(regexp_replace(c, '[$,%]', '', 'g') as double) is not null then 'number' else 'text' end as kind from cells),
 stats as (select doc_id, col, count(case when kind = 'number' then 1 end) as numbers, count(case when kind = 'text' then 1 end) as texts from kinds group by all)"""
@@ -257,8 +256,8 @@ ORACLE_SQL = {
     "g11_column_stats": f"with {GRID} select doc_id, col, numbers, texts, case when numbers > texts then 'number' else 'text' end as dtype, round(greatest(numbers, texts) / (numbers + texts), 4) as share from stats",
     "k1_classify": f"""with {GRID}, j as (select doc_id, string_agg(case when numbers > texts then 'number' else 'text' end, ',' order by col) as dtypes, min(case when greatest(numbers, texts) / (numbers + texts) < 0.8 then col end) as odd from stats group by doc_id)
         select doc_id, case when odd is null then 'clean' else 'messy' end as route, 0 as header_row, dtypes, case when odd is null then 'clean table' else 'column ' || odd || ' not type-consistent' end as reason from j""",
-    "b7_typed_table": "select p_name as part_name, p_brand as brand, case when p_partkey % 17 = 0 then null else p_size::double end as size_cm, round(p_retailprice, 2) as retail_price from part where p_partkey < 150",
-    "j17_narratives": "select 'parts: part_name=' || p_name || ', brand=' || p_brand || '; size_cm is ' || case when p_partkey % 17 = 0 then '(not specified)' else p_size || '.0' end as said from part where p_partkey < 150",
+    "b7_typed_table": "select p_name as part_name, p_brand as brand, case when p_partkey % 17 = 0 then null else p_size::double end as size_cm, round(p_retailprice, 2) as retail_price from part",
+    "j17_narratives": "select 'parts: part_name=' || p_name || ', brand=' || p_brand || '; size_cm is ' || case when p_partkey % 17 = 0 then '(not specified)' else p_size || '.0' end as said from part",
     "a6_normalised_grid": f"with {GRID} select doc_id, count(*) + 1 as n, min(len(cells))::int as lo, max(len(cells))::int as hi from grid group by doc_id",
     "a7_stitched": "select case when n_nationkey < 15 then 1 else 2 end as island, count(*) + 1 as n from nation group by 1",
     "k6_hints": """with h as (select (user_id % 6)::varchar as scope_value, event_type as target_column, event_id::varchar as payload, case event_id % 5 when 0 then 3 when 1 then 2 else 1 end as r, (event_id * 7) % 10 as c, event_id from events),
@@ -273,7 +272,7 @@ ORACLE_SQL = {
     "a34_indexed_text": "with d as (select conv_id, text from conversations group by all) select conv_id as doc_id, (sum(length(text)) + 2 * (count(*) - 1))::int as n from d group by 1",
     "j2_query_hash": "select conv_id, turn, sha256(array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x != ''), ' ')) as h from conversations",
     "j6_table_names": "select p_partkey, 'doc_' || trim(regexp_replace(lower(p_name), '[^0-9a-z]+', '_', 'g'), '_') || '_' || trim(regexp_replace(lower(p_brand), '[^0-9a-z]+', '_', 'g'), '_') as name from part",
-    "j10_versions": "select p_partkey, p_size || '.' || (p_partkey % 12) || case when p_partkey % 3 = 0 then 'b' else '' end as v, row_number() over (order by p_size, p_partkey % 12, case when p_partkey % 3 = 0 then 'b' else '' end, p_partkey)::int as place from part",
+    "j10_versions": "select p_partkey, p_size || '.' || (p_partkey % 12) || case when p_partkey % 3 = 0 then 'b' else '' end as v, p_size::bigint as n1, p_partkey % 12 as n2, 0::bigint as n3, case when p_partkey % 3 = 0 then 'b' else '' end as suffix from part",
     "j10_titles": "select p_partkey, array_to_string(regexp_extract_all(lower(p_name || ' (' || p_brand || ')'), '[a-z0-9]+'), ' ') as title from part",
     "j10_dates": "select o_orderkey, case when o_orderkey % 4 != 3 then strftime(o_orderdate, '%Y-%m-%d') end as d from orders",
     "j35_capped": "select doc_id, (case when length(text) > 500 then 500 + 16 else length(text) end)::int as n from documents",

@@ -61,6 +61,7 @@ def markdown(files: DataFrame) -> DataFrame:
     return plain_text(files).withColumn("doc_type", F.lit("markdown")).withColumn("text", X.strip_furniture(F.col("text")))
 
 
+# Keys of a transcript's header.
 HEADERS = ("Meeting", "Date", "Location", "Attendees")
 
 
@@ -358,11 +359,15 @@ def crawl(pages: DataFrame, start: str, depth: int, most: int, pattern: str | No
     return seen.orderBy("hop", "url").limit(most)
 
 
+# How nodes, links, their ends and their first text are written in GraphML, and what parts a merged text.
+NODE, LINK, DATA, PARTS = r'<node id="([^"]+)"', r"(?s)(<edge .*?</edge>|<edge [^>]*/>)", r"(?s)<data[^>]*>(.*?)</data>", "&lt;SEP&gt;"
+
+
 def graphml(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Nodes (id) and edges (source, target, label up to 120 characters of the first part) of GraphML texts."""
-    nodes = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r'<node id="([^"]+)"'), 1)).alias("id")).distinct()
-    raw = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)(<edge .*?</edge>|<edge [^>]*/>)"), 1)).alias("e"))
-    label = F.substring(F.split_part(F.regexp_extract("e", r"(?s)<data[^>]*>(.*?)</data>", 1), F.lit("&lt;SEP&gt;"), F.lit(1)), 1, 120)
+    nodes = docs.select(F.explode(F.regexp_extract_all(text, F.lit(NODE), 1)).alias("id")).distinct()
+    raw = docs.select(F.explode(F.regexp_extract_all(text, F.lit(LINK), 1)).alias("e"))
+    label = F.substring(F.split_part(F.regexp_extract("e", DATA, 1), F.lit(PARTS), F.lit(1)), 1, 120)
     edges = raw.select(F.regexp_extract("e", r'source="([^"]+)"', 1).alias("source"), F.regexp_extract("e", r'target="([^"]+)"', 1).alias("target"), label.alias("label"))
     return nodes, edges
 

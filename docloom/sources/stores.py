@@ -1,9 +1,12 @@
-"""Relations kept as Parquet: appended, evolved, rewritten (A28, A31, B1-B3, B5, B8, B15-B17, B19). Written aside, moved last."""
+"""Relations kept as Parquet: appended, evolved, rewritten (A28, A31, B1-B3, B5, B8, B15-B19). Parts first, a version last."""
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,11 @@ def row_id(*parts: str) -> Column:
 
 
 class Store:
-    """A folder of Parquet. A version is a subfolder; the newest complete one counts, so that a failed write changes nothing."""
+    """A folder of Parquet parts and versions. A version is a small file that lists parts; the newest one counts.
+
+    Parts are written first and a version last, under a name that must be new: a failed write changes nothing, and of two
+    writers one fails. Appending writes what is appended and no more.
+    """
 
     def __init__(self, spark: SparkSession, path: str, partition_by: Sequence[str] = ()):
         self.spark, self.path, self.partition_by = spark, path.rstrip("/"), list(partition_by)
@@ -26,47 +33,82 @@ class Store:
         root = self._fs_path(self.path)
         if not self._fs.exists(root):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(n for n in names if n.startswith("v") and self._fs.exists(self._fs_path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(n for s in self._fs.listStatus(root) if re.fullmatch(r"v\d{8}\.json", n := s.getPath().getName()))
 
-    def read(self) -> DataFrame | None:
-        """The newest version, None if nothing was written."""
+    def _parts(self, version: str | None = None) -> list[dict]:
+        """Parts of a version, the newest by default: name, and defaults of columns that came after it."""
         have = self.versions()
-        return self.spark.read.parquet(f"{self.path}/{have[-1]}") if have else None
+        if not have:
+            return []
+        text = self.spark.read.text(f"{self.path}/{version or have[-1]}", wholetext=True).first()
+        return json.loads(text[0])["parts"]
 
-    def replace(self, rows: DataFrame) -> None:
-        """Write rows as the next version: aside, then under its name in one move."""
+    def _commit(self, parts: list[dict]) -> None:
         have = self.versions()
-        name = f"v{int(have[-1][1:]) + 1 if have else 1:08d}"
-        aside = f"{self.path}/_{uuid.uuid4().hex}"
+        name = f"v{int(have[-1][1:9]) + 1 if have else 1:08d}.json"
+        try:
+            out = self._fs.create(self._fs_path(f"{self.path}/{name}"), False)
+        except Exception as e:
+            raise OSError(f"{self.path}/{name} is there already: another writer was faster") from e
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.close()
+
+    def _write(self, rows: DataFrame) -> dict:
+        name = f"part-{uuid.uuid4().hex}"
         writer = rows.write
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(aside)
-        if not self._fs.rename(self._fs_path(aside), self._fs_path(f"{self.path}/{name}")):
-            raise OSError(f"{self.path}/{name} is there already: another writer was faster")
+        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{name}")
+        return {"name": name, "defaults": {}}
 
-    def append(self, rows: DataFrame, defaults: dict[str, Column] | None = None) -> None:
-        """Rows after those that are there. New columns get a default, missing ones null, and columns
-        that the store doesn't know are kept: the schema only grows."""
-        old = self.read()
-        if old is not None:
-            for c, value in (defaults or {}).items():
-                old = old if c in old.columns else old.withColumn(c, value)
-            rows = old.unionByName(rows, allowMissingColumns=True)
-        self.replace(rows)
+    def _part(self, part: dict) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/{part['name']}")
+        return rows.withColumns({c: F.lit(v) for c, v in part["defaults"].items() if c not in rows.columns})
+
+    def read(self, version: str | None = None) -> DataFrame | None:
+        """The newest version, or an earlier one; None if nothing was written. Columns that a part lacks are null."""
+        parts = [self._part(p) for p in self._parts(version)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def replace(self, rows: DataFrame) -> None:
+        """Rows instead of all that are there."""
+        self._commit([self._write(rows)])
+
+    def append(self, rows: DataFrame, defaults: dict[str, object] | None = None) -> None:
+        """Rows after those that are there, as a part of their own. New columns get a default in older
+        parts, missing ones are null, and columns that the store doesn't know are kept: the schema only grows."""
+        old = [p | {"defaults": (defaults or {}) | p["defaults"]} for p in self._parts()]
+        self._commit([*old, self._write(rows)])
 
     def delete(self, gone: DataFrame, key: str = "doc_id") -> None:
-        """B3."""
-        old = self.read()
-        if old is not None:
-            self.replace(old.join(gone.select(key).distinct(), key, "left_anti"))
+        """The store without rows of these keys; only parts that have such rows are written again."""
+        gone, kept, changed = gone.select(key).distinct(), [], False
+        for p in self._parts():
+            rows = self._part(p)
+            if rows.join(gone, key, "left_semi").isEmpty():
+                kept.append(p)
+            else:
+                kept.append(self._write(rows.join(gone, key, "left_anti")))
+                changed = True
+        if changed:
+            self._commit(kept)
 
     def optimise(self, files: int, keep: int = 1) -> None:
-        """The rows in fewer files; older versions go."""
+        """The rows in one part of fewer files; all but the keep newest versions go, and parts that none of these lists."""
         old = self.read()
         if old is not None:
             self.replace(old.coalesce(files))
         for name in self.versions()[:-keep]:
-            self._fs.delete(self._fs_path(f"{self.path}/{name}"), True)
+            self._fs.delete(self._fs_path(f"{self.path}/{name}"), False)
+        used = {p["name"] for v in self.versions() for p in self._parts(v)}
+        for s in self._fs.listStatus(self._fs_path(self.path)) if old is not None else ():
+            name = s.getPath().getName()
+            if name.startswith("part-") and name not in used:
+                self._fs.delete(s.getPath(), True)
+
+    def back_up(self, path: str) -> None:
+        """A copy of the newest version elsewhere, as one part; it reads as a store of its own."""
+        rows = self.read()
+        if rows is not None:
+            Store(self.spark, path, self.partition_by).replace(rows)
 
 
 def database(spark: SparkSession, url: str, tables: Sequence[str], **options: str) -> dict[str, DataFrame]:

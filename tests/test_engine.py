@@ -36,11 +36,16 @@ def test_store(spark, tmp_path):
     assert store.read() is None
     store.delete(spark.range(1), "id")
     store.append(spark.range(3))
-    store.append(spark.range(3, 5).withColumn("kind", F.lit("new")), {"kind": F.lit("old")})
+    store.append(spark.range(3, 5).withColumn("kind", F.lit("new")), {"kind": "old"})
     assert {(r.id, r.kind) for r in store.read().collect()} == {(0, "old"), (1, "old"), (2, "old"), (3, "new"), (4, "new")}
-    (tmp_path / "s" / "v00000009").mkdir()  # a write that never ended
+    parts = {p["name"] for p in store._parts()}
+    assert len(parts) == 2  # an append writes its own rows and no more
+    (tmp_path / "s" / "part-dead").mkdir()  # a write that never ended
     store.delete(spark.range(2), "id")
-    assert store.versions()[-1] == "v00000003" and store.read().count() == 3
+    assert store.versions()[-1] == "v00000003.json" and store.read().count() == 3 and store.read("v00000002.json").count() == 5
+    assert len(parts & {p["name"] for p in store._parts()}) == 1  # the part without such rows stays
+    store.back_up(str(tmp_path / "copy"))
     store.optimise(1)
-    assert len(store.versions()) == 1 and store.read().count() == 3
+    assert len(store.versions()) == 1 and store.read().count() == 3 and len(list((tmp_path / "s").glob("part-*"))) == 1
+    assert stores.Store(spark, str(tmp_path / "copy")).read().count() == 3
     assert stores.registered("a=jdbc:x, b=jdbc:y=z") == {"a": "jdbc:x", "b": "jdbc:y=z"}
