@@ -240,7 +240,7 @@ def repair_record(line: Column, delimiter: str = "<|#|>") -> Column:
 
 def repair_extraction(text: Column) -> Column:
     """Every short record of an extraction repaired, all other lines as they are."""
-    return F.array_join(F.transform(F.split(text, "\n"), repair_record), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line: repair_record(line)), "\n")
 
 
 def parse_model_json(text: Column, schema: str) -> Column:

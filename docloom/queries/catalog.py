@@ -29,6 +29,7 @@ def g4_orphan_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g5_strategy_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """G5, H5."""
     s = G.strategy_stats(bind.memory(spark, sf))
     return s.select("pattern", "strategy", "n", *[F.round(c, 4).alias(c) for c in ("avg_cited", "avg_relevant", "composite", "margin")])
 
@@ -96,6 +97,7 @@ def i5_intersection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def i6_duplicate_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies by content hash, and the first of them."""
     d = bind.catalog(spark, sf).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
     return S.first_by_hash(d, "content_hash", "doc_id")
 
@@ -122,10 +124,12 @@ def e1_active_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e2_orphan_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """E2, M11."""
     return M.orphans(bind.entities(spark, sf), bind.edges(spark, sf).filter("relation_type = 'lives_in'").select(F.col("target").alias("node")))
 
 
 def e4_orphan_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct documents of chunks that the catalog lacks."""
     c = bind.chunks(spark, sf).select("doc_id").distinct()
     return c.join(bind.catalog(spark, sf).filter("doc_id % 4 = 1").select("doc_id"), "doc_id", "left_anti")
 
@@ -140,10 +144,12 @@ def e6_described_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e7_entity_details(spark: SparkSession, sf: str) -> DataFrame:
+    """E7, M4."""
     return M.entity_details(bind.edges(spark, sf), bind.entities(spark, sf), "n3")
 
 
 def m3_k_hop(spark: SparkSession, sf: str) -> DataFrame:
+    """M3, E8."""
     seeds = spark.createDataFrame([("s1",), ("s2",)], "node string")
     return M.k_hop(bind.edges(spark, sf), seeds, 3).groupBy("hop").agg(F.count("*").alias("n"))
 
@@ -154,6 +160,7 @@ def m3_k_hop_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m5_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """M5, I8."""
     mapping = bind.entities(spark, sf).filter("entity_type = 'nation'").select(F.col("node").alias("remove"), F.lit("n0").alias("keep")).filter("remove in ('n1', 'n2', 'n3')")
     return M.merged(bind.edges(spark, sf).filter("relation_type != 'placed_by'"), mapping)
 
@@ -163,10 +170,12 @@ def m9_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m2_c22_induced(spark: SparkSession, sf: str) -> DataFrame:
+    """M2, C22."""
     return M.induced(bind.edges(spark, sf), bind.entities(spark, sf).filter("entity_type in ('nation', 'region')").select("node"))
 
 
 def m6_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of spellings, each by its least node."""
     p = bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("name"), F.col("p_type").alias("entity_type"))
     return M.merge_candidates(p)
 
@@ -176,6 +185,7 @@ def c16_entity_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def i9_resolved_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """I9, M1."""
     m = bind.table(spark, sf, "part").select(F.col("p_brand").alias("b"), "p_partkey", F.col("p_type").alias("entity_type"))
     m = m.select(F.when(F.col("p_partkey") % 3 == 0, F.lower("b")).when(F.col("p_partkey") % 3 == 1, F.replace("b", F.lit("#"), F.lit("-"))).otherwise(F.col("b")).alias("name"), "entity_type", F.col("p_partkey").alias("doc_id"))
     return M.resolve_entities(m)
@@ -229,11 +239,13 @@ def e3_left_right_full(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e27_as_of_join(spark: SparkSession, sf: str) -> DataFrame:
+    """E27."""
     e = bind.table(spark, sf, "events").select("user_id", "ts", "event_type", "event_id")
     return S.as_of(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), ["user_id"], "ts", "event_id").select("event_id", "right_event_id")
 
 
 def g20_outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """G20."""
     scores = bind.table(spark, sf, "events").select(M.verdict((F.col("event_id") % 100) / 100.0).alias("outcome"))
     return scores.groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -244,6 +256,7 @@ def h14_step_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d27_recent_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """D27."""
     return bind.table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "event_type")
 
 

@@ -36,6 +36,7 @@ def x12_strict_original(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c2_scope_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """C2, E9."""
     return access.scope_filter(bind.chunks(spark, sf), ["g1", "g3"], "medium", [2, 4, 6, 13, 30]).select("id", "doc_id", "chunk_index")
 
 
@@ -55,14 +56,17 @@ def d1_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d4_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents by BM25, from the term index."""
     return bind.index(spark, sf).search(QUESTION, 20).select("doc_id", F.round("score", 4).alias("score"))
 
 
 def d4_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings: how many documents have a term, and how often."""
     return R.postings(bind.catalog(spark, sf), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter("df >= 5")
 
 
 def d5_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    """Two ranked lists, fused."""
     c = bind.chunks(spark, sf)
     near = R.ranked(R.vector_topk(c, bind.query_vector(spark, sf), 20), [F.col("distance"), F.col("id")])
     other = R.ranked(R.vector_topk(c, bind.query_vector(spark, sf, 11), 20), [F.col("distance"), F.col("id")])
@@ -99,6 +103,7 @@ def c8_evidence_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d11_feedback_boosts(spark: SparkSession, sf: str) -> DataFrame:
+    """D11, G14, P5."""
     return _boosts(spark, sf).select("doc_id", F.round("boost", 4).alias("boost"))
 
 
@@ -120,6 +125,7 @@ def d14_query_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d15_term_idf(spark: SparkSession, sf: str) -> DataFrame:
+    """D15, G13."""
     blobs = bind.catalog(spark, sf).select(F.lower("text").alias("blob"))
     return R.term_idf(TERMS, blobs).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -136,18 +142,21 @@ def d13_prf_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def h1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """H1, E10."""
     c = bind.chunks(spark, sf)
     seeds = R.vector_topk(c, bind.query_vector(spark, sf), 8).drop("distance")
     return R.neighbours(seeds, c, 2).select("id", "doc_id", "chunk_index", F.round("score", 4).alias("score"))
 
 
 def e12_figure_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """E12, H3."""
     c = bind.chunks(spark, sf).select("id", "doc_id", (F.col("chunk_index") + 1).alias("page"))
     anchors = c.filter("id % 23 = 0").select("doc_id", "page")
     return R.figure_pages(anchors, c)
 
 
 def h2_greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a section that fit a budget, in order; one that does not is skipped."""
     d = bind.catalog(spark, sf).select(F.floor(F.col("doc_id") / 20).alias("section"), "doc_id", F.length("text").alias("n_chars_"))
     return R.greedy_budget(d, ["section"], ["doc_id"], "n_chars_", 8000)
 

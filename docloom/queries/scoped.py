@@ -27,6 +27,7 @@ def c4_revisions_differ(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c5_scoped_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """C5, E13."""
     reg = bind.catalog(spark, sf).filter("doc_id % 3 = 0").select(F.concat(F.lit("doc_"), "doc_id").alias("table_name"), "doc_id", "acl_groups")
     reg = reg.unionByName(spark.createDataFrame([("sales", None, ["g2"]), ("hr", None, ["x"])], "table_name string, doc_id long, acl_groups array<string>"))
     return C.scoped_schemas(reg, ["g2"], bind.catalog(spark, sf).filter("dataset_id = 1"), False).select("table_name")
@@ -53,6 +54,7 @@ def c18_all_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c19_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with given values, in order."""
     return C.listed(bind.catalog(spark, sf), ["filename", "doc_id"], dataset_id=2, lang=None, doc_type="pdf").select("doc_id", "filename")
 
 
@@ -62,6 +64,7 @@ def c27_graph_skips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c28_intents(spark: SparkSession, sf: str) -> DataFrame:
+    """C28, X30."""
     asked = [("compare the two revisions",), ("tunnel is down",), ("command for bgp",), ("command steps: how to",), ("explain the core network",), ("phone list",), ("show the topology diagram",)]
     q = spark.createDataFrame(asked, "q string")
     return q.select("q", C.intent(F.col("q")).alias("intent"), C.visual(F.col("q")).alias("visual"), C.image_limit(F.col("q"), "requested", 3).alias("images"))
@@ -78,6 +81,7 @@ def d9_chosen_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d23_graph_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """D23, E17."""
     hints = bind.catalog(spark, sf).select(F.col("doc_id").alias("hint_id"), "text", "filename")
     return C.graph_sources(hints, "that with then there onre", bind.catalog(spark, sf))
 
@@ -99,6 +103,7 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e24_outside_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines whose centre lies in no box of their page."""
     return U.outside_boxes(_lines(spark, sf), _boxes(spark, sf)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
 
 
@@ -142,6 +147,7 @@ def d19_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d17_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """D17."""
     c = _text_chunks(spark, sf)
     summaries = c.filter("chunk_index = 0").withColumn("chunk_size_tier", F.lit("summary"))
     return S.sweep(c.unionByName(summaries), ["ALL"], QUESTION, bind.query_vector(spark, sf), 20, per_doc=5).select("id", "doc_id", "chunk_index")
@@ -154,6 +160,7 @@ def d18_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def d20_cross_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """D20, D22."""
     c = _text_chunks(spark, sf).withColumn("chunk_size_tier", F.lit("small"))
     return S.cross_reference(c, ["ALL"], [(QUESTION, bind.query_vector(spark, sf)), ("onre", bind.query_vector(spark, sf, 11))], 8).select("id", "branch", F.round("relevance", 4).alias("relevance"))
 

@@ -21,7 +21,7 @@ COMMON = {
     "n_full_join": "select coalesce(a.k, b.k) as k, a.x, b.y from (select n_nationkey as k, n_name as x from nation where n_nationkey < 15) a full join (select n_nationkey as k, n_regionkey as y from nation where n_nationkey > 10) b on a.k = b.k",
     "n_cross_join": "select r_name, n_name from region cross join nation where r_regionkey != n_regionkey",
     "n_semi_join": "select n_name from nation left semi join supplier on s_nationkey = n_nationkey",
-    "n_anti_join": "select n_name from nation left anti join (select * from supplier where s_acctbal > 0) s on s.s_nationkey = n_nationkey",
+    "n_anti_join": "select n_name from nation left anti join (select * from supplier where s_acctbal > 5000) s on s.s_nationkey = n_nationkey",
     "n_theta_join": "select a.s_suppkey as lo, b.s_suppkey as hi from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal",
     "n_having": "select l_returnflag, l_linestatus, sum(l_quantity) as q, round(avg(l_extendedprice), 2) as p, count(*) as n from lineitem group by l_returnflag, l_linestatus having count(*) > 10",
     "n_distinct": "select distinct o_orderstatus, o_orderpriority from orders",
@@ -48,7 +48,7 @@ COMMON = {
     "n_correlated": "select l_orderkey, l_linenumber from lineitem l where l_quantity > (select 1.5 * avg(l_quantity) from lineitem x where x.l_partkey = l.l_partkey)",
     "n_strings": "select n_nationkey, upper(n_name) as u, length(n_name) as n, substring(n_name, 2, 3) as s, replace(n_name, 'A', '4') as r, trim(concat('  ', n_name, ' ')) as t, lpad(n_name, 12, '.') as p, n_name like '%AN%' as l from nation",
     "n_math": "select p_partkey, round(sqrt(p_retailprice), 4) as q, abs(p_size - 25) as a, mod(p_size, 7) as m, floor(p_retailprice) as f, ceil(p_retailprice) as c, round(ln(p_retailprice), 5) as l, power(p_size, 2) as w, greatest(p_size, 20) as g from part",
-    "n_dates": "select o_orderkey, year(o_orderdate) as y, month(o_orderdate) as m, day(o_orderdate) as d, quarter(o_orderdate) as q from orders where o_orderdate < timestamp '1994-01-01'",
+    "n_dates": "select o_orderkey, year(o_orderdate) as y, month(o_orderdate) as m, day(o_orderdate) as d, quarter(o_orderdate) as q from orders where o_orderdate < timestamp '1996-01-01'",
     "n_conditional_agg": "select o_orderstatus, sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as urgent, count(*) filter (where o_totalprice > 150000) as big, min(o_orderkey) as lo, max(o_orderkey) as hi, round(stddev_samp(o_totalprice), 2) as sd from orders group by o_orderstatus",
     "n_coalesce_nullif": "select s_suppkey, coalesce(nullif(s_nationkey, 3), -1) as k from supplier",
     "n_in_list_of_rows": "select o_orderkey from orders where (o_custkey, o_orderstatus) in (select c_custkey, 'O' from customer where c_acctbal < 0)",

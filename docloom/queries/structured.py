@@ -20,6 +20,7 @@ def h9_header_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def g11_column_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """G11, G12."""
     g = bind.grid(spark, sf)
     return K.column_stats(g, K.header_rows(g)).select("doc_id", "col", "numbers", "texts", "dtype", F.round("share", 4).alias("share"))
 
@@ -29,6 +30,7 @@ def k1_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def b7_typed_table(spark: SparkSession, sf: str) -> DataFrame:
+    """B7, K7, J5."""
     g = bind.grid(spark, sf).filter("doc_id = 'part'")
     head = g.filter("row_idx = 0").first()["cells"]
     return K.typed_table(g, 0, head, ["text", "text", "number", "number"])
@@ -40,6 +42,7 @@ def j17_narratives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k5_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """K5, H8."""
     return K.regions(bind.grid(spark, sf))
 
 
@@ -49,6 +52,7 @@ def a6_normalised_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a7_stitched(spark: SparkSession, sf: str) -> DataFrame:
+    """A7, H6."""
     n = bind.table(spark, sf, "nation").select(F.lit("d").alias("doc_id"), F.lit("s").alias("sheet"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("grid_no"), (F.col("n_nationkey") % 5).alias("r"), "n_name")
     head = F.when(F.col("grid_no") < 3, F.array(F.lit("Nation"))).otherwise(F.array(F.lit("Country")))
     grids = n.select("doc_id", "sheet", "grid_no", (F.col("r") + 1).alias("row_idx"), F.array("n_name").alias("cells")).unionByName(n.select("doc_id", "sheet", "grid_no", F.lit(0).alias("row_idx"), head.alias("cells")).distinct())
@@ -56,6 +60,7 @@ def a7_stitched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k6_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """K6, E14."""
     return K.resolve_hints(_hints(spark, sf)).select("scope_value", "target_column", "payload")
 
 
@@ -74,15 +79,18 @@ def e15_glossary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j3_cell_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """J3, J4."""
     g = bind.grid(spark, sf).select("doc_id", F.explode("cells").alias("c"))
     return g.groupBy("doc_id", X.cell_kind(F.col("c")).alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum(X.to_number(F.col("c"))), 2).alias("total"))
 
 
 def j13_paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """J13, H13."""
     return chunking.paragraph_chunks(bind.table(spark, sf, "documents"), *chunking.TIERS["small"])
 
 
 def j14_technical_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """J14, H7."""
     return chunking.technical_chunks(bind.table(spark, sf, "documents"), 2048).select("doc_id", "chunk_index", "start_char", "section_id", "evidence_role")
 
 
@@ -104,12 +112,15 @@ def a25_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a23_crawl(spark: SparkSession, sf: str) -> DataFrame:
-    pages = bind.table(spark, sf, "pages")
-    start = pages.agg(F.min(A.clean_url(F.col("url")))).first()[0]
-    return A.crawl(pages, start, 3, 100)
+    """Nations as pages that link to the next one and to the one of twice their number: reached from the first, breadth first."""
+    k = F.col("n_nationkey")
+    link = lambda to: F.concat(F.lit('<a href="/n/'), to % 25, F.lit('#x">go</a>'))
+    pages = bind.table(spark, sf, "nation").select(F.concat(F.lit("https://x.org/n/"), k).alias("url"), F.concat(F.lit("<html>"), link(k + 1), link(2 * k), F.lit('<a href="https://y.org/n/24">off</a></html>')).alias("html"))
+    return A.crawl(pages, "https://x.org/n/1", 4, 100)
 
 
 def a26_clean_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """A26, A27."""
     u = bind.table(spark, sf, "pages").select("page_id", F.concat("url", F.lit("/?a=1#part")).alias("u"))
     return u.select("page_id", A.clean_url(F.col("u")).alias("url"), A.is_file_url(F.concat("u", F.lit("x.pdf"))).alias("is_file"))
 
@@ -185,15 +196,18 @@ def _editions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j11_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """J11, L8."""
     d = _editions(spark, sf)
     return d.select("doc_id", "identity.identifier", "identity.revision", "identity.effective_date", "identity.title", F.concat_ws(",", "identity.conflicts").alias("conflicts"))
 
 
 def l3_select_editions(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest edition of each manual; undated ones stay side by side."""
     return L.select_editions(_editions(spark, sf)).select("doc_id", "family", "selected", "reason")
 
 
 def p1_latest_states(spark: SparkSession, sf: str) -> DataFrame:
+    """P1, X25."""
     return P.latest_state(_events(spark, sf)).select("job_id", "state", "n_events")
 
 
@@ -203,6 +217,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_evicted(spark: SparkSession, sf: str) -> DataFrame:
+    """P2."""
     states = P.latest_state(_events(spark, sf))
     now = states.agg(F.max("ts")).first()[0]
     return P.evicted(states, F.lit(now), 3600, 5).select("job_id")
@@ -239,6 +254,7 @@ def e26_citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x1_basic_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """X1."""
     d = bind.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("n_chars") % 97).alias("score")).orderBy(F.desc("score"), "id").limit(10)
     return V.basic_answer(d)
 
@@ -265,6 +281,11 @@ ORACLE_SQL = {
     "e15_glossary": "select distinct p_brand as value, case when p_brand = 'Brand#11' then 'exact' when p_brand like 'Brand#1%' then 'ones' else 'any' end as meaning from part",
     "j3_cell_kinds": f"""with {GRID}, h as (select 'part' as doc_id, unnest(['Part Name', 'Brand', 'Size (cm)', 'Retail Price']) as c union all select 'supplier', unnest(['Supplier', 'Nation', 'Balance'])),
         k as (select doc_id, kind, try_cast(regexp_replace(c, '[$,%]', '', 'g') as double) as v from kinds union all select doc_id, 'text', null from h) select doc_id, kind, count(*) as n, round(sum(v), 2) as total from k group by all""",
+    "a23_crawl": """with recursive r(k, hop) as (select 1, 0 union select unnest([(k + 1) % 25, (2 * k) % 25]), hop + 1 from r where hop < 4) select 'https://x.org/n/' || k as url, min(hop)::int as hop from r group by k""",
+    "j15_roles": "select conv_id, turn, concat_ws(',', " + ", ".join(f"case when regexp_matches(text, '(?im){p}') then '{n}' end" for n, p in X.ROLES.items()) + ") as roles from conversations",
+    "q5_classified": "select case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in Q.QUERY_TYPES) + " else 'lookup' end as kind, count(*) as n from conversations group by 1",
+    "p2_evicted": """with e as (select user_id % 40 as j, ts, event_id % 10 as p from events), s as (select *, row_number() over (partition by j order by ts desc, p desc) as k from e), l as (select * from s where k = 1), m as (select max(ts) as now from l)
+        select j as job_id from l where p < 8 union all select j from (select j from l, m where p >= 8 and floor(epoch(now)) - floor(epoch(ts)) <= 3600 order by ts desc, j limit 5)""",
     "a26_clean_urls": "with u as (select page_id, regexp_replace(url || '/?a=1#part', '#.*$', '') as u from pages) select page_id, regexp_replace(regexp_extract(u, '^([^?]*)', 1), '/+$', '') || regexp_extract(u, '([?].*)$', 1) as url, false as is_file from u",
     "a18_transcript": "select 'header' as kind, count(*) as n from conversations union all select case when rtrim(text, ' \t\n') like '%?' then 'question' else 'statement' end, count(*) from conversations group by 1",
     "g16_speakers": "select conv_id, string_agg(distinct role, ',' order by role) as speakers from conversations group by 1",
