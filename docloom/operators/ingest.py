@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as X
 from docloom.operators import models, tabular
-from docloom.session import ship
+from docloom.session import checkpoint, ship
 from docloom.sources import readers
 
 # Fixed value: characters from which a page counts as digital text, not as a scan.
@@ -80,10 +80,11 @@ def ingested(grid: DataFrame) -> DataFrame:
     """
     ship(grid.sparkSession)
     sheet = list(tabular.SHEET)
-    kinds = tabular.classify(grid).select(*sheet, "route", F.col("header_row").alias("h"), "dtypes")
+    kinds = checkpoint(tabular.classify(grid).select(*sheet, "route", F.col("header_row").alias("h"), "dtypes"))
     runs = tabular.regions(grid.join(kinds.filter("route = 'messy'"), sheet, "left_semi"))
     spans = kinds.filter("route = 'clean'").select(*sheet, "route", "h", F.lit(1 << 30).alias("e"), "dtypes")
     spans = spans.unionByName(runs.select(*sheet, F.lit("messy").alias("route"), F.col("header_row").alias("h"), F.col("end_row").alias("e"), F.array().cast("array<string>").alias("dtypes")))
+    spans = checkpoint(spans)  # a row for each sheet
     head = grid.join(spans, sheet).filter("row_idx = h").select(*sheet, F.col("cells").alias("head"))
     rows = grid.join(spans, sheet).filter("row_idx > h and row_idx < e").join(head, sheet)
     blank = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("(not specified)"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import ship
+
 REGISTRY: dict[str, Callable] = {}
 
 
@@ -48,6 +50,7 @@ def embed(rows: DataFrame, text: str, dim: int = 64, embed_texts: Callable[[list
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.float32()))], [*names, "vector"])
 
     narrow = rows.select(*names)
+    ship(narrow.sparkSession)
     return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
@@ -73,6 +76,7 @@ def mapped(rows: DataFrame, text: str, extract: Callable[[str], str], tries: int
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())], [*names, "status", "extract"])
 
     narrow = rows.select(*names)
+    ship(narrow.sparkSession)
     return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields, T.StructField("status", T.StringType()), T.StructField("extract", T.StringType())]))
 
 

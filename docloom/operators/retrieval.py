@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as X
 from docloom.functions import vectors as V
+from docloom.session import ship
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Rows of a group that is packed into a budget.
@@ -261,6 +262,7 @@ def greedy_budget(rows: DataFrame, group: Sequence[str], order: Sequence[str], s
             left -= n if n <= left else 0
         return frame[keep]
 
+    ship(rows.sparkSession)
     return rows.groupBy(*group).applyInPandas(admit, schema)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators import access, aggregates, retrieval as R, routing
 from docloom.plans import sqlguard, strategies
+from docloom.session import checkpoint
 
 # What an answer to a technical question should be made of.
 TROUBLESHOOTING = ("symptoms", "causes", "diagnostics", "interpretation", "correction")
@@ -44,17 +45,17 @@ def technical(chunks: DataFrame, groups: Sequence[str], question: str, vector: S
     """(chunks, coverage): what a lookup finds, with the pages around figures, and, if roles are missing, what one more
     search for them finds. The lists are top-ks."""
     rows = access.scope_filter(chunks, groups, "medium")
-    found = strategies.lookup(chunks, groups, question, vector, k).withColumn("origin", F.lit("lookup"))
+    found = checkpoint(strategies.lookup(chunks, groups, question, vector, k).withColumn("origin", F.lit("lookup")))  # a top-k, read four times
     figures = found.filter("content_type = 'figure'").select("doc_id", "page").distinct()
     near = R.figure_pages(figures, rows.filter("content_type != 'figure'")).select(*rows.columns).withColumn("score", F.lit(0.4)).withColumn("origin", F.lit("figure page"))
-    every = R.keyed_union(found, near.select(*found.columns), ["id"], ["id"])
+    every = checkpoint(R.keyed_union(found, near.select(*found.columns), ["id"], ["id"]))
     report = coverage(every, intent)
     missing = [r["role"] for r in report.filter("missing").orderBy("place").collect()]  # five roles
     if not missing:
         return every, report
     more = f"{question}\nDocumentation for: {', '.join(missing)}"
     extra = hybrid_reranked(rows, embed(more), more, follow_up).withColumn("origin", F.lit("follow-up"))
-    every = R.keyed_union(every, extra.select(*found.columns), ["id"], ["id"])
+    every = checkpoint(R.keyed_union(every, extra.select(*found.columns), ["id"], ["id"]))
     return every, coverage(every, intent)
 
 

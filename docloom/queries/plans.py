@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docloom.operators import editions as L, retrieval as R, views as W
+from docloom.functions import text as X
+from docloom.operators import editions as L, models as Q, tabular as K, views as W
 from docloom.operators.models import hashed_embedding
 from docloom.plans import sqlguard as G, strategies as S, technical as T
 from docloom.queries import bind
@@ -104,6 +106,49 @@ def f13_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, ",".join(f"{k}={c}" for k, c in kinds), ",".join(names))], "n long, kinds string, names string")
 
 
+def a30_catalog_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Guarded SQL with set operations over the catalog's views, and nothing else."""
+    views = G.catalog_views(bind.catalog(spark, sf))
+    return G.run(spark, "select category as name, n_files from categories where n_files > 1 union all select cast(dataset_id as string), n_files from datasets except select 'x', 1 intersect select doc_type, 1 from files", views)
+
+
+def q6_categorised(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1, Q3, Q6: a registered model's guesses in the spelling of the catalog, null if there is no such category."""
+    before = Q.REGISTRY.get("categorise")
+    Q.register("categorise", lambda c: F.when(c % 3 == 0, F.concat(F.lit(" SRC"), c % 10)).otherwise(F.lit("nothing")))
+    try:
+        d = bind.catalog(spark, sf).select("doc_id", Q.REGISTRY["categorise"](F.col("doc_id")).alias("guess"))
+    finally:
+        Q.REGISTRY.pop("categorise")
+        if before:
+            Q.register("categorise", before)
+    names = spark.createDataFrame([(f"src{i}",) for i in range(0, 10, 2)], "name string")
+    return Q.categorised(d, names).select("doc_id", "category")
+
+
+def h8_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """H8, K5: sheets with a banner, a header, a run of rows and a wider last row: where each run begins and ends."""
+    n, r = bind.table(spark, sf, "nation"), bind.table(spark, sf, "region")
+    place = F.row_number().over(Window.partitionBy("r_name").orderBy("n_nationkey"))
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("r_name").alias("doc_id"), (place + 1).alias("row_idx"), F.array("n_name", F.length("n_name").cast("string")).alias("cells"))
+    rest = r.select(F.col("r_name").alias("doc_id"), F.explode(F.array(F.struct(F.lit(0).alias("row_idx"), F.array("r_name").alias("cells")), F.struct(F.lit(1).alias("row_idx"), F.array(F.lit("Nation"), F.lit("Letters")).alias("cells")), F.struct(F.lit(99).alias("row_idx"), F.array(F.lit("so"), F.lit("it"), F.lit("ends")).alias("cells")))).alias("x")).select("doc_id", "x.*")
+    return K.regions(rows.unionByName(rest).withColumn("sheet", F.lit("s")))
+
+
+def j9_planted_furniture(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a line worth keeping among links, sharing widgets, stock phrases and rules."""
+    p = bind.table(spark, sf, "part")
+    page = F.concat(F.lit("Skip to main content\n* [News](http://x)\n"), "p_name", F.lit(" stays here.\n---\n![pic](a.png)\nfollow on facebook.com/x\nShare\n[a](b) [c](d)\n"))
+    return p.select("p_partkey", X.strip_furniture(page).alias("text"))
+
+
+def j1_planted_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with a date, an amount, a long number and an organisation: all masked, common words left out."""
+    p = bind.table(spark, sf, "part")
+    q = F.concat(F.lit("What did the Army pay for "), "p_name", F.lit(" on March 5th, 2024: $"), "p_size", F.lit(" million, order "), F.col("p_partkey") + 10000, F.lit("?"))
+    return p.select("p_partkey", X.query_pattern(q).alias("pattern"))
+
+
 def _text_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = bind.catalog(spark, sf).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     figure = F.when(F.col("id") % 5 == 0, "figure").otherwise("text")
@@ -112,7 +157,7 @@ def _text_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BM25 = """
- q as (select embedding as v from embeddings where vec_id = 7), dist as (select r.*, list_sum(list_transform(range(1, len(r.vector) + 1), lambda i: power(r.vector[i]::double - q.v[i]::double, 2))) as distance from r, q),
+ q as (select embedding as v from embeddings where vec_id = {vec}), dist as (select r.*, list_sum(list_transform(range(1, len(r.vector) + 1), lambda i: power(r.vector[i]::double - q.v[i]::double, 2))) as distance from r, q),
  nr as (select id, row_number() over (order by distance, id) as rk from dist),
  tok as (select id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x != '') as w from r),
  terms as (select distinct unnest(regexp_split_to_array('{question}', ' ')) as t), f as (select count(*) as n, avg(len(w)) as a from tok),
@@ -174,7 +219,7 @@ def q9_facade(spark: SparkSession, sf: str) -> DataFrame:
     document's chunks by its id or its unique name, sources, and nodes near others."""
     catalog, v = bind.catalog(spark, sf), bind.query_vector(spark, sf)
     e = S.Engine(spark, catalog, _text_chunks(spark, sf), lambda q: v, edges=bind.edges(spark, sf))
-    some = catalog.agg(F.min(F.nullif(F.col("category"), F.lit("")))).first()[0]
+    some = catalog.filter(F.array_contains("acl_groups", "g1")).agg(F.min(F.nullif(F.col("category"), F.lit("")))).first()[0]
     named = catalog.filter("doc_id % 5 = 1").select("filename").orderBy("doc_id").first()[0]
     got = [
         ("found of a type", e.search_documents(QUESTION, ["ALL"], "pdf", 10).filter("doc_type != 'pdf'").count()),
@@ -268,6 +313,20 @@ ORACLE_SQL = {
         ('select * from part p, nation', true, true), ('insert into part select 1', false, false), ('select * from read_csv(''x'')', false, false), ('select * from (select * from part) q', true, true), ('update part set p_size = 1', false, false),
         ('select * from parquet.`/etc`', false, false), ('select ''drop table'' from part', true, true), ('select * from other.part', false, true)) t(statement, ours, theirs)""",
     "c25_references": "select * from (values (0::bigint, 'part,supplier,t', 't', 'd1,d2'), (1, 'nation,part,supplier', '', 'd1,d2'), (2, 'orders', '', 'd3')) t(place, tables, defined, documents)",
+    "a30_catalog_views": f"with {bind.CATALOG} select category as name, count(*) as n_files from catalog group by 1 having count(*) > 1 union select dataset_id::varchar, count(*) from catalog group by dataset_id",
+    "q6_categorised": "select doc_id, case when doc_id % 3 = 0 and (doc_id % 10) % 2 = 0 then 'src' || (doc_id % 10) end as category from documents",
+    "h8_runs": "select r_name as doc_id, 's' as sheet, 1::int as header_row, (2 + count(*))::int as end_row from nation join region on n_regionkey = r_regionkey group by r_name",
+    "j9_planted_furniture": "select p_partkey, p_name || ' stays here.' as text from part",
+    "j1_planted_patterns": "select p_partkey, '[ORG] pay ' || p_name || ' on [DATE]: [AMOUNT], order [ID]' as pattern from part",
+    "d19_lookup": f"""with {CHUNKS}, r as (select * from t where chunk_size_tier = 'medium'), {BM25.format(question=QUESTION, k=10, vec=7)}, m as (select hy.id, {SHARE} as m from hy join r using (id)), b as (select min(m) as lo, max(m) as hi from m),
+        s as (select id, 0.01 + case when hi > lo then (m - lo) / (hi - lo) else 0.5 end as score from m, b), c as (select r.id, doc_id, chunk_index, score from s join r using (id) where score >= 0.3 * (select max(score) from s))
+        select id, doc_id, chunk_index, round(score, 4) as score from c union all select distinct r.id, r.doc_id, r.chunk_index, 0.4 from r join c on r.doc_id = c.doc_id and abs(r.chunk_index - c.chunk_index) <= 1 where r.id not in (select id from c)""",
+    "d20_cross_reference": f"""with {CHUNKS}, r as (select * from t), x as (with {BM25.format(question=QUESTION, k=8, vec=7).strip()} select * from hy), y as (with {BM25.format(question="onre", k=8, vec=11).strip()} select * from hy),
+        u as (select id, 0 as branch, score from x union all select id, 1, score from y where id not in (select id from x)) select id, branch, round(score / (select max(score) from u), 4) as relevance from u""",
+    "a25_links": """with p as (select url, regexp_extract(url, '^(https?://[^/?#]+)', 1) as host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') as base, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*["'']([^"''>]+)["'']', 1)) as h from pages),
+        w as (select url, host, case when regexp_matches(trim(h), '^https?://') then trim(h) when trim(h) like '//%' then regexp_extract(url, '^(https?:)', 1) || trim(h) when trim(h) like '/%' then host || trim(h) when regexp_matches(trim(h), '^(#|[a-z]+:)') then null else base || trim(h) end as t from p),
+        c as (select url, host, regexp_replace(regexp_extract(regexp_replace(t, '#.*$', ''), '^([^?]*)', 1), '/+$', '') || regexp_extract(regexp_replace(t, '#.*$', ''), '([?].*)$', 1) as target from w)
+        select distinct url, target from c where regexp_extract(target, '^(https?://[^/?#]+)', 1) = host""",
     "f2_extracted_sql": "select * from (values (0::bigint, 'select 1'), (1, 'SELECT 3'), (2, 'WITH x AS (SELECT 4) SELECT * FROM x'), (3, ''), (4, '')) t(place, statement)",
     "f6_repaired": """select * from (values ('at once', 'satisfactory', 1::bigint, 'satisfactory', 25::bigint), ('second', 'satisfactory', 2, 'empty,satisfactory', 25), ('third', 'satisfactory', 3, 'error,no_sql,satisfactory', 25),
         ('never', 'error', 3, 'error,error,error', null), ('empty', 'empty', 3, 'empty,empty,empty', null), ('no sql', 'skipped', 3, 'no_sql,no_sql,no_sql', null)) t(asked, verdict, attempts, states, n)""",
@@ -279,14 +338,14 @@ ORACLE_SQL = {
         v as (select r_name, string_agg(note, '; ' order by p) as t from n group by 1) select r_name as table_name, '- ' || r_name || ': nations' || coalesce(' — ' || substr(t, 1, 200), '') as line from region left join v using (r_name)""",
     "f17_json_safe": "select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as at, strftime(o_orderdate, '%Y-%m-%d') as day from orders",
     "f13_snapshot": f"with {bind.CATALOG}, k as (select doc_type || '=' || count(*) as x from catalog group by doc_type) select (select count(*) from catalog) as n, (select string_agg(x, ',' order by x) from k) as kinds, (select string_agg(filename, ',' order by doc_id) from (select * from catalog order by doc_id limit 5)) as names",
-    "d3_reranked": f"""with {CHUNKS}, r as (select * from t), {BM25.format(question=QUESTION, k=12)}, m as (select hy.id, {SHARE} as m from hy join r using (id)), b as (select min(m) as lo, max(m) as hi from m)
+    "d3_reranked": f"""with {CHUNKS}, r as (select * from t), {BM25.format(question=QUESTION, k=12, vec=7)}, m as (select hy.id, {SHARE} as m from hy join r using (id)), b as (select min(m) as lo, max(m) as hi from m)
         select id, round(0.01 + case when hi > lo then (m - lo) / (hi - lo) else 0.5 end, 4) as score from m, b""",
     "d24_figures": f"""with {bind.CATALOG}, {CHUNKS}, r as (select * from t where chunk_size_tier = 'medium' and content_type = 'figure' and figure_kind = 'diagram' and doc_id in (select doc_id from catalog where list_contains(acl_groups, 'g2'))),
-        {BM25.format(question=QUESTION, k=8)} select id, round(score, 6) as score from hy""",
+        {BM25.format(question=QUESTION, k=8, vec=7)} select id, round(score, 6) as score from hy""",
     "d21_technical": "select unnest(['prerequisites', 'steps', 'warnings', 'verification', 'rollback']) as role, true as agrees",
     "f15_structured": "select * from (values ('found', 'satisfactory', 25::bigint, 20::bigint), ('no table', 'skipped', null, 20), ('failed', 'error', null, 20)) t(asked, verdict, n, n_rows)",
     "q9_facade": f"""with {bind.CATALOG}, {CHUNKS}, {bind.EDGES}, one as (select doc_id from catalog where doc_id % 5 = 1 order by doc_id limit 1)
-        select 'found of a type' as what, 0::bigint as n union all select 'category', count(*) from catalog where category = (select min(nullif(category, '')) from catalog) and list_contains(acl_groups, 'g1') union all select 'unknown category', count(*) from catalog where list_contains(acl_groups, 'g1')
+        select 'found of a type' as what, 0::bigint as n union all select 'category', count(*) from catalog where category = (select min(nullif(category, '')) from catalog where list_contains(acl_groups, 'g1')) and list_contains(acl_groups, 'g1') union all select 'unknown category', count(*) from catalog where list_contains(acl_groups, 'g1')
         union all select 'by id', count(*) from t where doc_id = 4 and chunk_size_tier = 'medium' union all select 'by name', count(*) from t where doc_id in (from one) and chunk_size_tier = 'medium'
         union all select 'sources', count(distinct coalesce(nullif(category, ''), 'uncategorized')) from catalog union all select 'near nodes', 1 + count(distinct source) from edges where target = 'r1' union all select 'answers', 1""",
     "l1_relations": f"""with {FAMILY} select k || 'a' as a, k || 'b' as b, 0.99::double as confidence, 'same identifier' as reason from s union all select k || 'a', k || 'c', 0.98, 'supersession' from s union all select k || 'b', k || 'c', 0.98, 'supersession' from s

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import text as X
+from docloom.session import ship
 
 BLOCKS = "doc_type string, body_index int, block_type string, text string, page int, section_path string"
 KINDS = {
@@ -142,6 +143,7 @@ def sheets(files: DataFrame) -> DataFrame:
                         [pa.array([path] * len(part)), pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.list_(pa.string()))], GRID.names
                     )
 
+    ship(files.sparkSession)
     return files.filter("kind in ('workbook', 'delimited') and format != 'ole'").select("path", "filename", "format", "content").mapInArrow(run, GRID)
 
 
@@ -232,6 +234,7 @@ def blocks(files: DataFrame) -> DataFrame:
                     kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "doc_type", "body_index", "block_type", "text", "page", "section_path"])
 
+    ship(files.sparkSession)
     return files.filter(F.col("kind").isin(*READERS)).select("path", "kind", "content").mapInArrow(run, f"path string, {BLOCKS}")
 
 
@@ -316,6 +319,7 @@ def pages_to_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
             made = [html_to_markdown(h or "") for h in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.string())], [*keep, "markdown"])
 
+    ship(pages.sparkSession)
     return pages.select(*keep, html).mapInArrow(run, T.StructType([*(pages.schema[c] for c in keep), T.StructField("markdown", T.StringType())]))
 
 
