@@ -25,6 +25,9 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 CHANCE, OWN, FALL = 1e-9, 30, 1e-3
 #: Vector: names, and the least standard deviation that counts in each (most texts have no symbols at all).
 VECTOR = {"v_words": 0.5, "v_length": 0.08, "v_symbols": 0.35, "v_lines": 0.5, "v_repeat": 0.5}
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Bytes of a text from which its words are rows, not an array, and characters of the parts that it is cut into then.
+LONG, PART = 16 << 20, 1 << 20
 #: Groups whose estimates are sent to every task; with more they are joined by key.
 SENT = 5000
 
@@ -76,6 +79,44 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def long_statistics(rows: DataFrame, part: int | None = None) -> DataFrame:
+    """The statistics of texts that are too long for arrays of their words: __uid, the statistics. rows: __uid, __body.
+
+    A text is cut into parts of equal length, tokens are numbered through all parts, and what a cut parts has one number and
+    is joined again. Then words, lines and windows are rows, counted as rows are.
+    """
+    part = part or PART
+    last = F.floor((F.char_length("__body") - 1) / part).cast("int")
+    parts = rows.select("__uid", "__body", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("c"))
+    parts = checkpoint(parts.select("__uid", "c", F.expr(f"substring(__body, c * {part} + 1, {part})").alias("part")).repartition("__uid", "c"))
+
+    def tokens(separator: str) -> DataFrame:
+        pieces = parts.select("__uid", "c", F.split("part", separator).alias("p"))
+        before = Window.partitionBy("__uid").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+        first = pieces.select("__uid", "c", F.coalesce(F.sum(F.size("p") - 1).over(before), F.lit(0)).alias("first"))
+        found = pieces.join(first, ["__uid", "c"]).select("__uid", "c", "first", F.posexplode("p").alias("i", "t"))
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]), "")
+        return found.groupBy("__uid", (F.col("first") + F.col("i")).alias("no")).agg(whole.alias("t"))
+
+    words = checkpoint(tokens(SPACE).filter("t != ''").select("__uid", "no", F.xxhash64("t").alias("h"), F.char_length("t").alias("size")))
+    order = Window.partitionBy("__uid").orderBy("no")
+    ahead = [F.lead("h", k).over(order) for k in range(WINDOW)]
+    windows = words.select("__uid", F.row_number().over(order).alias("at"), *[x.alias(f"h{k}") for k, x in enumerate(ahead)]).filter(f"h{WINDOW - 1} is not null")
+    windows = checkpoint(windows.select("__uid", "at", F.xxhash64(*[f"h{k}" for k in range(WINDOW)]).alias("w")))
+    twice = windows.groupBy("__uid", "w").agg(F.count("*").alias("n")).filter("n > 1").select("__uid", "w")
+    covered = windows.join(twice, ["__uid", "w"], "left_semi").select("__uid", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW - 1)).alias("at")).distinct()
+    counts = [
+        words.groupBy("__uid").agg(F.count("*").alias("n_words"), F.sum("size").alias("word_chars")),
+        parts.groupBy("__uid").agg(F.sum(F.regexp_count("part", F.lit(SYMBOL))).alias("n_symbols")),
+        tokens("\n").filter(F.col("t").rlike(WORD)).groupBy("__uid").agg((F.count("*") - F.count_distinct(F.sha2(F.col("t").cast("binary"), 256))).alias("n_dup_lines")),
+        covered.groupBy("__uid").agg(F.count("*").alias("n_repeat_words")),
+    ]
+    out = rows.select("__uid")
+    for c in counts:
+        out = out.join(c, "__uid", "left")
+    return out.select("__uid", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in STATISTICS])
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
@@ -271,7 +312,14 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     their own. Repeated rows are judged alike and count once in an estimate; of estimates with equal determinants the first
     in order of their values counts. An empty table gives an empty table. Other columns of docs may have any names.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), *[c.alias(n) for n, c in statistics(F.col(f"`{text}`")).items()])
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    base = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), body.alias("__body"))
+    names = ["__k", "__lang", "__source"]
+    short = base.filter(F.octet_length("__body") < LONG)
+    rows = checkpoint(short.select(*names, *[c.alias(n) for n, c in statistics(F.col("__body")).items()]))
+    if rows.count() < docs.count():
+        long = checkpoint(base.filter(F.octet_length("__body") >= LONG).withColumn("__uid", F.monotonically_increasing_id()))
+        rows = rows.unionByName(long.drop("__body").join(long_statistics(long.select("__uid", "__body")), "__uid").select(*names, *STATISTICS))
     rows = checkpoint(rows.withColumn("base_failed", base_failed()))
     passed = rows.filter("not base_failed").withColumns(vector())
     judged = outliers(passed, ["__lang", "__source"])

@@ -676,6 +676,19 @@ def test_rules_statistics(spark):
         assert tuple(r)[1:] == brute_statistics(r.text), r.text
 
 
+def test_rules_long_texts_are_measured_as_rows(spark, monkeypatch):
+    """Every text by the way of long ones, cut into parts of a few characters: the same statistics."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["ab", "c", "#d", "é|", "long" * 5], k=rng.randint(1, 60))).replace(" c ", rng.choice([" \n", "\t", "\n\n"])) for _ in range(12)] + [PROSE * 3, " \n ", "x"]
+    want = {r.doc_id: r for r in quality_rules.apply_rules(named(spark, texts)).collect()}
+    monkeypatch.setattr(quality_rules, "LONG", 1)
+    monkeypatch.setattr(quality_rules, "PART", 7)
+    got = quality_rules.apply_rules(named(spark, texts)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert [r[c] for c in quality_rules.STATISTICS] == [want[r.doc_id][c] for c in quality_rules.STATISTICS] and r.kept == want[r.doc_id].kept
+
+
 def test_rules_reject_outliers(spark):
     random.seed(3)
     vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(2, 9))) for _ in range(400)]
