@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import aggregates as G
@@ -174,14 +174,21 @@ def m2_c22_induced(spark: SparkSession, sf: str) -> DataFrame:
     return M.induced(bind.edges(spark, sf), bind.entities(spark, sf).filter("entity_type in ('nation', 'region')").select("node"))
 
 
+def _spelled(brand: Column) -> Column:
+    """A brand in one of four spellings, by its part's number."""
+    loose = lambda sign: F.replace(brand, F.lit("#"), F.lit(sign))
+    k = F.col("p_partkey") % 4
+    return F.when(k == 0, loose("-")).when(k == 1, loose(" ")).when(k == 2, F.upper(loose(" "))).otherwise(F.lower(loose(".")))
+
+
 def m6_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of spellings, each by its least node."""
-    p = bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("name"), F.col("p_type").alias("entity_type"))
+    p = bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), _spelled(F.col("p_brand")).alias("name"), F.col("p_type").alias("entity_type"))
     return M.merge_candidates(p)
 
 
 def c16_entity_search(spark: SparkSession, sf: str) -> DataFrame:
-    return M.search(bind.entities(spark, sf), "AN", "nation")
+    return M.search(bind.entities(spark, sf), "tIoN_1", "nation")
 
 
 def i9_resolved_entities(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,10 +316,10 @@ ORACLE_SQL = {
     "m5_merged": f"with {bind.EDGES}, k as (select case when source in ('n1', 'n2', 'n3') then 'n0' else source end as source, case when target in ('n1', 'n2', 'n3') then 'n0' else target end as target, relation_type from edges where relation_type != 'placed_by') select distinct * from k where source != target",
     "m9_view": f"with {bind.EDGES}, {bind.ENTITIES}, c as (select node, count(*) as n from (select target as node from edges union all select source from edges) group by 1) select e.*, coalesce(n, 0) as n_mentions, least(60, greatest(20, 20 + 5 * coalesce(n, 0)))::bigint as size from entities e left join c using (node)",
     "m2_c22_induced": f"with {bind.EDGES} select source, target, relation_type from edges where relation_type = 'part_of'",
-    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case when p_partkey % 2 = 0 then upper(p_brand) else replace(p_brand, '#', '-') end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t),
+    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case p_partkey % 4 when 0 then replace(p_brand, '#', '-') when 1 then replace(p_brand, '#', ' ') when 2 then upper(replace(p_brand, '#', ' ')) else lower(replace(p_brand, '#', '.')) end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t),
         k as (select *, trim(regexp_replace(lower(name), '[.\\-\\s]+', ' ', 'g')) as k from c)
         select a.node as keep, b.node as remove, case when lower(a.name) = lower(b.name) then 'auto' else 'propose' end as outcome from k a join k b on a.k = b.k and a.t = b.t and a.node < b.node""",
-    "c16_entity_search": f"with {bind.ENTITIES} select * from entities where name ilike '%AN%' and entity_type = 'nation'",
+    "c16_entity_search": f"with {bind.ENTITIES} select * from entities where contains(lower(name), 'tion_1') and entity_type = 'nation'",
     "i9_resolved_entities": """with m as (select case p_partkey % 3 when 0 then lower(p_brand) when 1 then replace(p_brand, '#', '-') else p_brand end as name, p_type as entity_type, p_partkey as d from part),
         k as (select *, trim(regexp_replace(lower(name), '[.\\-\\s]+', ' ', 'g')) as canonical from m)
         select canonical, entity_type, arg_max(name, (length(name), length(regexp_replace(name, '[^A-Z]', '', 'g')), name)) as name, min(d) as first_doc, count(*) as n_mentions, count(distinct name) as n_names from k group by 1, 2""",
@@ -333,4 +340,4 @@ ORACLE_SQL = {
     "d27_recent_activity": "select event_id, event_type from events order by ts desc, event_id desc limit 10",
 }
 
-QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__}
+QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}
