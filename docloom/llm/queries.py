@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import alignment, bpe, exact_dedup, langid, mixing, quality_gam, quality_rules, sharding, simhash, toxicity, wordpiece
+from docloom.llm import alignment, bpe, exact_dedup, langid, mixing, packing, quality_gam, quality_rules, sharding, simhash, toxicity, wordpiece
 from docloom.llm._common import documents, held_out
 
 
@@ -68,6 +68,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = packing.load(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    found = packing.pack(documents(spark, sf_dir), tokenizer, keep=["doc_id"])
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabularies = alignment.load(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     rows, postings = alignment.groups(documents(spark, sf_dir), vocabularies, keep=["doc_id"])
@@ -75,7 +81,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(rows.select("block", "doc", "doc_id", *alignment.FIGURES, digest), postings)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_token_counts, op5_mixing, op6_byte_bpe, op7_simhash, op8_quality_gam, op9_exact_dedup, op10_quality_rules, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_token_counts, op5_mixing, op6_byte_bpe, op7_simhash, op8_quality_gam, op9_exact_dedup, op10_quality_rules, op12_packing, op13_alignment)}
 
 ORACLE_SQL = {
     "op3_sharding": sharding.ORACLE_SQL,
