@@ -9,7 +9,6 @@ into sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import hashlib
-import os
 from array import array
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._common import TEXT, _pieces, prepare, scratch, worker_cache
-from docloom.llm.segments import Segments
+from docloom.llm.segments import ByteLevel, Segments
 
 #: Tokens of a sequence, the id behind each document, pieces of a shard, and BM25's parameters.
 WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
@@ -29,25 +28,25 @@ WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
 WHOLE, PIECE, FREQUENCY = 0, 1, 2
 
 
-def load(spark: SparkSession, path: str) -> str:
-    """A tokenizer's JSON, read on the driver: a vocabulary doesn't grow with the data."""
+def load(spark: SparkSession, path: str, pattern: str) -> tuple[str, str]:
+    """A byte-level tokenizer's JSON, read on the driver, as a vocabulary doesn't grow with the data; and the pattern whose
+    matches it encodes separately."""
     with open(path, encoding="utf-8") as lines:
-        return lines.read()
+        return lines.read(), pattern
 
 
 class Tokens:
     """Ids of whole texts as little-endian 32-bit numbers; a vocabulary's special tokens in a text are found as the library does."""
 
-    def __init__(self, content: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(content)
-        self.size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+    def __init__(self, tokenizer: tuple[str, str]):
+        self.tokenizer = ByteLevel(*tokenizer, special=True)
+        self.size = len(self.tokenizer.bytes_of)
         self.segments = Segments(self._encode, spaced=False)
 
     def _encode(self, segments: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        ids, ends = self.tokenizer.each(segments)
+        data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = self.segments.look(texts)
@@ -129,14 +128,14 @@ def _powers(made: list[tuple[int, int, int]], total: int) -> Iterator[list[tuple
             yield run
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str, keep: list[str], window: int, end: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str, str], text: str, keep: list[str], window: int, end: int) -> DataFrame:
     """A table in the shared folder. kind WHOLE: a document's whole windows, with their sequence; PIECE: what is left of it, with
     its rarest id by the vocabulary's order (later merges are rarer) as sign; FREQUENCY: how many documents (n) of a task have
     an id (sign), and its number of documents as sign -1."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(tokenizer)
-    name = "tokens:" + hashlib.sha256(tokenizer.encode()).hexdigest()
+    name = "tokens:" + hashlib.sha256("".join(tokenizer).encode()).hexdigest()
     narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").cast("binary").alias(TEXT))
     own_names = [("__row", T.LongType()), ("sign", T.IntegerType()), ("n", T.LongType()), ("doc_tokens", T.LongType()), ("start", T.LongType()), ("ids", T.BinaryType()), ("sequence_id", T.LongType()), ("kind", T.IntegerType())]
     schema = T.StructType([*[T.StructField(c, narrow.schema[c].dataType, True) for c in keep], *[T.StructField(c, t) for c, t in own_names]])
@@ -183,7 +182,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str, keep: list[str], window:
     return spark.read.schema(schema).parquet(path)
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: tuple[str, str], text: str = "text", keep: list[str] | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
     """A row for each piece of a document: docs' columns of keep (all by default), start (its document's ids before it), length,
     ids (little-endian 32-bit numbers), doc_tokens, sequence_id and offset there. Each document ends with the id end.
 

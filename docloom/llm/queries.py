@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import alignment, bpe, exact_dedup, langid, mixing, packing, quality_gam, quality_rules, sharding, simhash, toxicity, wordpiece
+from docloom.llm import alignment, bpe, exact_dedup, langid, mixing, packing, phrases, quality_gam, quality_rules, sharding, simhash, toxicity, wordpiece
 from docloom.llm._common import documents, held_out
 
 
@@ -68,20 +68,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = packing.load(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = packing.load(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     found = packing.pack(documents(spark, sf_dir), tokenizer, keep=["doc_id"])
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabularies = alignment.load(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    vocabularies = alignment.load(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
     rows, postings = alignment.groups(documents(spark, sf_dir), vocabularies, keep=["doc_id"])
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
     return alignment.scored(rows.select("block", "doc", "doc_id", *alignment.FIGURES, digest), postings)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_token_counts, op5_mixing, op6_byte_bpe, op7_simhash, op8_quality_gam, op9_exact_dedup, op10_quality_rules, op12_packing, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_token_counts, op5_mixing, op6_byte_bpe, op7_simhash, op8_quality_gam, op9_exact_dedup, op10_quality_rules, op11_phrases, op12_packing, op13_alignment)}
 
 ORACLE_SQL = {
     "op3_sharding": sharding.ORACLE_SQL,
@@ -91,4 +95,5 @@ ORACLE_SQL = {
                row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept,
                sha256(coalesce(text, '')) as text_sha256
         from documents""",
+    "op11_phrases": phrases.ORACLE_SQL,
 }

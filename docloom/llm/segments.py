@@ -7,18 +7,21 @@ line feed. So what a segment encodes to doesn't depend on what is around it.
 
 from __future__ import annotations
 
+import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import regex
 
 #: Segments that a worker remembers, and characters of a text that are cut up at a time.
 SEGMENTS, LONG = 1 << 17, 1 << 20
 
-#: White space by any definition, as the inside of a character class.
-BLANK = "".join(regex.escape(chr(c)) for c in range(0x10000) if chr(c).isspace() or unicodedata.category(chr(c))[0] == "Z") + "\u180e\u200b\ufeff"
-SOLID = regex.compile(f"[^{BLANK}](?:.*[^{BLANK}])?", regex.DOTALL)
+#: White space by any definition, and as the inside of a character class.
+BLANKS = frozenset(chr(c) for c in range(0x10000) if chr(c).isspace() or unicodedata.category(chr(c))[0] == "Z") | set("\u180e\u200b\ufeff")
+BLANK = "".join(map(regex.escape, sorted(BLANKS)))
 CUT = regex.compile(f"(?<=[^{BLANK}])(?=[ \n][^{BLANK}])")
 SPACE = regex.compile(f"(?<=[^{BLANK}]) (?=[^{BLANK}])")
 
@@ -47,12 +50,15 @@ class Segments:
         self.values: list = []
         self.new: list[str] = []
 
-    def trim(self, often: set[int] = frozenset()) -> None:
-        """If there are too many segments, forget all but those at these places; places that were given before no longer hold."""
-        if len(self.places) > self.most:
-            kept = [(name, value) for k, (name, value) in enumerate(zip(self.places, self.values, strict=True)) if k in often]
-            self.places = {name: k for k, (name, _) in enumerate(kept)}
-            self.values = [value for _, value in kept]
+    def trim(self, often: set[int] = frozenset()) -> list[int] | None:
+        """If there are too many segments, forget all but those at these places, and give their places in order: each is now
+        where it stands in that list. Else None, and nothing changes."""
+        if len(self.places) <= self.most:
+            return None
+        kept = [(k, name) for k, name in enumerate(self.places) if k in often]
+        self.places = {name: n for n, (_, name) in enumerate(kept)}
+        self.values = [self.values[k] for k, _ in kept]
+        return [k for k, _ in kept]
 
     def look(self, texts: list[str]) -> list[array]:
         """For each text the places of its segments in values, in order."""
@@ -101,4 +107,65 @@ class Segments:
 
 
 def _solid(name: str) -> bool:
-    return SOLID.fullmatch(name, 1 if name[:1] == "\n" else 0) is not None
+    first = name[1:2] if name[:1] == "\n" else name[:1]
+    return first != "" and first not in BLANKS and name[-1] not in BLANKS
+
+
+def joins(segment: str) -> bool:
+    """Whether a segment can stand behind and before others like it: a space or a line feed, and something solid behind it."""
+    return segment[0] in " \n" and _solid("\n" + segment[1:])
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 itself, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class ByteLevel:
+    """A byte-level tokenizer from its JSON. special: whether its special tokens are found in texts, else they are plain text.
+
+    If the vocabulary's numbers go up in the order of its merges, they are ranks, and the faster of two libraries can encode
+    with them: the ids are the same.
+    """
+
+    def __init__(self, content: str, pattern: str, special: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        model, byte = json.loads(content)["model"], byte_alphabet()
+        names = {t["content"]: t["id"] for t in json.loads(content)["added_tokens"]}
+        vocabulary = {t: i for t, i in model["vocab"].items() if t not in names}
+        self.bytes_of = [b""] * (1 + max([*vocabulary.values(), *names.values()]))
+        for t, i in [*vocabulary.items(), *names.items()]:
+            self.bytes_of[i] = t.encode() if t in names else bytes(map(byte.__getitem__, t))
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int64)
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        if all(vocabulary.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges)):
+            import tiktoken
+
+            ranks = {self.bytes_of[i]: i for i in vocabulary.values()}
+            library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=names)
+            self.ids = (lambda text: library.encode(text, allowed_special="all")) if special else library.encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(content)
+            tokenizer.encode_special_tokens = not special
+            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def each(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments, one after the other, and the number of ids up to the end of each. Those that join are encoded as one
+        text."""
+        found, run = [], []
+        for s in segments:
+            if joins(s):
+                run.append(s)
+                continue
+            if run:
+                found.append(self.ids("".join(run)))
+                run = []
+            found.append(self.ids(s))
+        if run:
+            found.append(self.ids("".join(run)))
+        ids = np.concatenate([np.array(x, np.int64) for x in found])
+        return ids, 1 + np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) for s in segments]))
