@@ -9,10 +9,10 @@ counts, a sorted stream each, which spill; what comes of it is added up by docum
 from __future__ import annotations
 
 import hashlib
-import os
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,105 +23,112 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.llm._common import TEXT, _pieces, prepare, scratch, worker_cache
-from docloom.llm.segments import Segments
+from docloom.llm.segments import ByteLevel, Segments
 
 #: Segments of the documents in a block, at most, but for its last batch; and postings of an id that meet in one stream.
-BLOCK, STREAM = 1 << 21, 1 << 24
+BLOCK, STREAM = 1 << 20, 1 << 24
+#: Bytes of text that are cut up at a time.
+PART = 4 << 20
+#: Segments that a worker remembers.
+SEGMENTS = 3 << 16
 #: Links of a group above which its ids are counted first.
 WIDE = 256
 #: Times that a block uses a segment that is remembered longer.
-OFTEN = 3
+OFTEN = 2
 
 DOC = [("block", T.LongType()), ("doc", T.IntegerType())]
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
-POSTING = [("a", T.IntegerType()), ("b", T.IntegerType()), ("n", T.IntegerType()), ("docs", T.ArrayType(T.IntegerType(), False)), ("times", T.ArrayType(T.IntegerType(), False))]
+POSTING = [("a", T.IntegerType()), ("b", T.IntegerType()), ("n", T.IntegerType()), ("docs", T.ArrayType(T.IntegerType(), False))]
+#: An entry of docs is a document's number in its block, of so many bits, and above it how often it holds the pair; what is more
+#: than that has further entries.
+DOC_BITS, TIMES = 20, (1 << 11) - 1
 
 
-def load(spark: SparkSession, byte_level: str, pieces: str) -> tuple[str, bytes]:
-    """Contents of a byte-level tokenizer (JSON) and of a piece model, read on the driver: vocabularies don't grow with the data."""
+def load(spark: SparkSession, byte_level: str, pieces: str, pattern: str) -> tuple[str, bytes, str]:
+    """Contents of a byte-level tokenizer (JSON) and of a piece model, read on the driver, as vocabularies don't grow with the
+    data; and the pattern whose matches the first encodes separately."""
     with open(byte_level, encoding="utf-8") as a, open(pieces, "rb") as b:
-        return a.read(), b.read()
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 itself, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
-def byte_level(content: str):
-    """A tokenizer that takes special tokens in texts as plain text, single-threaded."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(content)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+        return a.read(), b.read(), pattern
 
 
 class Aligner:
-    """Groups and links of segments. Side A takes a segment with its space, side B adds the space itself."""
+    """Groups and links of segments. Side A takes a segment with its space, side B adds the space itself.
+
+    A segment's value is its groups as text and its links as 64-bit numbers, by turns a pair's ids and how often it is linked (a
+    pair may come again). figures has a row for each: numbers of A ids, B ids, groups and links, -1 if the bytes of a side aren't
+    the segment's.
+    """
 
-    def __init__(self, vocabularies: tuple[str, bytes]):
+    def __init__(self, vocabularies: tuple[str, bytes, str]):
         import sentencepiece
 
-        self.a = byte_level(vocabularies[0])
+        self.a = ByteLevel(vocabularies[0], vocabularies[2], special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies[1])
-        byte = byte_alphabet()
-        self.a_bytes = {i: bytes(map(byte.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if "▁" in piece.lstrip("▁") or "\n" in piece:
                 raise ValueError("a piece goes on behind a space or over a line feed: texts can't be cut there")
             self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.segments = Segments(self.encode, spaced=True)
-
-    def encode(self, segments: list[str]) -> list[tuple]:
-        """For each segment: groups as text, numbers of A ids, B ids, groups and links, and the links as 64-bit numbers, by
-        turns a pair's ids and how often it is linked (a pair may come again); None if the bytes of a side aren't the segment's."""
-        sides = zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self.b.encode([s.removeprefix(" ") for s in segments], num_threads=1), strict=True)
-        return [self._aligned(s.encode(), a.ids, b if s[0] == " " else b[1:]) for s, a, b in sides]
-
-    def _aligned(self, data: bytes, a: list[int], b: list[int]) -> tuple | None:
-        ab, bb = list(map(self.a_bytes.__getitem__, a)), list(map(self.b_bytes.__getitem__, b))
-        if b"".join(ab) != data or b"".join(bb) != data:
-            return None
-        al, bl = list(map(len, ab)), list(map(len, bb))
-        groups, links, n_links = [], [], 0
-        i = j = 0
-        while i < len(a):
-            ea, eb = al[i], bl[j]
-            if ea == eb:
-                groups.append(f"{a[i]}|{b[j]}")
-                links += a[i] << 32 | b[j], 1
-                n_links += 1
-                i, j = i + 1, j + 1
-                continue
-            i0, j0 = i, j
-            i, j = i + 1, j + 1
-            while ea != eb:
-                if ea < eb:
-                    ea += al[i]
-                    i += 1
-                else:
-                    eb += bl[j]
-                    j += 1
-            ga, gb = a[i0:i], b[j0:j]
-            groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
-            n = len(ga) * len(gb)
-            n_links += n
-            if n <= WIDE:
-                for x in ga:
-                    for y in gb:
-                        links += x << 32 | y, 1
-            else:
-                gb = Counter(gb)
-                for x, m in Counter(ga).items():
-                    for y, n in gb.items():
-                        links += x << 32 | y, m * n
-        return ";".join(groups), len(a), len(b), len(groups), n_links, array("q", links).tobytes()
+        self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
+        self.segments = Segments(self.encode, spaced=True, most=SEGMENTS)
+        self.figures, self.more = np.zeros((0, 4), np.int64), []
+
+    def trim(self, often: set[int]) -> None:
+        self.settle()
+        kept = self.segments.trim(often)
+        if kept is not None:
+            self.figures = self.figures[kept]
+
+    def settle(self) -> None:
+        if self.more:
+            self.figures, self.more = np.concatenate([self.figures, *self.more]), []
+
+    def encode(self, segments: list[str]) -> list[tuple[str, bytes]]:
+        """Values of segments; their figures go to more."""
+        data = [s.encode() for s in segments]
+        a, _ = self.a.each(segments)
+        b = [x if s[0] == " " else x[1:] for s, x in zip(segments, self.b.encode([s.removeprefix(" ") for s in segments], num_threads=1), strict=True)]
+        sides = (self.a.bytes_of, a.tolist()), (self.b_bytes, list(chain.from_iterable(b)))
+        if all(b"".join(map(of.__getitem__, ids)) == b"".join(data) for of, ids in sides):
+            return self._aligned(list(map(len, data)), a, np.array(sides[1][1], np.int64))
+        if len(segments) == 1:
+            self.more.append(np.full((1, 4), -1, np.int64))
+            return [("", b"")]
+        half = len(segments) // 2  # some segment isn't what its tokens say: find it
+        return self.encode(segments[:half]) + self.encode(segments[half:])
+
+    def _aligned(self, sizes: list[int], a: np.ndarray, b: np.ndarray) -> list[tuple[str, bytes]]:
+        """From the ids of segments of these sizes in bytes. Tokens of a group are next to each other on either side."""
+        ends, ends_a, ends_b = np.cumsum(sizes), np.cumsum(self.a.sizes[a]), np.cumsum(self.b_sizes[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        to_a, to_b, to_g = (1 + np.searchsorted(x, y) for x, y in ((ends_a, common), (ends_b, common), (common, ends)))
+        from_a, from_b = (np.concatenate([[0], x[:-1]]) for x in (to_a, to_b))
+        n_a, n_b = to_a - from_a, to_b - from_b
+        n_links = n_a * n_b
+        figures = np.stack([np.add.reduceat(x, np.concatenate([[0], to_g[:-1]])) for x in (n_a, n_b, np.ones_like(n_a), n_links)], 1)
+        self.more.append(figures)
+
+        wide = n_links > WIDE
+        few = np.where(wide, 0, n_links)  # links of groups that aren't wide, one by one
+        group = np.repeat(np.arange(len(few)), few)
+        k = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few)
+        links = np.stack([a[from_a[group] + k // n_b[group]] << 32 | b[from_b[group] + k % n_b[group]], np.ones(len(k), np.int64)], 1)
+        starts = np.concatenate([[0], np.cumsum(few)[to_g - 1]]).tolist()
+        data, more = memoryview(links.tobytes()), {}
+        a_list, b_list = a.tolist(), b.tolist()
+        for g in np.flatnonzero(wide).tolist():
+            of, many = Counter(a_list[from_a[g] : to_a[g]]), Counter(b_list[from_b[g] : to_b[g]])
+            segment = int(np.searchsorted(to_g, g, "right"))
+            more[segment] = more.get(segment, b"") + array("q", [v for x, m in of.items() for y, n in many.items() for v in (x << 32 | y, m * n)]).tobytes()
+
+        a_text, b_text = list(map(str, a_list)), list(map(str, b_list))
+        texts = [f"{a_text[i]}|{b_text[k]}" if j == i + 1 and m == k + 1 else f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True)]
+        out, g = [], 0
+        for s, to in enumerate(to_g.tolist()):
+            out.append((";".join(texts[g:to]), bytes(data[16 * starts[s] : 16 * starts[s + 1]]) + more.get(s, b"")))
+            g = to
+        return out
 
 
 class Block:
@@ -132,61 +139,69 @@ class Block:
         self.places: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
 
-    def add(self, texts: list[str]) -> list[list]:
-        """Figures and groups of these documents; their links are kept for postings()."""
+    def add(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Figures (a row for each) and groups of these documents; their links are kept for postings()."""
         found = self.aligner.segments.look(texts)
-        values = self.aligner.segments.values
-        figures, groups = [], []
-        for f in found:
-            of = [values[k] for k in f]
-            if not of or None in of:
-                figures.append((0, 0, 0, 0))
-                groups.append("")
-                f = f[:0]
-            else:
-                figures.append([sum(column) for column in list(zip(*of, strict=True))[1:5]])
-                groups.append(";".join([v[0] for v in of]))
-            self.places.append(np.frombuffer(f, np.int32))
-            self.owners.append(np.full(len(f), self.docs, np.int32))
-            self.docs += 1
-            self.size += len(f)
-        return [*map(list, zip(*figures, strict=True)), groups] if figures else [[]] * 5
+        self.aligner.settle()
+        value, n = self.aligner.segments.values.__getitem__, len(texts)
+        places = np.concatenate([np.frombuffer(f, np.int32) for f in found]) if found else np.zeros(0, np.int32)
+        owner = np.repeat(np.arange(n), [len(f) for f in found])
+        of = self.aligner.figures[places]
+        void = np.bincount(owner[of[:, 0] < 0], minlength=n) > 0
+        figures = np.stack([np.bincount(owner, c, n).astype(np.int64) for c in of.T], 1)
+        figures[void] = 0
+        self.places.append(places[~void[owner]])
+        self.owners.append(owner[~void[owner]] + self.docs)
+        self.docs += n
+        self.size += len(places)
+        return figures, ["" if v else ";".join([value(k)[0] for k in f]) for f, v in zip(found, void.tolist(), strict=True)]
 
     def postings(self) -> pa.RecordBatch | None:
         """Rows (a, b, n, docs, times) for the pairs that documents of this block hold: in n documents, so often in each."""
-        if not self.size:
+        places, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.places, self.owners))
+        if not len(places):
             return None
-        places, owners = np.concatenate(self.places), np.concatenate(self.owners)
         used, which, seen = np.unique(places, return_inverse=True, return_counts=True)
         self.often = set(used[seen >= OFTEN].tolist())
-        links = [self.aligner.segments.values[p][5] for p in used]
+        links = [self.aligner.segments.values[p][1] for p in used]
         sizes = np.array(list(map(len, links)), np.int64) // 16
         pairs, times = np.frombuffer(b"".join(links), np.int64).reshape(-1, 2).T
         pairs, number = np.unique(pairs, return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         counts, ends = sizes[which], np.cumsum(sizes[which])
         at = np.arange(ends[-1]) - np.repeat(ends - counts - starts[which], counts)
-        key = number[at] * self.docs + np.repeat(owners.astype(np.int64), counts)
-        order = np.argsort(key, kind="stable")
-        key, m = key[order], times[at][order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, m = key[first], np.add.reduceat(m, first)
+        key = number[at] * self.docs + np.repeat(owners, counts)
+        if (times == 1).all():
+            key.sort()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, m = key[first], np.diff(np.append(first, len(key)))
+        else:
+            order = np.argsort(key)
+            key, m = key[order], times[at][order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, m = key[first], np.add.reduceat(m, first)
         pair, doc = key // self.docs, key % self.docs
-        cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        offsets = pa.array(np.concatenate([cut, [len(pair)]]), pa.int32())
-        ids = pairs[pair[cut]]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (doc, m)]
-        return pa.record_batch([pa.array(ids >> 32, pa.int32()), pa.array(ids & 0xFFFFFFFF, pa.int32()), pa.array(np.diff(np.append(cut, len(pair))), pa.int32()), *lists], [n for n, _ in POSTING])
-
-
-def groups(docs: DataFrame, vocabularies: tuple[str, bytes], text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        documents = np.bincount(pair, minlength=len(pairs))
+        entries = -(-m // TIMES)
+        if (entries > 1).any():  # the last entry has what is left
+            last = np.cumsum(entries) - 1
+            rest = m - (entries - 1) * TIMES
+            pair, doc, m = np.repeat(pair, entries), np.repeat(doc, entries), np.full(entries.sum(), TIMES)
+            m[last] = rest
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=len(pairs)))])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(m << DOC_BITS | doc, pa.int32()))
+        return pa.record_batch([pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()), pa.array(documents, pa.int32()), lists], [n for n, _ in POSTING])
+
+
+def groups(docs: DataFrame, vocabularies: tuple[str, bytes, str], text: str = "text", keep: list[str] | None = None, digest: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, postings) of an alignment, from one table in the shared folder.
 
     documents: docs' columns of keep (all by default), block and doc, which name a row, n_a, n_b, n_groups, n_links, and groups:
     `a1,a2|b1;a3|b2,b3`, the ids of each group in order. Null and empty texts, and texts that a side's tokens don't give back,
     have zeros and no groups. Texts of any length are encoded whole, repeated rows are rows of their own, an empty table gives
     empty tables; columns with the names of the new ones are replaced.
-    postings: for each block and pair of ids (a, b) the n documents that hold it linked, and how many links each has.
+    With digest, the name of a hash, groups that aren't empty are in its hexadecimal form: they never leave the worker.
+    postings: for each block and pair of ids (a, b) the n documents that hold it linked, and docs, which and how often each.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -223,18 +238,25 @@ def groups(docs: DataFrame, vocabularies: tuple[str, bytes], text: str = "text",
                     part = rows.slice(k, 1 << 14)
                     yield table(dict(zip(part.schema.names, part.columns, strict=True)) | {"block": pa.array([block.number] * part.num_rows, pa.int64())}, part.num_rows, True)
 
-        aligner.segments.trim()
+        aligner.trim(set())
         block = Block(aligner, number)
         for big in batches:
-            for batch in _pieces(big):
-                before, n = block.docs, batch.num_rows
-                made = block.add([(x or b"").decode("utf-8", "replace") for x in batch.column(n_kept).to_pylist()])
+            for batch in _pieces(big, PART):
+                n = batch.num_rows
+                if block.docs + n > 1 << DOC_BITS:
+                    yield from packed(block)
+                    aligner.trim(block.often)
+                    block = Block(aligner, block.number + 1)
+                before = block.docs
+                figures, made = block.add([(x or b"").decode("utf-8", "replace") for x in batch.column(n_kept).to_pylist()])
+                if digest:
+                    made = [hashlib.new(digest, g.encode()).hexdigest() if g else "" for g in made]
                 columns = dict(zip(keep, batch.columns[:n_kept], strict=True)) | {"block": pa.array([block.number] * n, pa.int64()), "doc": pa.array(range(before, before + n), pa.int32())}
-                columns |= {c: pa.array(v, pa.int64()) for c, v in zip(FIGURES, made, strict=False)} | {"groups": pa.array(made[4], pa.string())}
+                columns |= {c: pa.array(v, pa.int64()) for c, v in zip(FIGURES, figures.T, strict=True)} | {"groups": pa.array(made, pa.string())}
                 yield table(columns, n, False)
                 if block.size >= BLOCK:
                     yield from packed(block)
-                    aligner.segments.trim(block.often)
+                    aligner.trim(block.often)
                     block = Block(aligner, block.number + 1)
         yield from packed(block)
         pa.default_memory_pool().release_unused()
@@ -268,8 +290,9 @@ def link_scores(postings: DataFrame) -> DataFrame:
     dealt = postings.join(F.broadcast(hot), F.col("a") == F.col("__a"), "left")  # one row for an id of A's vocabulary
     dealt = dealt.withColumn("stream", F.when(F.col("streams").isNull(), 0).otherwise(F.pmod(F.xxhash64("block"), F.col("streams")).cast("int")))
     met = counts.withColumn("stream", F.explode(F.sequence(F.lit(0), F.col("streams") - 1))).drop("streams")
-    both = dealt.select("a", "b", "stream", "block", "docs", "times").hint("merge").join(met, ["a", "b", "stream"])
-    each = both.select("block", "count", "best", F.explode(F.arrays_zip("docs", "times")).alias("x")).select("block", F.col("x.docs").alias("doc"), F.col("x.times").cast("long").alias("times"), "count", "best")
+    both = dealt.select("a", "b", "stream", "block", "docs").hint("merge").join(met, ["a", "b", "stream"])
+    entry = F.col("x")
+    each = both.select("block", "count", "best", F.explode("docs").alias("x")).select("block", entry.bitwiseAND((1 << DOC_BITS) - 1).alias("doc"), F.shiftright(entry, DOC_BITS).cast("long").alias("times"), "count", "best")
     return each.groupBy("block", "doc").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
 
 
@@ -281,7 +304,7 @@ def scored(documents: DataFrame, postings: DataFrame) -> DataFrame:
     return both.select(*[F.col(f"`{c}`") for c in keep], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")])
 
 
-def align(docs: DataFrame, vocabularies: tuple[str, bytes], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def align(docs: DataFrame, vocabularies: tuple[str, bytes, str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns of keep (all by default), n_a, n_b, n_groups, n_links, groups, n_best and count_sum; see groups() and
     link_scores(). Columns named n_best and count_sum are replaced as well."""
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_best", "count_sum")]

@@ -80,9 +80,8 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabularies = alignment.load(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
-    rows, postings = alignment.groups(documents(spark, sf_dir), vocabularies, keep=["doc_id"])
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
-    return alignment.scored(rows.select("block", "doc", "doc_id", *alignment.FIGURES, digest), postings)
+    rows, postings = alignment.groups(documents(spark, sf_dir), vocabularies, keep=["doc_id"], digest="sha256")
+    return alignment.scored(rows, postings).withColumnRenamed("groups", "groups_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_sharding, op4_token_counts, op5_mixing, op6_byte_bpe, op7_simhash, op8_quality_gam, op9_exact_dedup, op10_quality_rules, op11_phrases, op12_packing, op13_alignment)}
