@@ -166,13 +166,18 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def down(edges: DataFrame) -> DataFrame:
         return edges.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).filter("hi != lo").distinct()
 
+    def meet(rows: DataFrame, node: str, least: DataFrame) -> DataFrame:
+        """rows with m of their node. By another form of the node: both sides are shuffled, and Spark can split a hub over tasks."""
+        other = least.select(F.concat(F.lit("n"), F.col(node).cast("string")).alias("__w"), "m")
+        return rows.withColumn("__w", F.concat(F.lit("n"), F.col(node).cast("string"))).join(other, "__w")
+
     now, seen = checkpoint(down(links.select(F.col(a).alias("x"), F.col(b).alias("y")))), None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = down(both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")))
+        large = down(meet(both.filter("v > u"), "u", least).select(F.col("v").alias("x"), F.col("m").alias("y")))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("lo").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("hi").alias("x"), F.col("m").alias("y")))
+        small = meet(large, "hi", least).select(F.col("lo").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("hi").alias("x"), F.col("m").alias("y")))
         now = checkpoint(down(small))
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if sign == seen:

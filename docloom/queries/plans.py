@@ -233,19 +233,26 @@ def q9_facade(spark: SparkSession, sf: str) -> DataFrame:
 def _family_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers' manuals in editions that supersede each other, and titles that only differ by a letter.
 
-    Each supplier has five documents: 1.0 and 2.0 of one manual, a manual that supersedes it under another number, a
-    copy of the first, and one without a number whose title resembles a sixth's.
+    Each supplier has ten documents: a, b, 1.0 and 2.0 of one manual; c, a manual that supersedes it under another number; d, a
+    copy of a; e and f, without a number, whose titles differ by a letter; g and h, of one title and one set of sections that
+    name no product; i and j, the same of a product. Titles hold letters that are a supplier's own; the sections are everybody's.
     """
     s = bind.table(spark, sf, "supplier").select("s_suppkey")
     k = F.col("s_suppkey").cast("string")
+    own = lambda kind: F.translate(F.md5(F.concat(F.lit(kind), k).cast("binary")), "0123456789", "ghijklmnop")
     sections = F.lit("## Setup\n## Safety\n## Cabling\n## Faults\n")
-    head = lambda title, ident, rev, more="": F.concat(F.lit("# "), title, F.lit("\n"), F.lit(""), F.concat(F.lit("Document ID: "), ident, F.lit("\n")) if ident is not None else F.lit(""), F.lit(f"Revision: {rev}\n{more}") if rev else F.lit(more))
-    one = head(F.concat(F.lit("Manual "), k), F.concat(F.lit("M-"), k), "1.0", "Effective date: 2020-01-01\n")
+    head = lambda title, lines: F.concat(F.lit("# "), title, F.lit("\n"), *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    number = lambda letter: F.concat(F.lit(f"Document ID: {letter}-"), k, F.lit("\n"))
+    manual, network, switch = F.concat(F.lit("Manual "), own("m")), F.concat(F.lit("Network "), own("n")), F.concat(F.lit("Switch "), own("s"))
+    product = F.concat(F.lit("Product: P"), k, F.lit("\n"))
+    one = head(manual, [number("M"), "Revision: 1.0\nEffective date: 2020-01-01\n"])
     texts = {
-        "a": one, "b": head(F.concat(F.lit("Manual "), k), F.concat(F.lit("M-"), k), "2.0", "Effective date: 2021-01-01\n"),
-        "c": F.concat(head(F.concat(F.lit("Handbook "), k), F.concat(F.lit("H-"), k), "1.0"), F.lit("Supersedes: M-"), k, F.lit(" and others\n")),
+        "a": one, "b": head(manual, [number("M"), "Revision: 2.0\nEffective date: 2021-01-01\n"]),
+        "c": head(F.concat(F.lit("Handbook "), k), [number("H"), "Revision: 1.0\n", F.concat(F.lit("Supersedes: M-"), k, F.lit(" and others\n"))]),
         "d": one,
-        "e": F.concat(head(F.concat(F.lit("Router installation guide number "), k), None, ""), sections), "f": F.concat(head(F.concat(F.lit("Router installation guides number "), k), None, ""), sections),
+        "e": head(F.concat(F.lit("Router guide "), own("r")), [sections]), "f": head(F.concat(F.lit("Router guides "), own("r")), [sections]),
+        "g": head(network, ["Revision: 1.0\n", sections]), "h": head(network, ["Revision: 2.0\n", sections]),
+        "i": head(switch, [product, "Revision: 1.0\n", sections]), "j": head(switch, [product, "Revision: 2.0\n", sections]),
     }
     every = s.select("s_suppkey", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), t.alias("text")) for n, t in texts.items()])).alias("x")).select("s_suppkey", "x.*")
     docs = every.select(F.concat(F.lpad(k, 6, "0"), F.col("part")).alias("doc_id"), F.concat(F.lit("f"), k, F.col("part"), F.lit(".txt")).alias("filename"), F.lit("txt").alias("doc_type"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
@@ -253,17 +260,19 @@ def _family_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def l1_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """How sure pairs of documents are to be editions of one, and why: by number, by supersession, by title and
-    sections. Copies stand behind the first of them. Titles of different suppliers resemble each other too: only pairs of one
-    supplier are shown."""
-    got = L.pairs(L._profiles(_family_docs(spark, sf))[0])
-    return got.filter("substring(a, 1, 6) = substring(b, 1, 6)")
+    """How sure pairs of documents are to be editions of one, and why: by number, by supersession, by title, product
+    and sections. Copies stand behind the first of them. Every pair that is found."""
+    return L.pairs(L._profiles(_family_docs(spark, sf))[0])
 
 
 def l4_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """L4: pairs that may be editions of one, by titles that resemble each other and shared sections."""
-    got = L.candidates(_family_docs(spark, sf)).filter("substring(a, 1, 6) = substring(b, 1, 6)")
-    return got.select("a", "b", "confidence")
+    """Pairs that may be editions of one, by titles that resemble each other and shared sections. Every pair."""
+    return L.candidates(_family_docs(spark, sf)).select("a", "b", "confidence")
+
+
+def l3_families(spark: SparkSession, sf: str) -> DataFrame:
+    """L3: families by complete linkage: a manual of the number and its copy; the manual that supersedes them is linked with each."""
+    return L.families(_family_docs(spark, sf))
 
 
 def l2_newer(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,7 +285,7 @@ def l2_newer(spark: SparkSession, sf: str) -> DataFrame:
 
 def l5_asked_editions(spark: SparkSession, sf: str) -> DataFrame:
     """Editions chosen for a question about a revision, as of a date, and in general."""
-    d = _family_docs(spark, sf).filter("substring(doc_id, 7, 1) in ('a', 'b', 'd')")
+    d = _family_docs(spark, sf).filter("substring(doc_id, 7, 1) in ('a', 'b', 'd', 'g', 'h', 'i', 'j')")
     asked = {"plain": "how is it set up?", "revision": "what does revision 1.0 say?", "date": "the state as of 2020-06-01", "compare": "compare the editions"}
     parts = [L.select_editions(d, q).filter("selected").groupBy(F.substring("doc_id", 7, 1).alias("part"), "reason").agg(F.count("*").alias("n")).withColumn("asked", F.lit(k)) for k, q in asked.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -348,12 +357,13 @@ ORACLE_SQL = {
         select 'found of a type' as what, 0::bigint as n union all select 'category', count(*) from catalog where category = (select min(nullif(category, '')) from catalog where list_contains(acl_groups, 'g1')) and list_contains(acl_groups, 'g1') union all select 'unknown category', count(*) from catalog where list_contains(acl_groups, 'g1')
         union all select 'by id', count(*) from t where doc_id = 4 and chunk_size_tier = 'medium' union all select 'by name', count(*) from t where doc_id in (from one) and chunk_size_tier = 'medium'
         union all select 'sources', count(distinct coalesce(nullif(category, ''), 'uncategorized')) from catalog union all select 'near nodes', 1 + count(distinct source) from edges where target = 'r1' union all select 'answers', 1""",
-    "l1_relations": f"""with {FAMILY} select k || 'a' as a, k || 'b' as b, 0.99::double as confidence, 'same identifier' as reason from s union all select k || 'a', k || 'c', 0.98, 'supersession' from s union all select k || 'b', k || 'c', 0.98, 'supersession' from s
-        union all select k || 'e', k || 'f', 0.65, 'possible' from s""",
-    "l4_candidates": f"with {FAMILY} select k || 'e' as a, k || 'f' as b, 0.65::double as confidence from s",
+    "l1_relations": f"""with {FAMILY} select k || p as a, k || q as b, c::double as confidence, why as reason from s, (values ('a', 'b', 0.99, 'same identifier'), ('a', 'c', 0.98, 'supersession'), ('b', 'c', 0.98, 'supersession'),
+        ('e', 'f', 0.65, 'possible'), ('g', 'h', 0.65, 'possible'), ('i', 'j', 0.93, 'same title, product and sections')) t(p, q, c, why)""",
+    "l4_candidates": f"with {FAMILY} select k || p as a, k || q as b, 0.65::double as confidence from s, (values ('e', 'f'), ('g', 'h')) t(p, q)",
+    "l3_families": f"with {FAMILY} select k || p as doc_id, k || q as family from s, (values ('a', 'a'), ('b', 'a'), ('c', 'a'), ('d', 'a'), ('e', 'e'), ('f', 'f'), ('g', 'g'), ('h', 'h'), ('i', 'i'), ('j', 'i')) t(p, q)",
     "l2_newer": f"with {FAMILY} select k as s, p, q, case when p = 'a' then -1 when p = 'b' then 1 when p = 'c' then 1 end::int as sign from s, (values ('a', 'b'), ('b', 'a'), ('c', 'a'), ('e', 'f')) t(p, q)",
-    "l5_asked_editions": """with n as (select count(*) as n from supplier) select 'plain' as asked, 'b' as part, 'selected' as reason, n from n union all select 'revision', p, 'selected', n from n, (select unnest(['a', 'd']) as p) union all select 'date', 'a', 'selected', n from n
-        union all select 'compare', p, 'selected', n from n, (select unnest(['a', 'b', 'd']) as p)""",
+    "l5_asked_editions": """select asked, part, 'selected' as reason, n from (select count(*) as n from supplier), (select 'plain' as asked, unnest(['b', 'g', 'h', 'j']) as part union all select 'revision', unnest(['a', 'd', 'g', 'i'])
+        union all select 'date', unnest(['a', 'g', 'h', 'j']) union all select 'compare', unnest(['a', 'b', 'd', 'g', 'h', 'i', 'j']))""",
     "j27_applicable": "select p_partkey, case p_partkey % 4 when 0 then p_size >= 21 when 1 then p_size <= 20 when 2 then p_size = 20 end as fits from part",
     "l7_diagram_links": "select 'd' || s_suppkey as doc_id, 'v' || s_suppkey as target from supplier where s_suppkey % 3 != 2",
     "l8_identity_conflicts": "select p_partkey as doc_id, p_name as title, case when p_partkey % 2 = 1 then p_brand end as product, 2::int as n_superseded, case when p_partkey % 2 = 0 then 'product,publication_date' else 'publication_date' end as conflicts from part",
