@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from docloom.session import checkpoint
+
+from docloom.session import checkpoint, ship
 
 
 def entity_key(name: Column) -> Column:
@@ -77,19 +79,92 @@ def merged(edges: DataFrame, mapping: DataFrame, ends: Sequence[str] = ("source"
     return out.filter(F.col(ends[0]) != F.col(ends[1])).dropDuplicates()
 
 
+#: Names of a type that share a word, above which the word only counts together with another one of the name.
+HOT = 64
+# Confidences from which a judged pair is merged at once, or proposed for review.
+MERGED, PROPOSED = 0.9, 0.7
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Whether two names are equal but for case and white space around them."""
+    bare = lambda name: F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
+    return bare(a) == bare(b)
+
+
+def blocks(names: DataFrame) -> DataFrame:
+    """(node, entity_type, k) of names (node, name, entity_type): what two names that may mean one entity share at least one of.
+
+    Words; the initials of a name of several words, which is what an acronym of it looks like; and beginnings and ends of the name
+    without white space, which an error elsewhere leaves alone. A word, beginning or end that more than HOT names of a type have
+    is no key by itself: it counts together with each other one of the name, and where that is hot as well, the name meets by
+    its whole set of words.
+    """
+    loose = F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " "))
+    words = F.array_distinct(F.split(loose, " "))
+    tight = F.replace(loose, F.lit(" "), F.lit(""))
+    initials = F.array_join(F.transform(F.split(loose, " "), lambda w: F.substring(w, 1, 1)), "")
+    acronym = F.when(F.size(words) > 1, initials).when(F.length(tight) <= 6, tight)
+    ends = F.array(F.concat(F.lit("b:"), F.substring(tight, 1, 4)), F.concat(F.lit("e:"), F.substring(tight, -4, 4)))
+    parts = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), ends))
+    each = names.filter(loose != "").select("node", "entity_type", F.array_sort(words).alias("ws"), acronym.alias("acronym"), F.explode(parts).alias("p"))
+    hot = each.groupBy("entity_type", "p").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("entity_type", "p", F.lit(True).alias("hot"))
+    told = each.join(hot, ["entity_type", "p"], "left").groupBy("node", "entity_type", "ws", "acronym").agg(F.collect_set(F.struct("p", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("ps"))
+    rare = F.transform(F.filter("ps", lambda x: ~x["hot"]), lambda x: x["p"])
+    often = F.transform(F.filter("ps", lambda x: x["hot"]), lambda x: x["p"])
+    both = F.flatten(F.transform(often, lambda x: F.transform(F.filter(often, lambda y: y > x), lambda y: F.concat(x, F.lit("|"), y))))
+    keys = F.concat(rare, both, F.array_compact(F.array(F.concat(F.lit("a:"), F.col("acronym")), F.concat(F.lit("s:"), F.array_join("ws", " ")))))
+    return told.select("node", "entity_type", F.explode(F.array_distinct(keys)).alias("k"))
+
+
 def merge_candidates(entities: DataFrame, most_difference: float = 0.7) -> DataFrame:
-    """Pairs of one type whose names may be the same: equal but for case (auto) or equal in loose form (propose).
+    """(keep, remove, outcome): pairs of one type whose names may be the same, keep < remove. `auto`: equal but for case and
+    white space around them; `judge`: a judge has to say, see reconciled().
 
-    Blocked by the loose key instead of comparing all pairs of a type. Nodes of one spelling are a class: pairs are between
-    the least nodes of two spellings, and name_classes() says who belongs to them, so that a common name gives no more pairs
-    than a rare one. Pairs whose lengths differ by over 70 % are left out.
+    Pairs meet in blocks() instead of comparing all of a type. Nodes of one spelling are a class: pairs are between the least
+    nodes of two spellings, and name_classes() says who belongs to them, so that a common name gives no more pairs than a rare
+    one. Pairs whose lengths differ by over 70 % are left out.
+    """
+    e = name_classes(entities).filter("node = keep").select("node", "name", "entity_type")
+    keys = blocks(e)
+    x, y = keys.select(F.col("node").alias("keep"), "entity_type", "k"), keys.select(F.col("node").alias("remove"), "entity_type", "k")
+    met = x.join(y, ["entity_type", "k"]).filter("keep < remove").select("keep", "remove").distinct()
+    names = [e.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"), "entity_type") for end in ("keep", "remove")]
+    both = met.join(names[0], "keep").join(names[1].drop("entity_type"), "remove")
+    la, lb = F.length("keep_name"), F.length("remove_name")
+    near = both.filter(F.abs(la - lb) <= most_difference * F.greatest(la, lb))
+    return near.select("keep", "remove", "keep_name", "remove_name", "entity_type", F.when(_same(F.col("keep_name"), F.col("remove_name")), "auto").otherwise("judge").alias("outcome"))
+
+
+def reconciled(entities: DataFrame, judge: Callable[[str, str, str], dict], before: DataFrame | None = None) -> DataFrame:
+    """M6: proposals (keep, remove, confidence, reason, status) for entities (node, name, entity_type).
+
+    judge(name, name, type) says {"is_same", "confidence", "reason"}; it runs on executors, once for each pair of spellings. A
+    call that fails, or says no, or is less sure than PROPOSED, leaves nothing. status: `auto_merged` or `pending`. before: proposals,
+    or pairs that were looked at, of an earlier run (keep, remove): they aren't judged again, so that a run that broke off goes
+    on where its written table ends.
     """
-    e = name_classes(entities).filter("node = keep").drop("keep").withColumn("k", entity_key(F.col("name")))
-    a, b = e.alias("a"), e.alias("b")
-    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.node") < F.col("b.node"))
-    la, lb = F.length("a.name"), F.length("b.name")
-    pairs = a.join(b, on).filter(F.abs(la - lb) / F.greatest(la, lb) <= most_difference)
-    return pairs.select(F.col("a.node").alias("keep"), F.col("b.node").alias("remove"), F.when(F.lower("a.name") == F.lower("b.name"), "auto").otherwise("propose").alias("outcome"))
+    ship(entities.sparkSession)
+    pairs = merge_candidates(entities)
+    if before is not None:
+        pairs = pairs.join(before.select("keep", "remove").distinct(), ["keep", "remove"], "left_anti")
+    kind = pairs.schema["keep"].dataType.simpleString()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for keep, remove, a, b, of in frame[["keep", "remove", "keep_name", "remove_name", "entity_type"]].itertuples(index=False, name=None):
+                try:
+                    said = judge(a, b, of)
+                    out.append((keep, remove, float(said.get("confidence", 0.0)) if said.get("is_same") else 0.0, str(said.get("reason", ""))))
+                except Exception:  # noqa: BLE001: a model's failure concerns one pair
+                    continue
+            yield pd.DataFrame(out, columns=["keep", "remove", "confidence", "reason"])
+
+    judged = pairs.filter("outcome = 'judge'").mapInPandas(ask, f"keep {kind}, remove {kind}, confidence double, reason string")
+    status = verdict(F.col("confidence"))
+    asked = judged.withColumn("status", F.when(status == "auto", "auto_merged").when(status == "propose", "pending")).filter("status is not null")
+    equal = pairs.filter("outcome = 'auto'").select("keep", "remove", F.lit(1.0).alias("confidence"), F.lit("Exact match (case-insensitive)").alias("reason"), F.lit("auto_merged").alias("status"))
+    return equal.unionByName(asked)
 
 
 def name_classes(entities: DataFrame) -> DataFrame:
@@ -100,7 +175,7 @@ def name_classes(entities: DataFrame) -> DataFrame:
 
 def verdict(confidence: Column) -> Column:
     """M6: what a judge's confidence leads to."""
-    return F.when(confidence >= 0.9, "auto").when(confidence >= 0.7, "propose").otherwise("reject")
+    return F.when(confidence >= MERGED, "auto").when(confidence >= PROPOSED, "propose").otherwise("reject")
 
 
 def view(entities: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -52,31 +52,56 @@ def clarification(missing: Column, asked: Sequence[str] = tuple(CLARIFY)) -> Col
     return F.when(F.size(lines) > 0, F.concat(F.lit("To choose the applicable documentation:\n\n"), F.array_join(lines, "\n")))
 
 
+# What Markdown takes literally inside a line (code, images and links, links by reference), and evidence markers.
+LITERAL = r"`+[^`]*`+|!?\[[^\]\n]*\]\([^\n]*?\)|\[[^\]\n]*\]\[[^\]\n]*\]"
+MARKER = r"(?<!\\)\[(?:E[A-Za-z0-9_-]+|\d+)\]"
+FENCE = r"^\s*(`{3,}|~{3,})"
+
+
+def _fences(lines: Column) -> Column:
+    """Of each line whether it's literal code: inside fences, or a fence. A fence is closed by the same sign, at least as often."""
+    none = F.lit("")
+
+    def step(state: Column, line: Column) -> Column:
+        sign, inside = F.regexp_extract(line, FENCE, 1), state["open"] != ""
+        closes = inside & (F.substring(sign, 1, 1) == F.substring(state["open"], 1, 1)) & (F.length(sign) >= F.length(state["open"]))
+        return F.struct(F.when(closes, none).when(inside, state["open"]).otherwise(sign).alias("open"), F.concat(state["code"], F.array(inside | (sign != ""))).alias("code"))
+
+    start = F.struct(none.alias("open"), F.array().cast("array<boolean>").alias("code"))
+    return F.aggregate(lines, start, step, lambda state: state["code"])
+
+
 def streamed_lines(pieces: DataFrame) -> DataFrame:
     """(answer_id, line_no, line, code) of answers that come in pieces (answer_id, n, text): whole lines, each marked if it
-    is literal code, so that citations inside code stay as they are. An answer's pieces are bounded."""
+    is literal code, so that citations inside code stay as they are. An answer's pieces are bounded. For a stream of pieces see
+    docloom.streaming.citations."""
     whole = pieces.groupBy("answer_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("text"))
-    lines = whole.select("answer_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("answer_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("line").rlike(r"^\s*(`{3,}|~{3,})")
-    opened = F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1
-    return lines.withColumn("code", opened | fence)
+    lines = whole.select("answer_id", F.split("text", "\n", -1).alias("lines"))
+    both = lines.select("answer_id", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), _fences(F.col("lines")).alias("code"))).alias("line_no", "x"))
+    return both.select("answer_id", "line_no", "x.line", "x.code")
+
+
+def marked_parts(line: Column) -> Column:
+    """A line in parts: literal stretches, evidence markers, and what is between them, in order."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:{LITERAL}|{MARKER}|[^`!\[\\]+|.)"), 0)
 
 
 def rendered_citations(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """streamed_lines with evidence ids of ids (answer_id, evidence_id, number) written as numbers outside code; ids
-    that the answer's evidence lacks are left out."""
+    """streamed_lines with evidence markers of ids (answer_id, evidence_id, number) written as numbers. Inline code, links
+    and code stay as they are, and so do markers that the answer's evidence lacks, and those behind a backslash."""
     per = ids.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", F.col("number").cast("string")))).alias("__n"))
-    parts = F.split("line", r"(?=\[E[A-Za-z0-9_-]+\])|(?<=\])")
-    one = lambda p: F.when(p.rlike(r"^\[E[A-Za-z0-9_-]+\]$"), F.coalesce(F.concat(F.lit("["), F.try_element_at(F.col("__n"), F.substring(p, F.lit(2), F.length(p) - 2)), F.lit("]")), F.lit(""))).otherwise(p)
+    number = lambda p: F.try_element_at(F.col("__n"), F.substring(p, F.lit(2), F.length(p) - 2))
+    parts = marked_parts(F.col("line"))
+    one = lambda p: F.when(p.rlike(rf"^{MARKER}$"), F.coalesce(F.concat(F.lit("["), number(p), F.lit("]")), p)).otherwise(p)
     met = lines.join(per, "answer_id", "left")
     return met.withColumn("line", F.when(F.col("code"), F.col("line")).otherwise(F.array_join(F.transform(parts, one), ""))).drop("__n")
 
 
 def placed_images(lines: DataFrame, images: DataFrame) -> DataFrame:
     """X11: (answer_id, line_no, images) where an answer's figures are shown: each once, at the end of the paragraph that cites
-    it first, outside code. images: answer_id, evidence_id, doc_id, figure_id; lines: see streamed_lines."""
-    cites = lines.filter("not code").select("answer_id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"\[(E[A-Za-z0-9_-]+)\]"), 1)).alias("evidence_id"))
+    it first, by a marker outside code and links. images: answer_id, evidence_id, doc_id, figure_id; lines: see streamed_lines."""
+    marks = F.transform(F.filter(marked_parts(F.col("line")), lambda p: p.rlike(rf"^{MARKER}$")), lambda p: F.substring(p, F.lit(2), F.length(p) - 2))
+    cites = lines.filter("not code").select("answer_id", "line_no", F.explode(marks).alias("evidence_id"))
     first = cites.join(images, ["answer_id", "evidence_id"]).groupBy("answer_id", "doc_id", "figure_id").agg(F.min("line_no").alias("line_no"))
     after = Window.partitionBy("answer_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
     ends = lines.withColumn("end", F.min(F.when(F.trim("line") == "", F.col("line_no"))).over(after))

@@ -182,9 +182,34 @@ def _spelled(brand: Column) -> Column:
 
 
 def m6_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of spellings, each by its least node."""
+    """Pairs of spellings that are equal but for case and white space around them, each by its least node."""
     p = bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), _spelled(F.col("p_brand")).alias("name"), F.col("p_type").alias("entity_type"))
-    return M.merge_candidates(p)
+    return M.merge_candidates(p).filter("outcome = 'auto'").select("keep", "remove", "outcome")
+
+
+def _firms(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as firms in five spellings: short, long, an acronym's words, the acronym, and one with blanks around it."""
+    k = F.translate(F.md5(F.col("s_suppkey").cast("string").cast("binary")), "0123456789", "ghijklmnop")
+    own = lambda i, n=7: F.substring(k, i, n)
+    words = F.concat_ws(" ", *[F.initcap(own(1 + 5 * i, 2)) for i in range(4)])
+    spelled = F.array(F.concat(F.lit("s"), own(1, 9)), F.concat(F.lit("S"), own(1, 9), F.lit(" Ltd")), words, F.upper(F.concat(*[own(1 + 5 * i, 1) for i in range(4)])), F.concat(F.lit("  S"), own(1, 9), F.lit(" ltd ")))
+    s = bind.table(spark, sf, "supplier").select("s_suppkey", F.posexplode(spelled).alias("form", "name"))
+    return s.select(F.concat(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit("-"), F.col("form").cast("string")).alias("node"), "name", (F.col("s_suppkey") % 5).cast("string").alias("entity_type"))
+
+
+def _judge(a: str, b: str, kind: str) -> dict:
+    """A judge that SQL can follow: a name that goes on is most likely the same, an acronym perhaps."""
+    x, y = sorted((a.strip().lower(), b.strip().lower()), key=len)
+    if y.startswith(x + " "):
+        return {"is_same": True, "confidence": 0.95, "reason": "goes on"}
+    if x == "".join(w[0] for w in y.split()):
+        return {"is_same": True, "confidence": 0.8, "reason": "initials"}
+    return {"is_same": False, "confidence": 0.99}
+
+
+def m6_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: proposals for firms' spellings: the same but for case, judged to be the same, and left for review."""
+    return M.reconciled(_firms(spark, sf), _judge).select("keep", "remove", "confidence", "status")
 
 
 def c16_entity_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,9 +341,16 @@ ORACLE_SQL = {
     "m5_merged": f"with {bind.EDGES}, k as (select case when source in ('n1', 'n2', 'n3') then 'n0' else source end as source, case when target in ('n1', 'n2', 'n3') then 'n0' else target end as target, relation_type from edges where relation_type != 'placed_by') select distinct * from k where source != target",
     "m9_view": f"with {bind.EDGES}, {bind.ENTITIES}, c as (select node, count(*) as n from (select target as node from edges union all select source from edges) group by 1) select e.*, coalesce(n, 0) as n_mentions, least(60, greatest(20, 20 + 5 * coalesce(n, 0)))::bigint as size from entities e left join c using (node)",
     "m2_c22_induced": f"with {bind.EDGES} select source, target, relation_type from edges where relation_type = 'part_of'",
-    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case p_partkey % 4 when 0 then replace(p_brand, '#', '-') when 1 then replace(p_brand, '#', ' ') when 2 then upper(replace(p_brand, '#', ' ')) else lower(replace(p_brand, '#', '.')) end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t),
-        k as (select *, trim(regexp_replace(lower(name), '[.\\-\\s]+', ' ', 'g')) as k from c)
-        select a.node as keep, b.node as remove, case when lower(a.name) = lower(b.name) then 'auto' else 'propose' end as outcome from k a join k b on a.k = b.k and a.t = b.t and a.node < b.node""",
+    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case p_partkey % 4 when 0 then replace(p_brand, '#', '-') when 1 then replace(p_brand, '#', ' ') when 2 then upper(replace(p_brand, '#', ' ')) else lower(replace(p_brand, '#', '.')) end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t)
+        select a.node as keep, b.node as remove, 'auto' as outcome from c a join c b on lower(trim(a.name)) = lower(trim(b.name)) and a.t = b.t and a.node < b.node""",
+    "m6_judged": r"""with m as (select lpad(s_suppkey::varchar, 6, '0') as s, (s_suppkey % 5)::varchar as t, translate(md5(s_suppkey::varchar), '0123456789', 'ghijklmnop') as k from supplier),
+        f as (select s, t, form, case form when 0 then 's' || k[1:9] when 1 then 'S' || k[1:9] || ' Ltd' when 3 then upper(k[1] || k[6] || k[11] || k[16]) when 4 then '  S' || k[1:9] || ' ltd '
+            else list_aggregate(list_transform(range(4), lambda i: upper(k[5 * i + 1]) || k[5 * i + 2]), 'string_agg', ' ') end as name, s || '-' || form as node from m, (select unnest(range(5)) as form)),
+        c as (select min(node) as node, name, t from f group by name, t),
+        p as (select a.node as keep, b.node as remove, lower(trim(a.name)) as x, lower(trim(b.name)) as y, length(a.name) as la, length(b.name) as lb from c a join c b on a.t = b.t and a.node < b.node),
+        o as (select *, case when length(x) <= length(y) then x else y end as u, case when length(x) <= length(y) then y else x end as v from p where abs(la - lb) <= 0.7 * greatest(la, lb)),
+        j as (select keep, remove, case when x = y then 1.0::double when starts_with(v, u || ' ') then 0.95::double when u = array_to_string(list_transform(string_split(v, ' '), lambda w: w[1]), '') then 0.8::double end as confidence from o)
+        select keep, remove, confidence, case when confidence >= 0.9 then 'auto_merged' else 'pending' end as status from j where confidence is not null""",
     "c16_entity_search": f"with {bind.ENTITIES} select * from entities where contains(lower(name), 'tion_1') and entity_type = 'nation'",
     "i9_resolved_entities": """with m as (select case p_partkey % 3 when 0 then lower(p_brand) when 1 then replace(p_brand, '#', '-') else p_brand end as name, p_type as entity_type, p_partkey as d from part),
         k as (select *, trim(regexp_replace(lower(name), '[.\\-\\s]+', ' ', 'g')) as canonical from m)

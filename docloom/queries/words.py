@@ -113,11 +113,29 @@ def j23_labels(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", V.citation_label(F.col("filename"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("label"))
 
 
+def j24_reasoning(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers without bullets in which a model thinks aloud; sentences that only begin alike stay, and so does a text of which
+    over half would go."""
+    p = bind.table(spark, sf, "part")
+    plain = F.concat(F.lit("The user must log in first.\n* Constraint 1: short\nWait ten seconds.\n  * *Wait, no\n"), "p_name", F.lit("\n* Final check\n"))
+    listed = F.concat(F.lit("* Question: \"what?\"\n* "), "p_name", F.lit("\n* Plan: none\nLet me say: "), "p_brand")
+    far = F.concat(F.lit("* Task: "), F.repeat("p_name", 40), F.lit("\nyes"))
+    text = F.when(F.col("p_partkey") % 3 == 0, plain).when(F.col("p_partkey") % 3 == 1, listed).otherwise(far)
+    return p.select("p_partkey", V.without_reasoning(text).alias("answer"))
+
+
 def j25_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers without thinking aloud, and their status: of a JSON object, of a status line, or plain."""
-    said = ['{"status": "Partial", "answer": "half of it"}', "status: none\nnothing is known", "<think>hm</think>It is open.", "Okay, let me see\nIt is shut.", '```json\n{"answer": "x"}\n```']
-    got = [(i, *V.envelope(V.without_reasoning(s)).values()) for i, s in enumerate(said)]
-    return spark.createDataFrame(got, "place long, status string, answer string")
+    """What answers' envelopes state: a status line with an answer, missing details or an abstention; JSON; plain text; and
+    what is none of these."""
+    name, n = F.col("p_name"), F.col("p_partkey") % 12
+    forms = [
+        F.concat(F.lit("<think>hm</think>STATUS: answer\n"), name), F.concat(F.lit("Answer: STATUS: answer\n"), name), F.concat(F.lit("STATUS: insufficient_evidence\nbut perhaps "), name),
+        F.lit("STATUS: clarification\nsite, ,platform"), F.concat(F.lit("status: none\n"), name), F.concat(F.lit("Well, STATUS: answer\n"), name), F.lit("STATUS: answer\n \n"),
+        F.concat(F.lit('```json\n{"status": "answer", "answer": "'), name, F.lit('"}\n```')), F.concat(F.lit('{"status": "answer", "answer": "'), name), F.lit('{"status": "insufficient_evidence"}'),
+        F.concat(F.lit("[E1] says "), name), F.lit('["a", "b"]'),
+    ]
+    text = F.element_at(F.array(*forms), (n + 1).cast("int"))
+    return bind.table(spark, sf, "part").select("p_partkey", V.envelope(text).alias("e")).select("p_partkey", "e.status", "e.answer", F.concat_ws(",", "e.missing_details").alias("missing"))
 
 
 def j26_contexts(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,24 +196,29 @@ def x9_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return U.nearest_context(figures, l, 2, 1).select("doc_id", "context")
 
 
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Streamed answers in pieces: markers in prose, in inline code, in links, behind a backslash, unknown ones, and inside a fence
+    of four signs that holds one of three."""
+    s = bind.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("answer_id"))
+    k = F.concat(F.lit("E"), F.col("answer_id").cast("string"))
+    text = F.concat(F.lit("a `["), k, F.lit("]` [t]("), k, F.lit(") [Eq] \\["), k, F.lit("]\nfirst ["), k, F.lit("], here\n\n````\n["), k, F.lit("]\n```\n["), k, F.lit("]\n````\n\nlast [Ez] ["), k, F.lit("]\nend"))
+    whole = s.select("answer_id", text.alias("a"), (F.col("answer_id") % 29 + 3).cast("int").alias("cut"))
+    first, second = whole.select("answer_id", F.lit(0).alias("n"), F.expr("substring(a, 1, cut)").alias("text")), whole.select("answer_id", F.lit(1).alias("n"), F.expr("substring(a, cut + 1)").alias("text"))
+    return first.unionByName(second)
+
+
 def x11_placed_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers that come in pieces, their lines, and where their figures are shown: after the paragraph that cites them
-    first, never inside code."""
-    s = bind.table(spark, sf, "supplier")
-    answer = F.concat(F.lit("# A\nfirst [E"), "s_suppkey", F.lit("] here\nmore\n\n```\n[E0x]\n```\nlast [E"), "s_suppkey", F.lit("] [Ezz]\nend"))
-    whole = s.select(F.col("s_suppkey").alias("answer_id"), answer.alias("a"))
-    pieces = whole.select("answer_id", F.lit(0).alias("n"), F.substring("a", 1, 9).alias("text")).unionByName(whole.select("answer_id", F.lit(1).alias("n"), F.expr("substring(a, 10)").alias("text")))
-    images = whole.select("answer_id", F.concat(F.lit("E"), "answer_id").alias("evidence_id"), F.lit("d").alias("doc_id"), F.lit("1").alias("figure_id"))
-    more = whole.select("answer_id", F.lit("E0x").alias("evidence_id"), F.lit("d").alias("doc_id"), F.lit("2").alias("figure_id")).unionByName(whole.select("answer_id", F.lit("Ezz").alias("evidence_id"), F.lit("d").alias("doc_id"), F.lit("3").alias("figure_id")))
-    return W.placed_images(W.streamed_lines(pieces), images.unionByName(more)).select("answer_id", "line_no", F.concat_ws(",", "images").alias("images"))
+    """Where figures of streamed answers are shown: after the paragraph that cites them first, by no marker in code, links
+    or behind a backslash."""
+    ids = bind.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("answer_id"))
+    images = ids.select("answer_id", F.explode(F.array(*[F.struct(e.alias("evidence_id"), F.lit("d").alias("doc_id"), F.lit(f).alias("figure_id")) for e, f in ((F.concat(F.lit("E"), F.col("answer_id").cast("string")), "1"), (F.lit("Ez"), "2"), (F.lit("Enone"), "3"))])).alias("i")).select("answer_id", "i.*")
+    return W.placed_images(W.streamed_lines(_answers(spark, sf)), images).select("answer_id", "line_no", F.concat_ws(",", "images").alias("images"))
 
 
 def p7_streamed_citations(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of streamed answers with citations as numbers outside code; unknown ones are left out."""
-    s = bind.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("answer_id"))
-    pieces = s.select("answer_id", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("see [E").alias("text")), F.struct(F.lit(1).alias("n"), F.lit("1] and [E9]\n```\n[E1]\n```").alias("text")))).alias("p")).select("answer_id", "p.*")
-    ids = s.select("answer_id", F.lit("E1").alias("evidence_id"), (F.col("answer_id") % 7).alias("number"))
-    return W.rendered_citations(W.streamed_lines(pieces), ids).select("answer_id", "line_no", "line")
+    """Lines of streamed answers with citations as numbers; code, links and unknown markers stay as they are."""
+    ids = bind.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("answer_id"), F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("evidence_id"), (F.col("s_suppkey") % 7).alias("number"))
+    return W.rendered_citations(W.streamed_lines(_answers(spark, sf)), ids).select("answer_id", "line_no", "line", "code")
 
 
 def x29_clarifications(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,6 +276,14 @@ def c26_navigation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE_SQL = {
+    "j24_reasoning": """select p_partkey, case p_partkey % 3 when 0 then 'The user must log in first.' || chr(10) || 'Wait ten seconds.' || chr(10) || p_name when 1 then '* ' || p_name || chr(10) || 'Let me say: ' || p_brand
+        else '* Task: ' || repeat(p_name, 40) || chr(10) || 'yes' end as answer from part""",
+    "j25_envelopes": """select p_partkey, case p_partkey % 12 when 0 then 'answer' when 1 then 'answer' when 2 then 'insufficient_evidence' when 3 then 'clarification' when 4 then 'plain' when 7 then 'answer' when 9 then 'insufficient_evidence' when 10 then 'plain' else 'invalid' end as status,
+        case p_partkey % 12 when 0 then p_name when 1 then p_name when 4 then 'status: none' || chr(10) || p_name when 7 then p_name when 10 then '[E1] says ' || p_name end as answer, case when p_partkey % 12 = 3 then 'site,platform' else '' end as missing from part""",
+    "x11_placed_images": "select s_suppkey as answer_id, 1::int as line_no, 'd/1' as images from supplier union all select s_suppkey, 10, 'd/2' from supplier",
+    "p7_streamed_citations": r"""with t as (select s_suppkey as answer_id, 'E' || s_suppkey as k, s_suppkey % 7 as n from supplier)
+        select answer_id, line_no::int as line_no, line, line_no between 3 and 7 as code from (select answer_id, unnest(range(0, 11)) as line_no,
+            unnest(['a `[' || k || ']` [t](' || k || ') [Eq] \[' || k || ']', 'first [' || n || '], here', '', '````', '[' || k || ']', '```', '[' || k || ']', '````', '', 'last [Ez] [' || n || ']', 'end']) as line from t)""",
     "j4_numbers": "select p_partkey, case when p_partkey % 5 > 1 then round(p_retailprice, 2) end as value from part",
     "j5_column_names": "select * from (values (0::bigint, 'retail_price'), (1, 'retail_price_1'), (2, 'col_2'), (3, 'col_3'), (4, 'c_2024'), (5, 'gr_e')) t(place, name)",
     "j7_blobs": "select p_partkey, lower(p_brand || ' ' || p_type || case when p_partkey % 2 = 0 then ' ' || p_name else '' end) as blob from part",
@@ -269,7 +300,6 @@ ORACLE_SQL = {
     "j21_quote_support": """select s_suppkey as answer_id, case s_suppkey % 5 when 1 then lower('Valve ' || s_suppkey || ' must NOT be open') when 2 then 'A safe valve' when 3 then 'Valve 0 must NOT be shut' else '' end as unsupported from supplier""",
     "j22_quoting_answers": "select s_suppkey as answer_id, s_suppkey % 5 != 4 as quoted from supplier",
     "j23_labels": f"with {bind.CATALOG} select doc_id, filename || case when doc_id % 2 = 1 then ', ' || lang else '' end || case when doc_id % 3 = 0 then ', p. ' || doc_id else '' end as label from catalog",
-    "j25_envelopes": "select * from (values (0::bigint, 'partial', 'half of it'), (1, 'none', 'nothing is known'), (2, 'answered', 'It is open.'), (3, 'answered', 'It is shut.'), (4, 'answered', 'x')) t(place, status, answer)",
     "j26_contexts": "select * from (values (0::bigint, '2.4', 'production', ''), (1, '10.1b', 'lab', 'core router 9'), (2, '', '', '')) t(place, version, environment, product)",
     "j29_subjects": "select n_nationkey, case n_nationkey % 3 when 0 then 'the ports of ' || n_name when 1 then n_name else 'show ' || n_name end as subject from nation",
     "j31_table_rows": "with r as (select r_name || '|' || length(r_name) as c, row_number() over (order by r_regionkey) as i from region) select 'markdown' as kind, 0::bigint as place, 'Name|N' as cells union all select 'markdown', i, c from r union all select 'csv', i - 1, c from r",
@@ -280,9 +310,6 @@ ORACLE_SQL = {
     "k2_profiles": "select * from (values ('part', 'key,key,measure,measure'), ('supplier', 'key,' || (select case when 2 * count(case when s_suppkey % 2 = 1 then 1 end) > count(*) then 'measure' else 'key' end from supplier) || ',measure')) t(doc_id, profile)",
     "x9_contexts": """with l as (select l_orderkey as doc_id, l_linenumber as k, 'line ' || l_linenumber as t from lineitem), a as (select *, row_number() over (partition by doc_id, k < 4 order by abs(k * 10 - 35), t) as p from l)
         select doc_id, string_agg(t, chr(10) order by k, t) as context from a where doc_id in (select o_orderkey from orders) and p <= case when k < 4 then 2 else 1 end group by 1""",
-    "x11_placed_images": "select s_suppkey as answer_id, 2::int as line_no, 'd/1' as images from supplier union all select s_suppkey, 8, 'd/3' from supplier",
-    "p7_streamed_citations": """select s_suppkey as answer_id, 0::int as line_no, 'see [' || (s_suppkey % 7) || '] and ' as line from supplier union all select s_suppkey, 1, '```' from supplier
-        union all select s_suppkey, 2, '[E1]' from supplier union all select s_suppkey, 3, '```' from supplier""",
     "x29_clarifications": "select event_id, (case event_id % 3 when 0 then 41 + 2 + length('Which site or deployment does this apply to?') when 2 then 41 + 2 + length('Which SD-WAN platform or product does this apply to?') end)::int as n from events",
     "h10_packed_evidence": """with d as (select doc_id from documents order by n_chars % 101 desc, doc_id limit 40)
         select 'within budget' as what, 1::bigint as n union all select 'rows', case when 40 <= 10 then 40 else (select case when length(string_agg('{"id": ' || doc_id || '}', ', ')) + 2 <= 200 then 40 else 10 end from d) end
