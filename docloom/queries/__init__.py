@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.queries import catalog, files, plans, retrieval, scoped, sqlsurface, structured, upkeep, words
+from docloom.queries import catalog, files, plans, retrieval, scans, scoped, sqlsurface, structured, upkeep, words
 
-MODULES = (retrieval, catalog, scoped, sqlsurface, structured, files, words, upkeep, plans)
+MODULES = (retrieval, catalog, scoped, sqlsurface, structured, files, words, upkeep, plans, scans)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
