@@ -65,6 +65,11 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def apart(key: str, *own: str) -> str:
+    """The name of the key column in a result that has columns of its own: the key's, or with _key behind it where one has that."""
+    return f"{key}_key" if key.lower() in own else key
+
+
 def remainder(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % mod

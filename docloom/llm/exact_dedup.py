@@ -8,12 +8,14 @@ that differ from it are compared among themselves, until each class holds equal
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm._common import checkpoint, keep_rows, map_texts, scratch, text_key
+from docloom.llm._common import apart, checkpoint, forget, keep_rows, map_texts, scratch, text_key
 
 #: Modulus: a random safe prime p = 2q + 1 with q prime, so that 256 has order q and no two places of a text weigh the same.
 #: Fixed: fingerprints of different runs must compose.
@@ -104,48 +106,49 @@ BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
 RUNTIME = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", f"{BLOOM}.enabled": "true", f"{BLOOM}.applicationSideScanSizeThreshold": "0", f"{BLOOM}.creationSideThreshold": "1TB"}
 
 
-def _with_bloom_filters(docs: DataFrame, run):
-    """run() under RUNTIME; the session's own settings are back afterwards."""
-    conf = docs.sparkSession.conf
-    names = [*RUNTIME, *(f"{BLOOM}.{x}" for x in ("expectedNumItems", "maxNumItems", "numBits", "maxNumBits"))]
-    before = {k: conf.get(k, None) for k in names}
-    try:
-        for k, v in RUNTIME.items():
-            conf.set(k, v)
-        return run()
-    finally:
-        for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
-
-
 def unequal(docs: DataFrame, pairs: DataFrame, key: str, text: str, chunk: int = CHUNK, repeated: bool = True) -> DataFrame:
-    """(__k, __tk) of rows whose text, compared chunk by chunk, differs from that of their group's representative.
+    """(__k, __tk) of rows whose text, compared chunk by chunk, differs from that of their group's representative; checkpointed.
 
     pairs: __k, __tk, g (the group), and whether it stands for it (rep), of rows with a partner. It is written and read
     again, so that Spark can filter the texts by a Bloom filter of their names where they are scanned: only texts with a
     partner move. Chunks are the unit of the shuffle and of the comparison, so a task holds one at a time, however long a
     text or large a group; both sides come straight from a shuffle, so that Spark can split a large group over tasks.
+
+    The comparison is planned in a session of its own, under RUNTIME: other queries keep their settings. What it writes is
+    deleted when its result is there.
     """
     spark = docs.sparkSession
-    path = scratch(spark, "pairs")
-    pairs.withColumn("size", F.lit(2)).write.parquet(path)
-    few = spark.read.parquet(path)
-    items = min(1 << 26, max(1 << 20, few.count()))  # at 8 bits a name: 64 MB at most, a fuller filter lets more through
-    for name, value in (("expectedNumItems", items), ("maxNumItems", items), ("numBits", 8 * items), ("maxNumBits", 8 * items)):
-        spark.conf.set(f"{BLOOM}.{name}", str(value))
-    few = few.filter("size > 1")  # the filter tells Spark that these are few of all rows
-    body = _body(F.col(f"`{text}`"))
-    base = docs.select(F.col(f"`{key}`").alias("__dk"), text_key(body).alias("__dt"), body.cast("binary").alias("__body"))
-    mine = base.join(few, base["__dk"].eqNullSafe(few["__k"]) & (base["__dt"] == few["__tk"])).select("__k", "__tk", "g", "rep", "__body")
-    cut = mine.select("__k", "__tk", "g", "rep", "__body", F.explode(_pieces(F.col("__body"), chunk)).alias("at"))
-    cut = cut.select("__k", "__tk", "g", "rep", "at", _piece("__body", "at", chunk).alias("part"))
-    reps = cut.filter("rep").select(F.col("g").alias("rg"), F.col("at").alias("ra"), F.col("part").alias("rpart"))
-    if repeated:  # one of a representative's rows; met over another form of the group, so that this side is shuffled too
-        reps = reps.groupBy("rg", "ra").agg(F.min("rpart").alias("rpart"))
-    reps = reps.select(F.reverse(F.hex("rg")).alias("rg"), "ra", "rpart")
-    others = cut.filter("not rep").withColumn("og", F.reverse(F.hex("g")))
-    met = others.join(reps, (others["og"] == reps["rg"]) & (others["at"] == reps["ra"]), "left")
-    return met.filter(~F.col("part").eqNullSafe(F.col("rpart"))).select("__k", "__tk").distinct()
+    paths, view = [scratch(spark, "pairs"), scratch(spark, "odd")], f"docs_{uuid.uuid4().hex}"
+    try:
+        pairs.withColumn("size", F.lit(2)).write.parquet(paths[0])
+        own = spark.newSession()
+        few = own.read.parquet(paths[0])
+        items = min(1 << 26, max(1 << 20, few.count()))  # at 8 bits a name: 64 MB at most, a fuller filter lets more through
+        inherited = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")}
+        sized = {f"{BLOOM}.{k}": str(v) for k, v in (("expectedNumItems", items), ("maxNumItems", items), ("numBits", 8 * items), ("maxNumBits", 8 * items))}
+        for name, value in (inherited | RUNTIME | sized).items():
+            own.conf.set(name, value)
+        docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]).createGlobalTempView(view)
+        plain = own.table(f"global_temp.{view}")
+        k, t = (F.col(f"_{docs.columns.index(c)}") for c in (key, text))
+        few = few.filter("size > 1")  # the filter tells Spark that these are few of all rows
+        body = _body(t)
+        base = plain.select(k.alias("__dk"), text_key(body).alias("__dt"), body.cast("binary").alias("__body"))
+        mine = base.join(few, base["__dk"].eqNullSafe(few["__k"]) & (base["__dt"] == few["__tk"])).select("__k", "__tk", "g", "rep", "__body")
+        cut = mine.select("__k", "__tk", "g", "rep", "__body", F.explode(_pieces(F.col("__body"), chunk)).alias("at"))
+        cut = cut.select("__k", "__tk", "g", "rep", "at", _piece("__body", "at", chunk).alias("part"))
+        reps = cut.filter("rep").select(F.col("g").alias("rg"), F.col("at").alias("ra"), F.col("part").alias("rpart"))
+        if repeated:  # one of a representative's rows; met over another form of the group, so that this side is shuffled too
+            reps = reps.groupBy("rg", "ra").agg(F.min("rpart").alias("rpart"))
+        reps = reps.select(F.reverse(F.hex("rg")).alias("rg"), "ra", "rpart")
+        others = cut.filter("not rep").withColumn("og", F.reverse(F.hex("g")))
+        met = others.join(reps, (others["og"] == reps["rg"]) & (others["at"] == reps["ra"]), "left")
+        met.filter(~F.col("part").eqNullSafe(F.col("rpart"))).select("__k", "__tk").distinct().write.parquet(paths[1])
+        return checkpoint(spark.read.parquet(paths[1]))
+    finally:
+        spark.catalog.dropGlobalTempView(view)
+        for path in paths:
+            forget(spark, path)
 
 
 def decide(docs: DataFrame, key: str, text: str, chunk: int = CHUNK, huge: int = HUGE) -> DataFrame:
@@ -163,7 +166,7 @@ def decide(docs: DataFrame, key: str, text: str, chunk: int = CHUNK, huge: int =
         sizes = left.groupBy("len", "fp").agg(F.sum("n").alias("size"), F.count("*").alias("names"), F.max(F.struct(F.col("__k").alias("k"), F.col("__tk").alias("t"))).alias("r"))
         member = left.join(checkpoint(sizes.filter("names > 1")), ["len", "fp"], "left")
         pairs = member.filter("names > 1").select("__k", "__tk", group.alias("g"), (F.col("__k").eqNullSafe(F.col("r.k")) & (F.col("__tk") == F.col("r.t"))).alias("rep"))
-        odd = _with_bloom_filters(docs, lambda pairs=pairs: checkpoint(unequal(docs, pairs, key, text, chunk, repeated)))
+        odd = unequal(docs, pairs, key, text, chunk, repeated)
         named = member.select("__k", "__tk", "n", "sha", "len", "fp", F.coalesce("size", "n").alias("size"), F.when(F.col("names").isNull(), F.col("__k")).otherwise(F.col("r.k")).alias("keep"))
         if odd.isEmpty():
             done.append(named.drop("len", "fp"))
@@ -186,11 +189,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", c
 
     Equal texts form a group (null and empty texts one too); the row with the largest key stays, null keys last. Of
     repeated rows with that key one stays. Texts of any length are hashed and compared by chunks, never cut off. An empty
-    table gives an empty table; other columns of docs play no part, whatever their names.
+    table gives an empty table; other columns of docs play no part, whatever their names. A key that is named like a column of
+    the result is in it with _key behind its name.
     """
     found = decide(docs, key, text, chunk, huge)
     kept = F.col("__k").eqNullSafe(F.col("keep"))
-    names = [F.col("__k").alias(key), F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
+    names = [F.col("__k").alias(apart(key, "keep_id", "group_size", "kept", "text_sha256")), F.col("keep").alias("keep_id"), F.col("size").cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
     once = found.select(*names)
     if found.filter("n > 1").isEmpty():
         return once

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.llm._common import WORD, boxed, checkpoint, text_key, unboxed
+from docloom.llm._common import WORD, apart, boxed, checkpoint, text_key, unboxed
 
 #: Weights that repeat over the sources in order, share of all sizes to hand out, and the most of its size a source gives.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -160,9 +160,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Null and empty texts have size 0: they are taken as often as their source has whole rounds. Very long texts are counted
     whole. Sources without words have target 0. A null source is a source, the last one. Repeated rows are documents like any
     other; which of documents of one length are taken, the seed decides, ties by key and text, and reruns agree. An empty
-    table gives an empty table. Other columns of docs may have any names.
+    table gives an empty table. Other columns of docs may have any names; a key or source that is named like a column of the
+    result is in it with _key behind its name.
     """
-    names = [F.col("__k").alias(key), F.col("__source").alias(source), "size", "source_size", "target", "times"]
+    own = ("size", "source_size", "target", "times", "taken")
+    names = [F.col("__k").alias(apart(key, *own)), F.col("__source").alias(apart(source, *own)), "size", "source_size", "target", "times"]
     return _decided(docs, key, source, text, **options).select(*names, (F.col("size") * F.col("times")).alias("taken"))
 
 

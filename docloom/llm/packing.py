@@ -25,6 +25,8 @@ from docloom.llm.segments import ByteLevel, Segments
 #: Tokens of a sequence, the id behind each document, pieces of a shard, and BM25's parameters.
 WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
 
+#: Segments that a worker remembers: their ids are short.
+SEGMENTS = 1 << 19
 WHOLE, PIECE, FREQUENCY = 0, 1, 2
 
 
@@ -41,7 +43,7 @@ class Tokens:
     def __init__(self, tokenizer: tuple[str, str]):
         self.tokenizer = ByteLevel(*tokenizer, special=True)
         self.size = len(self.tokenizer.bytes_of)
-        self.segments = Segments(self._encode, spaced=False)
+        self.segments = Segments(self._encode, spaced=False, most=SEGMENTS)
 
     def _encode(self, segments: list[str]) -> list[bytes]:
         ids, ends = self.tokenizer.each(segments)

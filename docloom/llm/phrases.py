@@ -1,7 +1,7 @@
 """Phrase collocations: phrases whose parts meet more often than chance, mined from counts of all phrases up to a length.
 
-Each shard of documents counts its phrases in a trie of limited depth, kept as sorted arrays, and writes it as a sorted run. The
-runs are dealt out by ranges of phrases and merged, streams of equal phrases summed up. The trie grows level by level: a phrase
+Each shard of documents counts its phrases in a trie of limited depth, kept as sorted arrays, and serialises it as sorted runs,
+one for each range of prefixes; a range's runs of all shards are merged, equal phrases summed up. The trie grows level by level: a phrase
 can only be frequent if all phrases within it are, so deeper levels hold only phrases whose shorter phrases pass a Bloom filter
 of the frequent ones; what the filter lets through by mistake is counted like anything else, so counts are exact. A walk over
 the frequent phrases in order gives the counts of left parts, links from a phrase to itself without its first word those of
@@ -10,6 +10,7 @@ right parts.
 
 from __future__ import annotations
 
+import bisect
 from array import array
 from collections.abc import Iterator
 
@@ -17,16 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docloom.llm._common import TEXT, blocks, checkpoint, forget, prepare, scratch
+from docloom.llm._common import TEXT, blocks, checkpoint, prepare
 
-#: Words of a shard's trie, rows of an Arrow batch, and bytes of a text whose words are listed at a time.
-SHARD, ROWS, BLOCK = 1 << 22, 1 << 15, 1 << 22
+#: Words of a shard's trie, and bytes of a text whose words are listed at a time.
+SHARD, BLOCK = 1 << 21, 1 << 20
 #: A Bloom filter has BITS bits for each phrase, but no more than 2^MOST in all, and PROBES hashes.
 BITS, MOST, PROBES = 16, 28, 6
 
@@ -34,7 +36,13 @@ BITS, MOST, PROBES = 16, 28, 6
 BREAKS = b".,;:!?\n\v\f\r"
 TABLE = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"." * len(BREAKS) + b" ")
 
-RUN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("f", T.LongType())])
+#: Phrases that a range of prefixes may have in all shards together, ranges at least, documents for each range of single words, and
+#: words that the ranges of longer phrases are laid by.
+RANGE, RANGES, DOCUMENTS, MARKS = 1 << 20, 64, 1 << 12, 1 << 12
+
+FREQUENT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("f", T.LongType())])
+#: A sorted run: its words, its length's phrases in order as compressed text, and their counts.
+RUN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("range", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("phrases", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -75,20 +83,20 @@ class Trie:
         self.words, self.counted = Words({b".": 0}), len(before)
         self.ids = array("i", map(self.words.__getitem__, before))
 
-    def add(self, data: bytes, end: bool) -> None:
+    def add(self, data: bytes) -> None:
         self.ids.extend(map(self.words.__getitem__, data.translate(TABLE).replace(b".", b" . ").split()))
-        if end:
-            self.ids.append(0)
 
-    def runs(self, lengths: tuple[int, ...], known: np.ndarray | None, depth: int) -> Iterator[pa.RecordBatch]:
-        """Phrases of these lengths and their counts, sorted, and a new start. known: the filter of frequent phrases of depth words."""
+    def runs(self, lengths: tuple[int, ...], known: np.ndarray | None, depth: int, marks: list[tuple[bytes, ...]] | int) -> Iterator[pa.RecordBatch]:
+        """Runs of the phrases of these lengths, and a new start. known: the filter of frequent phrases of depth words. marks: where
+        the ranges begin, in order, or how many there are by the words' hashes."""
         names = list(self.words)
         order = sorted(range(1, len(names)), key=names.__getitem__)
         rank = np.zeros(len(names), np.int64)
         rank[order] = np.arange(1, len(names))
         ids, counted = rank[np.frombuffer(self.ids, np.int32)], self.counted
-        words = pa.array([b"", *map(names.__getitem__, order)], pa.binary()).cast(pa.string())
-        hashes = hashed([b"", *map(names.__getitem__, order)]) if depth else None
+        spelt = [b"", *map(names.__getitem__, order)]
+        words = pa.array(spelt, pa.binary())
+        hashes = hashed(spelt)
         kept = [names[k] for k in self.ids[-(self.longest - 1) :]] if self.longest > 1 else []
         self.start(kept)
 
@@ -114,7 +122,7 @@ class Trie:
                 if counted:  # phrases within the words counted before are not new
                     fresh = at + length > counted
                     n = np.bincount(node[fresh], minlength=len(n))
-                yield from self._batches(path, words, length, n)
+                yield from self._batches(path, words, length, n, spelt, hashes, marks)
 
     def _passes(self, path: list, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
         h = np.full(len(path[-1][1]), xxhash.xxh3_64_intdigest(self.lang), np.uint64)
@@ -125,16 +133,26 @@ class Trie:
             fine &= (known[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return fine
 
-    def _batches(self, path: list, words: pa.Array, length: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def _batches(self, path: list, words: pa.Array, length: int, n: np.ndarray, spelt: list[bytes], hashes: np.ndarray, marks: list[tuple[bytes, ...]] | int) -> Iterator[pa.RecordBatch]:
         there = np.flatnonzero(n[1:] if length == 1 else n) + (length == 1)
         if not len(there):
             return
-        columns = _spelt(path)
-        for k in range(0, len(there), ROWS):
-            rows = there[k : k + ROWS]
-            parts = [words.take(pa.array(c[rows])) for c in columns]
-            phrase = pc.binary_join_element_wise(*parts, " ") if length > 1 else parts[0]
-            yield pa.record_batch([pa.array([self.lang] * len(rows)), phrase, pa.array(np.full(len(rows), length, np.int32)), pa.array(n[rows])], RUN.names)
+        columns = [c[there] for c in _spelt(path)]
+        if isinstance(marks, int):
+            of = (hashes[columns[0]] % np.uint64(marks)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            columns, there, of = [c[order] for c in columns], there[order], of[order]
+            cuts, ranges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), of
+        else:
+            place = [bisect.bisect_left(range(len(there)), m, key=lambda i: tuple(spelt[c[i]] for c in columns)) for m in marks]
+            ranges = np.searchsorted(np.array(place), np.arange(len(there)), "right")
+            cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        squeeze = zstandard.ZstdCompressor(level=3)
+        rows = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(there)], strict=True):
+            text = b"\n".join(pc.binary_join_element_wise(*[words.take(pa.array(c[a:b])) for c in columns], b" ").to_pylist())
+            rows.append((self.lang, length, int(ranges[a]), int(n[there[a:b]].sum()), squeeze.compress(text), squeeze.compress(n[there[a:b]].tobytes())))
+        yield pa.record_batch([pa.array(x, f) for x, f in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], RUN.names)
 
 
 def _spelt(path: list) -> list[np.ndarray]:
@@ -150,8 +168,8 @@ def _spelt(path: list) -> list[np.ndarray]:
     return out[::-1]
 
 
-def runs(docs: DataFrame, text: str, lang: str, lengths: tuple[int, ...], longest: int, known: Broadcast | None, depth: int) -> str:
-    """Path of a table of the shards' runs: lang, phrase, length, f, for phrases of these lengths."""
+def runs(docs: DataFrame, text: str, lang: str, lengths: tuple[int, ...], longest: int, known: Broadcast | None, depth: int, marks: list[tuple[bytes, ...]] | int) -> DataFrame:
+    """The shards' runs of phrases of these lengths, see Trie.runs()."""
     narrow = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias(TEXT))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,50 +180,61 @@ def runs(docs: DataFrame, text: str, lang: str, lengths: tuple[int, ...], longes
             texts = batch.column(1)
             for k, of in enumerate(batch.column(0).to_pylist()):
                 trie = tries.get(of) or tries.setdefault(of, Trie(of, longest))
-                data = texts[k].as_py()
-                for block in blocks(data, BLOCK):
+                for block in blocks(texts[k].as_py(), BLOCK):
                     before = len(trie.ids)
-                    trie.add(block, False)
+                    trie.add(block)
                     size += len(trie.ids) - before
                     if size >= SHARD:
                         for full in tries.values():
-                            yield from full.runs(lengths, filled, depth)
+                            yield from full.runs(lengths, filled, depth, marks)
                         tries, size = {of: trie}, 0
                 trie.ids.append(0)
         for full in tries.values():
-            yield from full.runs(lengths, filled, depth)
+            yield from full.runs(lengths, filled, depth, marks)
         pa.default_memory_pool().release_unused()
 
-    path = scratch(docs.sparkSession, "phrases")
-    narrow.mapInArrow(count, RUN).write.parquet(path)
-    return path
+    return narrow.mapInArrow(count, RUN)
+
+
+def unpacked(run: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The phrases and counts of all runs of a table, one run after the other."""
+    expand = zstandard.ZstdDecompressor().decompress
+    phrases = pa.concat_arrays([pa.array(expand(x.as_py()).split(b"\n"), pa.binary()) for x in run.column("phrases")])
+    return phrases, np.concatenate([np.frombuffer(expand(x.as_py()), np.int64) for x in run.column("counts")])
 
 
 def merged(found: DataFrame, least: int) -> DataFrame:
-    """Phrases of sorted runs with their sums of at least least: runs dealt out by ranges, sorted streams of equal phrases added up."""
-    streams = found.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
+    """Phrases of the runs with their sums of at least least: a range's runs of one length and language are merged in one task."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_row = None
-        for batch in batches:
-            if open_row is not None:
-                batch = pa.Table.from_batches([open_row, batch]).combine_chunks().to_batches()[0]
-            n = batch.num_rows
-            if not n:
-                continue
-            new = np.ones(n, bool)
-            if n > 1:
-                same = [pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1))]
-                new[1:] = ~(same[0] & same[1])
-            first = np.flatnonzero(new)
-            f = np.add.reduceat(batch.column(3).to_numpy(), first)
-            rows = pa.record_batch([*(c.take(pa.array(first)) for c in batch.columns[:3]), pa.array(f)], RUN.names)
-            open_row, done = rows.slice(len(first) - 1), rows.slice(0, len(first) - 1)
-            yield done.filter(pc.greater_equal(done.column(3), least))
-        if open_row is not None:
-            yield open_row.filter(pc.greater_equal(open_row.column(3), least))
+    def merge(group: pa.Table) -> pa.Table:
+        lang, length = group.column("lang")[0].as_py(), group.column("length")[0].as_py()
+        phrases, n = unpacked(group)
+        both = pa.table({"phrase": phrases, "f": n}).group_by("phrase").aggregate([("f", "sum")])
+        both = both.filter(pc.greater_equal(both.column("f_sum"), least)).sort_by("phrase")
+        return pa.table([pa.array([lang] * both.num_rows, pa.string()), both.column("phrase").cast(pa.string()), pa.array(np.full(both.num_rows, length, np.int32)), both.column("f_sum")], names=FREQUENT.names)
 
-    return streams.mapInArrow(add, RUN)
+    return found.groupBy("lang", "length", "range").applyInArrow(merge, FREQUENT)
+
+
+def marks_of(frequent: DataFrame, ranges: int) -> list[tuple[bytes, ...]]:
+    """Where so many ranges of phrases of two words and more begin, so that they weigh alike: by the counts of MARKS words, drawn
+    by their hashes, as if words followed each other by chance. They decide where phrases meet, not what is counted."""
+    some = frequent.groupBy("phrase").agg(F.sum("f").alias("f")).orderBy(F.xxhash64("phrase"), "phrase").limit(MARKS).collect()
+    if not some:
+        return []
+    words, f = zip(*sorted((r.phrase.encode(), r.f) for r in some), strict=True)
+    ends = np.cumsum(np.array(f, float)) / sum(f)
+
+    def quantile(q: float) -> tuple[bytes, float]:
+        k = min(int(np.searchsorted(ends, q, "right")), len(words) - 1)
+        before = ends[k - 1] if k else 0.0
+        return words[k], (q - before) / (ends[k] - before)
+
+    out = set()
+    for k in range(1, ranges):
+        word, rest = quantile(k / ranges)
+        out.add((word, quantile(min(rest, 1.0))[0]))
+    return sorted(out)
 
 
 def bloom(frequent: DataFrame) -> np.ndarray:
@@ -239,16 +268,18 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     spark = docs.sparkSession
     prepare(spark)
     levels = [x for x in ((1,), (2,), tuple(range(3, longest + 1))) if x and x[0] <= longest]
-    found, known, totals = [], None, None
+    found, known, totals, marks = [], None, None, RANGES + docs.count() // DOCUMENTS
     for depth, lengths in enumerate(levels):
-        path = runs(docs, text, lang, lengths, longest, known, depth)
-        table = spark.read.schema(RUN).parquet(path)
+        table = runs(docs, text, lang, lengths, longest, known, depth, marks)
         if not depth:
-            totals = checkpoint(table.groupBy("lang").agg(F.sum("f").alias("n")))
+            table = checkpoint(table)
+            totals = checkpoint(table.groupBy("lang").agg(F.sum("n").alias("n")))
         found.append(checkpoint(merged(table, least)))
-        forget(spark, path)
         if depth + 1 < len(levels):
             known = spark.sparkContext.broadcast(bloom(found[-1]))
+        if not depth:
+            n = totals.agg(F.sum("n")).first()[0] or 0
+            marks = marks_of(found[0], RANGES + n // RANGE)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm._common import SPACE, WORD, checkpoint
+from docloom.llm._common import SPACE, WORD, apart, checkpoint
 
 SYMBOL = r"[#*$%&|<>]"
 #: Words of a window, least words of a text, and most per cent of words in repeated windows.
@@ -310,7 +310,8 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
     Null and empty texts have no words and fail. Very long texts are measured whole. Null languages and sources are groups of
     their own. Repeated rows are judged alike and count once in an estimate; of estimates with equal determinants the first
-    in order of their values counts. An empty table gives an empty table. Other columns of docs may have any names.
+    in order of their values counts. An empty table gives an empty table. Other columns of docs may have any names; a key that
+    is named like a column of the result is in it with _key behind its name.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{lang}`").alias("__lang"), F.col(f"`{source}`").alias("__source"), body.alias("__body"))
@@ -323,6 +324,6 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     rows = checkpoint(rows.withColumn("base_failed", base_failed()))
     passed = rows.filter("not base_failed").withColumns(vector())
     judged = outliers(passed, ["__lang", "__source"])
-    names = [F.col("__k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = [F.col("__k").alias(apart(key, *STATISTICS, "base_failed", "d2", "kept")), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = rows.filter("base_failed").select(*names, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return failed.unionByName(judged.select(*names, "d2", (~F.col("outlier")).alias("kept")))
