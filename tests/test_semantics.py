@@ -264,6 +264,8 @@ def test_relations(spark):
     alike = [dict(identifier=None, normalized_title="campus router installation guide" + s, headings=sections) for s in ("", "s")]
     assert pairs_of(spark, *alike) == {("d0", "d1"): (0.65, "possible")}
     assert pairs_of(spark, alike[0], alike[0] | {"headings": sections[:3]}) == {("d0", "d1"): (0.93, "same title, product and sections")}
+    nameless = [dict(identifier=None, product_normalized=p, normalized_title="network guide", headings=sections) for p in ("", "", "p")]
+    assert pairs_of(spark, *nameless[:2]) == {("d0", "d1"): (0.65, "possible")} == pairs_of(spark, nameless[0], nameless[2])  # a product has to be stated
     assert pairs_of(spark, alike[0], alike[1] | {"headings": ["other"]}) == {}
     assert pairs_of(spark, dict(identifier=None, content_hash="x", normalized_title="a"), dict(content_hash="x", normalized_title="b")) == {("d0", "d1"): (1.0, "same bytes")}
 
@@ -370,8 +372,6 @@ def test_evidence():
     assert len(evidence.rows_that_fit([{"a": "x" * 10}] * 100, 600)) == 25
     assert evidence.batches(["aa", "bb", "cccccc", "d"], 4) == [["aa", "bb"], ["cccccc"], ["d"]]
     assert evidence.reduced(["a", "b", "c", "d", "e"], "".join, 2) == "abcde" and evidence.reduced([], "".join, 2) == ""
-    assert evidence.envelope('{"status": "Partial", "answer": "x"}') == {"status": "partial", "answer": "x"} and evidence.envelope("status: none\nnothing") == {"status": "none", "answer": "nothing"}
-    assert evidence.without_reasoning("<think>a</think>Answer") == "Answer"
 
 
 def test_quotes():
