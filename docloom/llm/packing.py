@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str], text: str, keep: list[st
         if name not in cache:
             cache[name] = Tokens(shared.value)
         tokens = cache[name]
-        frequency, n_docs, row = np.zeros(tokens.size, np.int64), 0, TaskContext.get().partitionId() << 32
+        frequency, has, n_docs, row = np.zeros(tokens.size, np.int32), np.zeros(tokens.size, np.int32), 0, TaskContext.get().partitionId() << 32
 
         def table(columns: dict, n: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in whole], schema=whole)
@@ -165,7 +165,9 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str], text: str, keep: list[st
                 for k, ids in enumerate(tokens.ids([(x or b"").decode("utf-8", "replace") for x in batch.column(n_kept).to_pylist()])):
                     ids += mark
                     size, every = len(ids) // 4, np.frombuffer(ids, "<u4")
-                    frequency[np.unique(every)] += 1
+                    has[every] = 1
+                    frequency += has
+                    has[every] = 0
                     n_docs += 1
                     for at in range(0, size, window):
                         whole_window = size - at >= window
@@ -177,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str], text: str, keep: list[st
                 at = pa.array(owner, pa.int64())
                 yield table({c: batch.column(i).take(at) for i, c in enumerate(keep)} | own, len(owner))
         terms = np.flatnonzero(frequency)
-        yield table({"sign": pa.array(np.append(terms, -1), pa.int32()), "n": pa.array(np.append(frequency[terms], n_docs)), "kind": [FREQUENCY] * (len(terms) + 1)}, len(terms) + 1)
+        yield table({"sign": pa.array(np.append(terms, -1), pa.int32()), "n": pa.array(np.append(frequency[terms], n_docs).astype(np.int64)), "kind": [FREQUENCY] * (len(terms) + 1)}, len(terms) + 1)
 
     path = scratch(spark, "packing")
     narrow.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)

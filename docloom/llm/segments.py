@@ -82,12 +82,11 @@ class Segments:
         got = list(map(places.get, parts))
         if bare:
             got[0] = places.get("  " + parts[0])
-        if None not in got:
-            return got
-        if all(_solid(p) for p, g in zip(parts, got, strict=True) if g is None):
-            for k, part in enumerate(parts):
-                if got[k] is None:
-                    got[k] = self._add("  " + part, part) if bare and not k else self._add(part, part if part[0] == "\n" else " " + part)
+        missing = [k for k, g in enumerate(got) if g is None]
+        if all(_solid(parts[k]) for k in missing):
+            for k in missing:
+                part = parts[k]
+                got[k] = self._add("  " + part, part) if bare and not k else self._add(part, part if part[0] == "\n" else " " + part)
             return got
         cuts = [0, *(m.start() for m in CUT.finditer(text)), len(text)]
         got = []
@@ -113,7 +112,7 @@ def _solid(name: str) -> bool:
 
 def joins(segment: str) -> bool:
     """Whether a segment can stand behind and before others like it: a space or a line feed, and something solid behind it."""
-    return segment[0] in " \n" and _solid("\n" + segment[1:])
+    return len(segment) > 1 and segment[0] in " \n" and segment[1] not in BLANKS and segment[-1] not in BLANKS
 
 
 def byte_alphabet() -> dict[str, int]:
