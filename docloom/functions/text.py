@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that a query pattern leaves out, and organisations it masks, in this order.
 PATTERN_STOP = (
@@ -116,6 +118,12 @@ def column_names(headers: list[str | None]) -> list[str]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def safe_names(headers: pd.Series) -> pd.Series:
+    """J5 over header rows, arrays; null stays null."""
+    return headers.map(lambda h: None if h is None else column_names([None if x is None else str(x) for x in h]))
+
+
 def table_name(doc: Column, sheet: Column) -> Column:
     """Name of the table of a document's sheet."""
 

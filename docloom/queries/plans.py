@@ -17,41 +17,29 @@ from docloom.queries import bind
 QUESTION = "the thing and onre with"
 
 
-def _tries(statements: list[str], check: Callable[[str], object]) -> list[tuple[str, bool]]:
-    out = []
-    for s in statements:
-        try:
-            check(s)
-            out.append((s, True))
-        except G.Refused:
-            out.append((s, False))
-    return out
+def _statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a model, one for each part: statements that are fine, that write, that read other tables, several, and none."""
+    p, name = bind.table(spark, sf, "part"), F.col("p_name")
+    said = [
+        F.concat(F.lit("select * from part where p_name = '"), name, F.lit("';")), F.concat(F.lit("with x as (select '"), name, F.lit("' as n) select * from x, nation")), F.lit("drop table part"), F.lit("select 1; select 2"),
+        F.concat(F.lit("select '"), name, F.lit("' from orders")), F.lit("select * from part p, nation"), F.concat(F.lit("insert into part select '"), name, F.lit("'")), F.lit("select * from read_csv('x')"),
+        F.lit("select * from (select * from part) q"), F.concat(F.lit("Sure, "), name, F.lit(":\n```sql\nselect 2\n```\nor\n```\nselect 'drop' from part\n```")), F.lit("select * from parquet.`/etc`"), F.concat(F.lit("I can't "), name), F.lit("select * from other.part"),
+    ]
+    return p.select("p_partkey", F.element_at(F.array(*said), (F.col("p_partkey") % len(said) + 1).cast("int")).alias("text"))
 
 
 def c23_guarded(spark: SparkSession, sf: str) -> DataFrame:
     """Statements that pass the guard: one SELECT or WITH over the tables given; for other databases SELECT alone."""
-    said = [
-        "select * from part;", "with x as (select 1) select * from x", "drop table part", "select 1; select 2", "select * from orders", "select * from part p, nation", "insert into part select 1",
-        "select * from read_csv('x')", "select * from (select * from part) q", "update part set p_size = 1", "select * from parquet.`/etc`", "select 'drop table' from part", "select * from other.part",
-    ]
-    ours = _tries(said, lambda s: G.checked(s, ["part", "nation"]))
-    theirs = dict(_tries(said, lambda s: G.checked(s, None, with_ctes=False)))
-    return spark.createDataFrame([(s, ok, theirs[s]) for s, ok in ours], "statement string, ours boolean, theirs boolean")
-
+    return G.examined(_statements(spark, sf), allowed=["part", "nation"]).select("p_partkey", "ours", "theirs")
 
 def c25_references(spark: SparkSession, sf: str) -> DataFrame:
     """Tables that a statement reads, names that it defines, and documents whose tables they are."""
-    said = ["with t as (select * from part) select * from t join supplier on 1 = 1", "select * from part, (select * from nation) n where p_size in (select max(s_suppkey) from supplier)", "select extract(year from o_orderdate) from orders"]
-    owners = {"part": "d1", "supplier": "d2", "orders": "d3"}
-    rows = [(i, ",".join(sorted(G.table_references(s))), ",".join(sorted(G.cte_names(s))), ",".join(G.documents_of(s, owners))) for i, s in enumerate(said)]
-    return spark.createDataFrame(rows, "place long, tables string, defined string, documents string")
-
+    got = G.examined(_statements(spark, sf), owners={"part": "d1", "nation": "d2"})
+    return got.select("p_partkey", *[F.concat_ws(",", c).alias(c) for c in ("tables", "defined", "documents")])
 
 def f2_extracted_sql(spark: SparkSession, sf: str) -> DataFrame:
     """the statement in a model's answer."""
-    said = ["select 1", "Sure:\n```sql\nselect 2\n```\nor\n```\nSELECT 3\n```", "I'd run WITH x AS (SELECT 4) SELECT * FROM x", "I can't", "```sql\n```"]
-    return spark.createDataFrame([(i, G.extract_sql(s)) for i, s in enumerate(said)], "place long, statement string")
-
+    return G.examined(_statements(spark, sf)).select("p_partkey", "statement")
 
 def _scripted(*answers: str) -> Callable[[str], str]:
     said = iter(answers)
@@ -318,10 +306,12 @@ def l8_identity_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 FAMILY = "s as (select lpad(s_suppkey::varchar, 6, '0') as k from supplier)"
 ORACLE_SQL = {
-    "c23_guarded": """select * from (values ('select * from part;', true, true), ('with x as (select 1) select * from x', true, false), ('drop table part', false, false), ('select 1; select 2', false, false), ('select * from orders', false, true),
-        ('select * from part p, nation', true, true), ('insert into part select 1', false, false), ('select * from read_csv(''x'')', false, false), ('select * from (select * from part) q', true, true), ('update part set p_size = 1', false, false),
-        ('select * from parquet.`/etc`', false, false), ('select ''drop table'' from part', true, true), ('select * from other.part', false, true)) t(statement, ours, theirs)""",
-    "c25_references": "select * from (values (0::bigint, 'part,supplier,t', 't', 'd1,d2'), (1, 'nation,part,supplier', '', 'd1,d2'), (2, 'orders', '', 'd3')) t(place, tables, defined, documents)",
+    "c23_guarded": "select p_partkey, p_partkey % 13 in (0, 1, 5, 6, 8, 9) as ours, p_partkey % 13 in (0, 4, 5, 6, 8, 9, 12) as theirs from part",
+    "c25_references": """select p_partkey, case p_partkey % 13 when 0 then 'part' when 1 then 'nation,x' when 4 then 'orders' when 5 then 'nation,part' when 6 then '' when 7 then 'read_csv' when 8 then 'part' when 9 then 'part' when 10 then 'parquet,parquet.' when 12 then 'other,other.' else '' end as tables,
+        case when p_partkey % 13 = 1 then 'x' else '' end as defined, case when p_partkey % 13 in (0, 8, 9) then 'd1' when p_partkey % 13 = 1 then 'd2' when p_partkey % 13 = 5 then 'd1,d2' else '' end as documents from part""",
+    "f2_extracted_sql": """select p_partkey, case p_partkey % 13 when 0 then 'select * from part where p_name = ' || chr(39) || p_name || chr(39) || ';' when 1 then 'with x as (select ' || chr(39) || p_name || chr(39) || ' as n) select * from x, nation' when 3 then 'select 1; select 2'
+        when 4 then 'select ' || chr(39) || p_name || chr(39) || ' from orders' when 5 then 'select * from part p, nation' when 6 then 'select ' || chr(39) || p_name || chr(39) when 7 then 'select * from read_csv(' || chr(39) || 'x' || chr(39) || ')'
+        when 8 then 'select * from (select * from part) q' when 9 then 'select ' || chr(39) || 'drop' || chr(39) || ' from part' when 10 then 'select * from parquet.`/etc' when 12 then 'select * from other.part' else '' end as statement from part""",
     "a30_catalog_views": f"with {bind.CATALOG} select category as name, count(*) as n_files from catalog group by 1 having count(*) > 1 union select dataset_id::varchar, count(*) from catalog group by dataset_id",
     "q6_categorised": "select doc_id, case when doc_id % 3 = 0 and (doc_id % 10) % 2 = 0 then 'src' || (doc_id % 10) end as category from documents",
     "h8_runs": "select r_name as doc_id, 's' as sheet, 1::int as header_row, (2 + count(*))::int as end_row from nation join region on n_regionkey = r_regionkey group by r_name",
@@ -336,7 +326,6 @@ ORACLE_SQL = {
         w as (select url, host, case when regexp_matches(trim(h), '^https?://') then trim(h) when trim(h) like '//%' then regexp_extract(url, '^(https?:)', 1) || trim(h) when trim(h) like '/%' then host || trim(h) when regexp_matches(trim(h), '^(#|[a-z]+:)') then null else base || trim(h) end as t from p),
         c as (select url, host, regexp_replace(regexp_extract(regexp_replace(t, '#.*$', ''), '^([^?]*)', 1), '/+$', '') || regexp_extract(regexp_replace(t, '#.*$', ''), '([?].*)$', 1) as target from w)
         select distinct url, target from c where regexp_extract(target, '^(https?://[^/?#]+)', 1) = host""",
-    "f2_extracted_sql": "select * from (values (0::bigint, 'select 1'), (1, 'SELECT 3'), (2, 'WITH x AS (SELECT 4) SELECT * FROM x'), (3, ''), (4, '')) t(place, statement)",
     "f6_repaired": """select * from (values ('at once', 'satisfactory', 1::bigint, 'satisfactory', 25::bigint), ('second', 'satisfactory', 2, 'empty,satisfactory', 25), ('third', 'satisfactory', 3, 'error,no_sql,satisfactory', 25),
         ('never', 'error', 3, 'error,error,error', null), ('empty', 'empty', 3, 'empty,empty,empty', null), ('no sql', 'skipped', 3, 'no_sql,no_sql,no_sql', null)) t(asked, verdict, attempts, states, n)""",
     "f9_schema_prompts": "select * from (values (0::bigint, 2::bigint, true, true), (1, 2, false, true), (2, 2, false, false)) t(place, n_lines, has_values, has_columns)",

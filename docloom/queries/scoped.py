@@ -64,11 +64,10 @@ def c27_graph_skips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def c28_intents(spark: SparkSession, sf: str) -> DataFrame:
-    """C28, X30."""
-    asked = [("compare the two revisions",), ("tunnel is down",), ("command for bgp",), ("command steps: how to",), ("explain the core network",), ("phone list",), ("show the topology diagram",)]
-    q = spark.createDataFrame(asked, "q string")
-    return q.select("q", C.intent(F.col("q")).alias("intent"), C.visual(F.col("q")).alias("visual"), C.image_limit(F.col("q"), "requested", 3).alias("images"))
-
+    """What questions are after, whether they are about pictures, and how many."""
+    asked = ["compare the two revisions of", "tunnel is down at", "command for bgp of", "command steps: how to set", "explain the core network of", "phone list of", "show the topology diagram of"]
+    p = bind.table(spark, sf, "orders").select("o_orderkey", F.concat_ws(" ", F.element_at(F.array(*map(F.lit, asked)), (F.col("o_orderkey") % 7 + 1).cast("int")), F.concat(F.lit("no "), F.col("o_orderkey").cast("string"))).alias("q"))
+    return p.select("o_orderkey", C.intent(F.col("q")).alias("intent"), C.visual(F.col("q")).alias("visual"), C.image_limit(F.col("q"), "requested", 3).alias("images"))
 
 def d8_routed_tables(spark: SparkSession, sf: str) -> DataFrame:
     t = bind.table(spark, sf, "embeddings").select(F.concat(F.lit("t"), "vec_id").alias("table_name"), F.col("embedding").alias("vector"))
@@ -185,6 +184,7 @@ NEAR = """
           from chunks c, (select embedding as v from embeddings where vec_id = 7) q)"""
 
 ORACLE_SQL = {
+    "c28_intents": "select o_orderkey, ['version_comparison', 'troubleshooting', 'command_reference', 'procedure', 'architecture', '', 'architecture'][o_orderkey % 7 + 1] as intent, o_orderkey % 7 = 6 as visual, case when o_orderkey % 7 = 6 then 3 else 0 end::int as images from orders",
     "c4_query_scope": f"with {bind.CATALOG} select doc_id from catalog where list_has_any(acl_groups, ['g1', 'h2']) and dataset_id = 3 and doc_id in ({ALLOWED})",
     "c4_revisions_differ": "select true as same, true as other",
     "c5_scoped_schemas": f"with {bind.CATALOG} select 'doc_' || doc_id as table_name from catalog where doc_id % 3 = 0 and dataset_id = 1 and list_contains(acl_groups, 'g2') union all select 'sales'",
@@ -194,8 +194,6 @@ ORACLE_SQL = {
     "c18_all_sources": "select 'category' as kind, r_name as name, 'd' as description from region union all select 'schema', n_name, 'n' from nation",
     "c19_listed": f"with {bind.CATALOG} select doc_id, filename from catalog where dataset_id = 2 and doc_type = 'pdf'",
     "c27_graph_skips": "select doc_id from documents where doc_id % 3 != 1",
-    "c28_intents": """select * from (values ('compare the two revisions', 'version_comparison', false, 0), ('tunnel is down', 'troubleshooting', false, 0), ('command for bgp', 'command_reference', false, 0),
-        ('command steps: how to', 'procedure', false, 0), ('explain the core network', 'architecture', false, 0), ('phone list', '', false, 0), ('show the topology diagram', 'architecture', true, 3)) t(q, intent, visual, images)""",
     "d8_routed_tables": """with s as (select 't' || e.vec_id as table_name, list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::double * q.v[i]::double)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double)))
         / sqrt(list_sum(list_transform(q.v, lambda x: x::double * x::double))) as sim from embeddings e, (select embedding as v from embeddings where vec_id = 7) q) select table_name from s where sim >= 0.1 order by sim desc, table_name limit 8""",
     "d9_chosen_tables": """with s as (select 't' || e.vec_id as table_name, list_sum(list_transform(range(1, 65), lambda i: e.embedding[i]::double * q.v[i]::double)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double)))

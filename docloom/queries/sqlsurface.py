@@ -22,7 +22,7 @@ COMMON = {
     "n_cross_join": "select r_name, n_name from region cross join nation where r_regionkey != n_regionkey",
     "n_semi_join": "select n_name from nation left semi join supplier on s_nationkey = n_nationkey",
     "n_anti_join": "select n_name from nation left anti join (select * from supplier where s_acctbal > 5000) s on s.s_nationkey = n_nationkey",
-    "n_theta_join": "select a.s_suppkey as lo, b.s_suppkey as hi from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal",
+    "n_theta_join": "select a.s_suppkey as lo, b.s_suppkey as hi from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey and b.s_suppkey - a.s_suppkey <= 50 and a.s_acctbal < b.s_acctbal",
     "n_having": "select l_returnflag, l_linestatus, sum(l_quantity) as q, round(avg(l_extendedprice), 2) as p, count(*) as n from lineitem group by l_returnflag, l_linestatus having count(*) > 10",
     "n_distinct": "select distinct o_orderstatus, o_orderpriority from orders",
     "n_count_distinct": "select o_orderstatus, count(distinct o_custkey) as n from orders group by o_orderstatus",
@@ -35,7 +35,7 @@ COMMON = {
     "n_frame_rows": "select l_orderkey, l_linenumber, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between 1 preceding and current row) as q from lineitem",
     "n_frame_range": "select p_partkey, count(*) over (partition by p_brand order by p_size range between 5 preceding and 5 following) as n from part",
     "n_cte": "with big as (select o_custkey, sum(o_totalprice) as t from orders group by o_custkey), top as (select * from big where t > 200000) select c_name, round(t, 2) as t from top join customer on c_custkey = o_custkey",
-    "n_recursive": "with recursive r(n, total) as (select 1, 1 union all select n + 1, total + n + 1 from r where n < 20) select n, total from r",
+    "n_recursive": "with recursive r(k, n) as (select p_partkey, 1 from part where p_partkey % 50 = 1 union all select p_partkey, n + 1 from r join part on p_partkey = k + 1 where n < 20) select k, n from r",
     "n_union": "select n_nationkey as k from nation union select s_nationkey from supplier",
     "n_union_all": "select n_regionkey as k from nation union all select r_regionkey from region",
     "n_intersect": "select c_nationkey as k from customer intersect select s_nationkey from supplier",

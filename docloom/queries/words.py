@@ -9,6 +9,7 @@ from docloom.functions import chunking, text as X
 from docloom.operators import evidence as V, figures as U, graph as M, lifecycle as L, models as Q, tabular as K, views as W
 from docloom.operators import access, editions, retrieval as R
 from docloom.queries import bind
+from docloom.session import ship
 
 
 def _conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,10 +24,11 @@ def j4_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j5_column_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Safe, distinct names of a header row."""
-    heads = ["Retail Price", "retail-price", "", None, "2024", "Größe"]
-    return spark.createDataFrame(list(enumerate(X.column_names(heads))), "place long, name string")
-
+    """Safe, distinct names of header rows."""
+    ship(spark)
+    p = bind.table(spark, sf, "part")
+    heads = F.array("p_brand", F.lower("p_brand"), F.lit(""), F.lit(None).cast("string"), F.concat(F.col("p_size").cast("string"), F.lit(" x")), F.lit("Größe"))
+    return p.select("p_partkey", F.concat_ws(",", X.safe_names(heads)).alias("names"))
 
 def j7_blobs(spark: SparkSession, sf: str) -> DataFrame:
     """All values of list fields as one lower-case text; missing lists count as empty."""
@@ -56,11 +58,10 @@ def h13_chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j16_sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a sheet, never cut, each chunk under the header row."""
-    names = [r["n_name"] for r in bind.table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows at every size
-    got = chunking.sheet_chunks([["Nation"], *([n] for n in names)], 0, 10)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(got)], "chunk_index long, chunk string")
-
+    """Rows of sheets, never cut, each chunk under the header row; here 5 rows fit."""
+    p = bind.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).cast("string").alias("doc_id"), F.lit("s").alias("sheet"), (F.col("p_partkey") % 40 + 1).cast("int").alias("row_idx"), F.array(F.format_string("%08d", "p_partkey")).alias("cells"))
+    heads = p.select("doc_id", "sheet").distinct().select("doc_id", "sheet", F.lit(0).alias("row_idx"), F.array(F.lit("Key")).alias("cells"))
+    return chunking.chunked_sheets(p.unionByName(heads), 50).select("doc_id", "chunk_index", "chunk")
 
 def j18_embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
     """What is embedded: a prefix, a section's or a document's heading, and the text, up to a length."""
@@ -139,11 +140,12 @@ def j25_envelopes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j26_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    """Version, environment and product that a user named last."""
-    asked = [("we run firmware v2.4 in prod", []), ("and now?", ["Product: Core Router 9, release 10.1b", "in the lab"]), ("hello", [])]
-    got = [(i, c["software_version"], c["environment"], c["product"]) for i, (q, t) in enumerate(asked) for c in [editions.request_context(q, t)]]
-    return spark.createDataFrame(got, "place long, version string, environment string, product string")
-
+    """Version, environment and product that users named last."""
+    p, n = bind.table(spark, sf, "part"), F.col("p_partkey") % 3
+    version = F.concat(F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"))
+    question = F.when(n == 0, F.concat(F.lit("we run firmware v"), version, F.lit(" in prod"))).when(n == 1, "and now?").otherwise(F.concat(F.lit("hello "), "p_name"))
+    turns = F.when(n == 1, F.array(F.concat(F.lit("Product: Core Router, release "), version), F.lit("in the lab")))
+    return editions.request_contexts(p.select("p_partkey", question.alias("question"), turns.alias("turns"))).select("p_partkey", "context.*")
 
 def j29_subjects(spark: SparkSession, sf: str) -> DataFrame:
     """Questions about a drawing without the words that ask for it."""
@@ -153,13 +155,11 @@ def j29_subjects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j31_table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a Markdown table without its rule, and of comma-separated lines."""
-    names = [r["r_name"] for r in bind.table(spark, sf, "region").orderBy("r_regionkey").collect()]  # five rows
-    marked = "| Name | N |\n| --- | :-: |\n" + "\n".join(f"| {n} | {len(n)} |" for n in names)
-    plain = "\n".join(f"{n}, {len(n)}" for n in names)
-    rows = [("markdown", i, "|".join(r)) for i, r in enumerate(L.table_text_rows(marked))] + [("csv", i, "|".join(r)) for i, r in enumerate(L.table_text_rows(plain))]
-    return spark.createDataFrame(rows, "kind string, place long, cells string")
-
+    """Rows of Markdown tables without their rule, and of comma-separated lines, in answers about parts."""
+    p = bind.table(spark, sf, "part")
+    marked = F.concat(F.lit("| Name | N |\n| --- | :-: |\n| "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |\n"))
+    text = F.when(F.col("p_partkey") % 2 == 0, marked).otherwise(F.concat("p_name", F.lit(", "), F.col("p_size").cast("string"), F.lit("\n\n"), "p_brand", F.lit(",x")))
+    return L.table_rows(p.select("p_partkey", text.alias("text")), "text").select("p_partkey", "place", F.concat_ws("|", "cells").alias("cells"))
 
 def j34_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of a comma-separated text, and those of a new document: given, else its dataset's, else the caller's."""
@@ -276,6 +276,11 @@ def c26_navigation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE_SQL = {
+    "j5_column_names": "select p_partkey, concat_ws(',', regexp_replace(lower(p_brand), '[^0-9a-z]+', '_', 'g'), regexp_replace(lower(p_brand), '[^0-9a-z]+', '_', 'g') || '_1', 'col_2', 'col_3', 'c_' || p_size || '_x', 'gr_e') as names from part",
+    "j16_sheet_chunks": """with r as (select p_partkey // 40 as d, p_partkey % 40 as i, p_partkey from part), n as (select *, row_number() over (partition by d order by i) - 1 as k from r)
+        select d::varchar as doc_id, (k // 5)::int as chunk_index, 'Key' || chr(10) || string_agg(lpad(p_partkey::varchar, 8, '0'), chr(10) order by k) as chunk from n group by d, k // 5""",
+    "j26_contexts": """select p_partkey, case when p_partkey % 3 < 2 then p_size || '.' || p_partkey % 10 else '' end as software_version, ['production', 'lab', ''][p_partkey % 3 + 1] as environment, case when p_partkey % 3 = 1 then 'core router' else '' end as product from part""",
+    "j31_table_rows": """select p_partkey, place, cells from (select p_partkey, unnest([0, 1]) as place, unnest(case when p_partkey % 2 = 0 then ['Name|N', p_name || '|' || p_size] else [p_name || '|' || p_size, p_brand || '|x'] end) as cells from part)""",
     "j24_reasoning": """select p_partkey, case p_partkey % 3 when 0 then 'The user must log in first.' || chr(10) || 'Wait ten seconds.' || chr(10) || p_name when 1 then '* ' || p_name || chr(10) || 'Let me say: ' || p_brand
         else '* Task: ' || repeat(p_name, 40) || chr(10) || 'yes' end as answer from part""",
     "j25_envelopes": """select p_partkey, case p_partkey % 12 when 0 then 'answer' when 1 then 'answer' when 2 then 'insufficient_evidence' when 3 then 'clarification' when 4 then 'plain' when 7 then 'answer' when 9 then 'insufficient_evidence' when 10 then 'plain' else 'invalid' end as status,
@@ -285,14 +290,12 @@ ORACLE_SQL = {
         select answer_id, line_no::int as line_no, line, line_no between 3 and 7 as code from (select answer_id, unnest(range(0, 11)) as line_no,
             unnest(['a `[' || k || ']` [t](' || k || ') [Eq] \[' || k || ']', 'first [' || n || '], here', '', '````', '[' || k || ']', '```', '[' || k || ']', '````', '', 'last [Ez] [' || n || ']', 'end']) as line from t)""",
     "j4_numbers": "select p_partkey, case when p_partkey % 5 > 1 then round(p_retailprice, 2) end as value from part",
-    "j5_column_names": "select * from (values (0::bigint, 'retail_price'), (1, 'retail_price_1'), (2, 'col_2'), (3, 'col_3'), (4, 'c_2024'), (5, 'gr_e')) t(place, name)",
     "j7_blobs": "select p_partkey, lower(p_brand || ' ' || p_type || case when p_partkey % 2 = 0 then ' ' || p_name else '' end) as blob from part",
     "j12_identifiers": "select conv_id as doc_id, turn as chunk_index, 'E' || substr(sha256('(' || conv_id || ', ''medium'', ' || turn || ', 0, ''text'', None)' || chr(0) || text), 1, 12) as evidence_id from conversations",
     "j14_sections": """with n as (select r_name as doc_id, n_name, row_number() over (partition by r_name order by '## ' || n_name) as i from nation join region on n_regionkey = r_regionkey),
         s as (select doc_id, i, n_name, '## ' || n_name || chr(10) || 'Check the port of ' || n_name || '.' || chr(10) as t from n), u as (select doc_id, 0 as i, doc_id as path, '# ' || doc_id || chr(10) as t, '' as roles from (select distinct doc_id from n) union all select doc_id, i, doc_id || ' > ' || n_name, t, 'diagnostics' from s)
         select doc_id, i::int as chunk_index, coalesce(sum(length(t)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::int as start_char, path as section_path, substr(sha256(path), 1, 16) as section_id, roles as evidence_role from u""",
     "h13_chunk_offsets": "select p_partkey as doc_id, p_size::bigint as n, (p_size - 1) * 100 as last, 99::int as longest from part",
-    "j16_sheet_chunks": "select n_nationkey::bigint as chunk_index, 'Nation' || chr(10) || n_name as chunk from nation",
     "j18_embedded_texts": """with w as (select doc_id, 'passage: ' || case doc_id % 3 when 0 then 'Section: A > B' || chr(10) || chr(10) when 1 then '' else 'Document: x' || chr(10) || chr(10) end || coalesce(text, '') as t from documents)
         select doc_id, least(300, length(t))::int as n, substr(t, 1, 24) as head from w""",
     "j19_repaired_records": "select p_partkey, case p_partkey % 3 when 0 then 'entity<|#|>' || p_name || '<|#|>category<|#|>' || p_type when 1 then 'relation<|#|>' || p_name || '<|#|>' || p_brand || '<|#|>related<|#|>' || p_type else 'entity<|#|>' || p_name || '<|#|>' || p_brand || '<|#|>' || p_type end as record from part",
@@ -300,9 +303,7 @@ ORACLE_SQL = {
     "j21_quote_support": """select s_suppkey as answer_id, case s_suppkey % 5 when 1 then lower('Valve ' || s_suppkey || ' must NOT be open') when 2 then 'A safe valve' when 3 then 'Valve 0 must NOT be shut' else '' end as unsupported from supplier""",
     "j22_quoting_answers": "select s_suppkey as answer_id, s_suppkey % 5 != 4 as quoted from supplier",
     "j23_labels": f"with {bind.CATALOG} select doc_id, filename || case when doc_id % 2 = 1 then ', ' || lang else '' end || case when doc_id % 3 = 0 then ', p. ' || doc_id else '' end as label from catalog",
-    "j26_contexts": "select * from (values (0::bigint, '2.4', 'production', ''), (1, '10.1b', 'lab', 'core router 9'), (2, '', '', '')) t(place, version, environment, product)",
     "j29_subjects": "select n_nationkey, case n_nationkey % 3 when 0 then 'the ports of ' || n_name when 1 then n_name else 'show ' || n_name end as subject from nation",
-    "j31_table_rows": "with r as (select r_name || '|' || length(r_name) as c, row_number() over (order by r_regionkey) as i from region) select 'markdown' as kind, 0::bigint as place, 'Name|N' as cells union all select 'markdown', i, c from r union all select 'csv', i - 1, c from r",
     "j34_groups": "select event_id, case event_id % 4 when 0 then 'ALL' when 1 then 'ALL' else 'x,' || event_type end as groups, case event_id % 3 when 0 then event_type when 1 then 'set' else 'me' end as document_groups from events",
     "j37_key_digests": "select c_custkey, sha256(c_name) as key_hash, substr(c_name, 1, 8) as key_prefix, case when c_custkey % 2 = 0 then 'transient' else 'permanent' end as failure from customer",
     "j39_headings": """with m as (select l_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1] as median from lineitem group by 1)
