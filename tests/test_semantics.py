@@ -374,19 +374,19 @@ def test_evidence():
     assert evidence.reduced(["a", "b", "c", "d", "e"], "".join, 2) == "abcde" and evidence.reduced([], "".join, 2) == ""
 
 
-def test_quotes():
-    valve = evidence.Source("Ev", "Close valve 7 5 before DO NOT START is lit.", "valve.pdf")
-    check = lambda said, *sources, q="": evidence.unsupported_quotes(said, sources or [valve], q)
-    assert check('It says "Close\n valve" [Ev].') == [] and check('It says "close valve" [Ev].') == ["close valve"]
-    assert check('"DO NOT START" [Ev]') == [] and check('"do not start" [Ev]') == ["do not start"] and check('"DO NOT START" [Ex]') == ["DO NOT START"]
-    assert check('"valve 75" [Ev]') == ["valve 75"] and check('"DO NOT\u00ad START" [Ev]') == []
-    assert check('"lamp" [Ev]', q="what is the lamp?") == [] and check("`lamp` [Ev]", q="what is the lamp?") == ["lamp"] and check("`valve.pdf` [Ev]") == []
-    assert check('```mermaid\na["x y"]\n```\n"Close valve" [Ev]') == []
-    made = evidence.Source("Em", "Document: a.pdf\nSummary: Safe at any speed.\n\nSlow down.")
-    assert check('"Safe at any speed" [Em]', made) == ["Safe at any speed"] and check('"Slow down" [Em]', made) == []
-    assert check('"Slow down" [Em]', evidence.Source("Em", "Slow down.", kind="derived")) == ["Slow down"]
-    assert evidence.has_source_quote('so "Slow" [Em]', [made]) and not evidence.has_source_quote("plain") and not evidence.has_source_quote('"lamp"', [], "lamp?")
-    assert evidence.has_source_quote("`Slow down` [Em]", [made]) and not evidence.has_source_quote("`Hurry` [Em]", [made])
+def test_quotes(spark):
+    valve, made = ("Ev", "Close valve 7 5 before DO NOT START is lit.", "valve.pdf", "document"), ("Em", "Document: a.pdf\nSummary: Safe at any speed.\n\nSlow down.", "", "document")
+    cases = [  # answer, question, evidence, unsupported, quoted
+        ('It says "Close\n valve" [Ev].', "", valve, [], True), ('It says "close valve" [Ev].', "", valve, ["close valve"], True), ('"DO NOT START" [Ev]', "", valve, [], True), ('"do not start" [Ev]', "", valve, ["do not start"], True),
+        ('"DO NOT START" [Ex]', "", valve, ["DO NOT START"], True), ('"valve 75" [Ev]', "", valve, ["valve 75"], True), ('"DO NOT\u00ad START" [Ev]', "", valve, [], True), ('"lamp." [Ev]', "what is the lamp?", valve, [], True),
+        ('"lamp" [Ev]', "what is the lamp?", valve, [], False), ("`lamp` [Ev]", "what is the lamp?", valve, ["lamp"], False), ("`valve.pdf` [Ev]", "", valve, [], False), ('```mermaid\na["x y"]\n```\n"Close valve" [Ev]', "", valve, [], True),
+        ('```\n"x y"\n```\nplain [Ev]', "", valve, ["x y"], False), ('"Safe at any speed" [Em]', "", made, ["Safe at any speed"], True), ('"Slow down" [Em]', "", made, [], True), ('"Slow down" [Em]', "", (*made[:3], "derived"), ["Slow down"], True),
+        ("plain", "", made, [], False), ("`Slow down` [Em]", "", made, [], True), ("`Hurry` [Em]", "", made, ["Hurry"], False), ('"b" then “a” and "b"\n\n[Em]', "", made, ["b", "a", "b"], True), ('a " b `c\nd` "" e', "", made, [" b `c\nd` "], True), (None, None, made, [], False),
+    ]
+    answers = spark.createDataFrame([(i, a, q) for i, (a, q, *_) in enumerate(cases)], "answer_id int, answer string, question string")
+    held = spark.createDataFrame([(i, *c[2]) for i, c in enumerate(cases)], "answer_id int, evidence_id string, text string, filename string, kind string")
+    got = {r.answer_id: (r.unsupported, r.quoted) for r in evidence.quote_checks(answers, held).collect()}
+    assert [(c[0], *got[i]) for i, c in enumerate(cases)] == [(c[0], *c[3:]) for c in cases]
 
 
 # files
