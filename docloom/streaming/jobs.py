@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from docloom.session import ship
 
 # States of an ingest job in order; the last two end it.
 STATES = ("queued", "parsing", "categorizing", "extracting", "chunking", "embedding", "storing", "graph", "complete", "failed")
@@ -18,6 +22,42 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("state", F.struct("ts", place.alias("p"))).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("n_events"))
 
 
+def job_states(log: DataFrame, ttl_seconds: int, delay: str = "10 minutes", terminal_only: bool = True) -> DataFrame:
+    """P1-P4 on a stream: (job_id, state, ts, evicted) whenever a job's state changes, and once more, evicted, when its time is over.
+
+    log: job_id, state, ts. The state is the latest event's, of equally late ones the furthest's, as latest_state() has it, so
+    that late and repeated events change nothing. Events that are later than delay allows are left out. An ended job (any, if not
+    terminal_only) is evicted when event time has passed its last event by more than ttl_seconds; its state goes with it, and an
+    event that comes afterwards begins the job anew.
+    """
+    ship(log.sparkSession)
+    kind = log.schema["job_id"].dataType.simpleString()
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        at, rank = held.get if held.exists else (None, -1)
+        if held.hasTimedOut:
+            held.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "state": [STATES[rank]], "ts": [pd.Timestamp(at, unit="us")], "evicted": [True]})
+            return
+        before = (at, rank)
+        for frame in frames:
+            for state, ts in frame[["state", "ts"]].itertuples(index=False):
+                seen = (int(ts.value // 1000), STATES.index(state) if state in STATES else -1)
+                if seen[1] >= 0 and (at is None or seen > (at, rank)):
+                    at, rank = seen
+        if at is None:
+            return
+        held.update((at, rank))
+        over = at // 1000 + 1000 * ttl_seconds
+        if STATES[rank] in TERMINAL or not terminal_only:
+            held.setTimeoutTimestamp(max(over, held.getCurrentWatermarkMs() + 1))
+        if (at, rank) != before:
+            yield pd.DataFrame({"job_id": [key[0]], "state": [STATES[rank]], "ts": [pd.Timestamp(at, unit="us")], "evicted": [False]})
+
+    timed = log.withWatermark("ts", delay).groupBy("job_id")
+    return timed.applyInPandasWithState(step, f"job_id {kind}, state string, ts timestamp, evicted boolean", "at long, rank int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def active(states: DataFrame) -> DataFrame:
     """Jobs by state, and whether any is still going."""
     return states.agg(F.count("*").alias("n"), F.count_if(F.col("state").isin(*TERMINAL)).alias("n_done"), F.coalesce(F.bool_or(~F.col("state").isin(*TERMINAL)), F.lit(False)).alias("active"))

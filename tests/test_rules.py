@@ -154,6 +154,47 @@ def test_images_follow_markers_only(spark):
     assert got == {3: ["d/1"], 5: ["d/2"]}
 
 
+# job states
+
+
+def test_job_states_in_a_stream(spark, tmp_path):
+    """Micro-batches with late, repeated and disordered events, and a restart: the last state of each job is that of the batch query
+    over all events, and ended jobs are evicted when event time has passed their time to live."""
+    from docloom.streaming import jobs
+
+    folder, got = str(tmp_path / "in"), []
+    batches = [
+        [("a", "queued", 0), ("a", "parsing", 10), ("b", "queued", 5)], [("a", "complete", 20), ("a", "parsing", 10), ("b", "failed", 30), ("b", "graph", 30)],
+        [("c", "queued", 400)], [("c", "parsing", 401), ("c", "queued", 400)], [("d", "queued", 500)], [("d", "queued", 501)],
+    ]
+
+    def feed(rows):
+        df = spark.createDataFrame(rows, "job_id string, state string, s long").select("job_id", "state", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema("job_id string, state string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+        out = jobs.job_states(stream, ttl_seconds=60, delay="10 seconds")
+        sink = lambda df, n: got.extend((r.job_id, r.state, int(r.s), r.evicted) for r in df.withColumn("s", F.unix_timestamp("ts")).collect())
+        out.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+
+    for rows in batches[:3]:
+        feed(rows)
+    run()
+    for rows in batches[3:]:
+        feed(rows)
+    run()
+    log = spark.createDataFrame([r for b in batches for r in b], "job_id string, state string, s long").select("job_id", "state", F.timestamp_seconds("s").alias("ts"))
+    want = {r.job_id: r.state for r in jobs.latest_state(log).collect()}
+    last = {}
+    for job, state, ts, gone in got:
+        if not gone:
+            last[job] = (ts, state)
+    assert {j: s for j, (_, s) in last.items()} == want == {"a": "complete", "b": "failed", "c": "parsing", "d": "queued"}
+    assert sorted((j, s) for j, s, _, gone in got if gone) == [("a", "complete"), ("b", "failed")]
+    assert len([g for g in got if g[0] == "b" and not g[3]]) == 2 and len(got) == len(set(got))
+
+
 # reconciliation
 
 
