@@ -5,6 +5,8 @@ import functools
 import hashlib
 import itertools
 import json
+import math
+import os
 import random
 import re
 import zlib
@@ -18,8 +20,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from docloom.llm import alignment, packing, phrases, queries
+from docloom.llm import alignment, exact_dedup, mixing, packing, phrases, quality_gam, quality_rules, queries
 from docloom.llm.segments import ByteLevel, Segments, windows
+from docloom.session import checkpoint_folder
 from tests.llm.helpers import DOCS, awkward, empty
 
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -313,3 +316,93 @@ def test_phrases_query(spark, sf):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(map(tuple, queries.op11_phrases(spark, sf).collect())) == sorted(c.sql(phrases.ORACLE_SQL).fetchall())
+
+
+# the additive model of op8, in plain loops
+
+
+def plain_boosting(stats, y, bins, rounds, rate, pairs, coarse, reg):
+    """The steps of quality_gam.fit(), one number at a time; gives each row's sum."""
+    n, m = len(stats), len(stats[0])
+    rate1 = (sum(y) + 0.5) / (n + 1)
+    f = [math.log(rate1 / (1 - rate1))] * n
+    cuts = [sorted(set(np.quantile([r[k] for r in stats], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for k in range(m)]
+    b = [[sum(c <= r[k] for c in cuts[k]) for r in stats] for k in range(m)]
+
+    def sums(at, size):
+        out = [[0.0, 0.0] for _ in range(size)]
+        for row, x in enumerate(at):
+            p = 1 / (1 + math.exp(-f[row]))
+            out[x][0] += y[row] - p
+            out[x][1] += p * (1 - p)
+        return out
+
+    def leaf(parts):
+        return sum(g for g, _ in parts) / (sum(h for _, h in parts) + reg)
+
+    def cut(parts):
+        gain = [sum(g for g, _ in side) ** 2 / (sum(h for _, h in side) + reg) for k in range(1, len(parts)) for side in (parts[:k], parts[k:])]
+        both = [gain[2 * k] + gain[2 * k + 1] for k in range(len(parts) - 1)]
+        best = max(range(len(both)), key=lambda k: both[k])
+        return both[best] - sum(g for g, _ in parts) ** 2 / (sum(h for _, h in parts) + reg), best + 1
+
+    for _ in range(rounds):
+        for k in range(m):
+            if cuts[k]:
+                parts = sums(b[k], len(cuts[k]) + 1)
+                gain, at = cut(parts)
+                if gain > 1e-9:
+                    low, high = leaf(parts[:at]), leaf(parts[at:])
+                    f = [v + rate * (low if x < at else high) for v, x in zip(f, b[k], strict=True)]
+    fold = [[min(x * coarse // (len(cuts[k]) + 1), coarse - 1) for x in b[k]] for k in range(m)]
+    found = []
+    for i, j in itertools.combinations(range(m), 2):
+        parts = sums([x * coarse + z for x, z in zip(fold[i], fold[j], strict=True)], coarse * coarse)
+        found.append((sum(g * g / (h + reg) for g, h in parts), i, j))
+    for _ in range(rounds // 3):
+        for _, i, j in sorted(found, reverse=True)[:pairs]:
+            parts = sums([x * coarse + z for x, z in zip(fold[i], fold[j], strict=True)], coarse * coarse)
+            grid = [parts[x * coarse : (x + 1) * coarse] for x in range(coarse)]
+            _, r = cut([(sum(g for g, _ in row), sum(h for _, h in row)) for row in grid])
+            value = {}
+            for rows in (range(r), range(r, coarse)):
+                columns = [(sum(grid[x][z][0] for x in rows), sum(grid[x][z][1] for x in rows)) for z in range(coarse)]
+                _, c = cut(columns)
+                for zs in (range(c), range(c, coarse)):
+                    value |= {(x, z): leaf([columns[k] for k in zs]) for x in rows for z in zs}
+            f = [v + rate * value[x, z] for v, x, z in zip(f, fold[i], fold[j], strict=True)]
+    return [1 / (1 + math.exp(-v)) for v in f]
+
+
+def test_gam_against_plain_loops():
+    rng = np.random.default_rng(3)
+    stats = np.round(rng.random((70, len(quality_gam.NAMES))) * 4, 1)
+    stats[:, 2] = 1.0  # a statistic that says nothing
+    y = ((stats[:, 0] > 2) ^ (stats[:, 1] > 1.5) | (rng.random(70) < 0.1)).astype(float)
+    options = dict(bins=7, rounds=6, rate=0.3, pairs=2, coarse=3, reg=1.5)
+    model = quality_gam.fit(stats, y, **options)
+    assert np.allclose(model.score(stats), plain_boosting(stats.tolist(), y.tolist(), **options))
+    value = [model.base + sum(model.singles[k][int(np.searchsorted(model.cuts[k], row[k], "right"))] for k in range(len(row))) for row in stats]
+    for i, j, ci, cj, table in model.pairs:
+        for r, row in enumerate(stats):
+            value[r] += table[ci[int(np.searchsorted(model.cuts[i], row[i], "right"))], cj[int(np.searchsorted(model.cuts[j], row[j], "right"))]]
+    assert np.allclose(model.score(stats), 1 / (1 + np.exp(-np.array(value))))
+
+
+# what round 2 left behind
+
+
+def test_exact_dedup_leaves_no_tables_and_no_settings(spark):
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    shown = {k: spark.conf.get(k, None) for k in exact_dedup.RUNTIME}
+    rows = exact_dedup.exact_duplicates(awkward(spark)).collect()
+    assert rows and not [d for d, _, _ in os.walk(folder) if "/pairs-" in d or "/odd-" in d]
+    assert {k: spark.conf.get(k, None) for k in exact_dedup.RUNTIME} == shown
+
+
+def test_keys_named_like_results(spark):
+    docs = awkward(spark)
+    assert "kept_key" in exact_dedup.exact_duplicates(docs.withColumnRenamed("doc_id", "kept"), key="kept").columns
+    assert mixing.mix(docs.withColumnRenamed("doc_id", "size"), key="size").select("size_key", "size").count() == docs.count()
+    found = quality_rules.apply_rules(docs.withColumnRenamed("doc_id", "n_words"), key="n_words")
+    assert found.select("n_words_key", "n_words", "kept").count() == docs.count()
