@@ -107,6 +107,16 @@ def a24_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return A.pages_to_markdown(bind.table(spark, sf, "pages")).select("page_id", "markdown")
 
 
+def a24_planted_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages about parts: headings, emphasis, links and lists as Markdown; scripts, styles, navigation, headers, asides and footers
+    go; where a page has a main part, it alone counts."""
+    p, odd = bind.table(spark, sf, "part"), F.col("p_partkey") % 2 == 1
+    head = F.lit("<html><head><title>T</title><style>a{}</style><script>var x=1;</script></head><body><nav><a href='/m'>menu</a></nav><header>top</header><aside>ad</aside>")
+    body = F.concat(F.lit("<h1>"), "p_brand", F.lit(" &amp; more</h1><p>All about <b>"), "p_name", F.lit('</b> and <a href="http://h/'), F.col("p_partkey").cast("string"), F.lit('">it</a>.</p><h2>Parts</h2><ul><li>one</li><li>'), "p_type", F.lit("</li></ul>"))
+    page = F.concat(head, F.when(odd, F.concat(F.lit("<p>outside</p><main>"), body, F.lit("</main>"))).otherwise(body), F.lit("<footer>foot</footer></body></html>"))
+    return A.pages_to_markdown(p.select(F.col("p_partkey").alias("page_id"), page.alias("html"))).select("page_id", "markdown")
+
+
 def a25_links(spark: SparkSession, sf: str) -> DataFrame:
     return A.links(bind.table(spark, sf, "pages"))
 
@@ -268,6 +278,7 @@ kinds as (select *, case when trim(c) = '' then 'empty' when try_cast(regexp_rep
 stats as (select doc_id, col, count(case when kind = 'number' then 1 end) as numbers, count(case when kind = 'text' then 1 end) as texts from kinds group by all)"""
 
 ORACLE_SQL = {
+    "a24_planted_pages": "select p_partkey as page_id, '# ' || p_brand || ' & more' || repeat(chr(10), 3) || 'All about **' || p_name || '** and [it](http://h/' || p_partkey || ').' || repeat(chr(10), 3) || '## Parts' || repeat(chr(10), 3) || '* one' || chr(10) || '* ' || p_type as markdown from part",
     "h9_header_rows": "select 'part' as doc_id, 'parts' as sheet, 0 as header_row union all select 'supplier', 'suppliers', 0",
     "g11_column_stats": f"with {GRID} select doc_id, col, numbers, texts, case when numbers > texts then 'number' else 'text' end as dtype, round(greatest(numbers, texts) / (numbers + texts), 4) as share from stats",
     "k1_classify": f"""with {GRID}, j as (select doc_id, string_agg(case when numbers > texts then 'number' else 'text' end, ',' order by col) as dtypes, min(case when greatest(numbers, texts) / (numbers + texts) < 0.8 then col end) as odd from stats group by doc_id)
