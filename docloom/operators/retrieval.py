@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions import text as X
 from docloom.functions import vectors as V
-from docloom.session import ship
+from docloom.session import checkpoint, ship
 
 K1, B, RRF = 1.2, 0.75, 60
 #: Rows of a group that is packed into a budget.
@@ -94,15 +94,15 @@ def _times(tokens_: Column, term: str) -> Column:
 def bm25(rows: DataFrame, query: str, k: int = 10, key: str = "id", text: str = "text") -> DataFrame:
     """The k rows that match best by BM25 (k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5))); ties by key.
 
-    Term frequencies are counted inside the row, so that nothing but matching rows leaves the scan; N and the mean
-    length come from one aggregate.
+    Term frequencies are counted inside the row. The texts are read once: a key, a length and a few counts of each row are written
+    (checkpointed), and both N, the mean length and document frequencies and the matching rows come from these.
     """
     terms = query_words(query)
     if not terms:
         return rows.select(key).withColumn("score", F.lit(0.0)).limit(0)
     words = tokens(F.col(text))  # the question's words of a row are picked once, then counted among few
     base = rows.select(F.col(key), F.size(words).alias("len"), F.filter(words, lambda w: w.isin(*terms)).alias("w"))
-    counts = base.select(key, "len", *[_times(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counts = checkpoint(base.select(key, "len", *[_times(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     facts = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counts.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(facts))  # facts is one row
     total = F.lit(0.0)
