@@ -57,6 +57,17 @@ def h13_chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("start_char").alias("last"), F.max(F.length("chunk")).alias("longest"))
 
 
+def j14_block_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks over blocks of documents about parts: a heading, a paragraph, a figure, a table in two fragments, and a path that
+    the reader gives."""
+    p = bind.table(spark, sf, "part")
+    none, path, cells = F.lit(None), F.array(F.lit("Annex"), "p_type"), F.array(*[F.array(F.lit(k), v) for k, v in (("K", F.lit("V")), ("a", F.col("p_size").cast("string")), ("b", F.lit("x")), ("c", F.col("p_name")))])
+    block = lambda page, body, kind, text, section=none, rows=none: F.struct(F.lit(page).cast("int").alias("page"), F.lit(body).alias("body_index"), F.lit(kind).alias("kind"), text.alias("text"), section.cast("array<string>").alias("section_path"), rows.cast("array<array<string>>").alias("rows"))
+    blocks = F.array(block(2, 4, "paragraph", F.concat(F.lit("kept "), "p_name"), path), block(1, 0, "heading", F.col("p_brand")), block(1, 1, "paragraph", F.concat("p_name", F.lit(" goes here."))), block(1, 2, "figure", F.lit("drawn")), block(1, 3, "table", none.cast("string"), none, cells))
+    got = chunking.block_chunks(p.select(F.col("p_partkey").alias("doc_id"), F.explode(blocks).alias("b")).select("doc_id", "b.*"), 400)
+    return got.select("doc_id", "chunk_index", "start_char", "section_id", "section_path", "page", "body_index", "locator", "chunk")
+
+
 def j16_sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of sheets, never cut, each chunk under the header row; here 5 rows fit."""
     p = bind.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).cast("string").alias("doc_id"), F.lit("s").alias("sheet"), (F.col("p_partkey") % 40 + 1).cast("int").alias("row_idx"), F.array(F.format_string("%08d", "p_partkey")).alias("cells"))
@@ -276,6 +287,10 @@ def c26_navigation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE_SQL = {
+    "j14_block_chunks": """with c as (select p_partkey as doc_id, unnest([0, 1, 2, 3]) as k, unnest([p_brand, p_brand, p_brand, 'Annex > ' || p_type]) as path, unnest([1, 1, 1, 2]) as page, unnest([1, 3, 3, 4]) as body,
+            unnest([p_name || ' goes here.', 'K | V' || chr(10) || 'a | ' || p_size || chr(10) || 'b | x', 'K | V' || chr(10) || 'c | ' || p_name, 'kept ' || p_name]) as chunk from part)
+        select doc_id, k::int as chunk_index, coalesce(sum(length(chunk)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::int as start_char, substr(sha256(path), 1, 16) as section_id, path as section_path,
+            page::int as page, body::int as body_index, 'page ' || page || ', body block ' || body || '; ' || path as locator, chunk from c""",
     "j5_column_names": "select p_partkey, concat_ws(',', regexp_replace(lower(p_brand), '[^0-9a-z]+', '_', 'g'), regexp_replace(lower(p_brand), '[^0-9a-z]+', '_', 'g') || '_1', 'col_2', 'col_3', 'c_' || p_size || '_x', 'gr_e') as names from part",
     "j16_sheet_chunks": """with r as (select p_partkey // 40 as d, p_partkey % 40 as i, p_partkey from part), n as (select *, row_number() over (partition by d order by i) - 1 as k from r)
         select d::varchar as doc_id, (k // 5)::int as chunk_index, 'Key' || chr(10) || string_agg(lpad(p_partkey::varchar, 8, '0'), chr(10) order by k) as chunk from n group by d, k // 5""",

@@ -297,3 +297,19 @@ def test_lines_of_sheared_letters(spark):
     schema = "doc_id int, page int, line_id int, place int, char string, text string, upright boolean, a double, b double, c double, d double, e double, advance double, size double"
     got = {r.line_id: r.text for r in scans.line_texts(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: "hot rod", 2: "hotrod", 3: "hotrod", 4: "ab"}
+
+
+# relations of texts
+
+
+def test_block_chunks_and_statements_take_nulls(spark):
+    from docloom.functions import chunking
+    from docloom.plans import sqlguard
+
+    schema = "doc_id int, page int, body_index int, kind string, text string, section_path array<string>, rows array<array<string>>"
+    rows = [(1, None, 0, "paragraph", None, None, None), (1, None, 1, "heading", " Top ", None, None), (1, None, 2, "table", None, None, [["h"]]), (1, None, 3, "table", None, None, []), (1, None, 4, "paragraph", "a\n# In\nb", [], None), (1, None, 5, "paragraph", "c", None, None), (2, 3, 0, "figure", "x", None, None)]
+    got = chunking.block_chunks(spark.createDataFrame(rows, schema), 400).orderBy("chunk_index").collect()
+    assert [(r.chunk, r.section_path, r.page, r.locator) for r in got] == [("h", "Top", None, "body block 2; Top"), ("a\n", "Top", None, "body block 4; Top"), ("# In\nb", "In", None, "body block 4; In"), ("c", "In", None, "body block 5; In")]
+    assert chunking.block_chunks(spark.createDataFrame([], schema), 400).count() == 0
+    said = sqlguard.examined(spark.createDataFrame([(1, None), (2, "select 1")], "i int, text string"), allowed=[]).orderBy("i").collect()
+    assert [(r.statement, r.ours, r.theirs) for r in said] == [("", False, False), ("select 1", True, True)]
