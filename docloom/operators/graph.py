@@ -116,20 +116,23 @@ def blocks(names: DataFrame) -> DataFrame:
     return told.select("node", "entity_type", F.explode(F.array_distinct(keys)).alias("k"))
 
 
-def merge_candidates(entities: DataFrame, most_difference: float = 0.7) -> DataFrame:
+def merge_candidates(entities: DataFrame, most_difference: float = 0.7, blocked: bool = True) -> DataFrame:
     """(keep, remove, outcome): pairs of one type whose names may be the same, keep < remove. `auto`: equal but for case and
     white space around them; `judge`: a judge has to say, see reconciled().
 
-    Pairs meet in blocks() instead of comparing all of a type. Nodes of one spelling are a class: pairs are between the least
-    nodes of two spellings, and name_classes() says who belongs to them, so that a common name gives no more pairs than a rare
-    one. Pairs whose lengths differ by over 70 % are left out.
+    Pairs meet in blocks(); without blocked each two spellings of a type meet, which is exact, and a square of a type's spellings.
+    Nodes of one spelling are a class: pairs are between the least nodes of two spellings, and name_classes() says who belongs
+    to them, so that a common name gives no more pairs than a rare one. Pairs whose lengths differ by over 70 % are left out.
     """
     e = name_classes(entities).filter("node = keep").select("node", "name", "entity_type")
-    keys = blocks(e)
-    x, y = keys.select(F.col("node").alias("keep"), "entity_type", "k"), keys.select(F.col("node").alias("remove"), "entity_type", "k")
-    met = x.join(y, ["entity_type", "k"]).filter("keep < remove").select("keep", "remove").distinct()
     names = [e.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"), "entity_type") for end in ("keep", "remove")]
-    both = met.join(names[0], "keep").join(names[1].drop("entity_type"), "remove")
+    if blocked:
+        keys = blocks(e)
+        x, y = keys.select(F.col("node").alias("keep"), "entity_type", "k"), keys.select(F.col("node").alias("remove"), "entity_type", "k")
+        met = x.join(y, ["entity_type", "k"]).filter("keep < remove").select("keep", "remove").distinct()
+        both = met.join(names[0], "keep").join(names[1].drop("entity_type"), "remove")
+    else:
+        both = names[0].join(names[1], "entity_type").filter("keep < remove")
     la, lb = F.length("keep_name"), F.length("remove_name")
     near = both.filter(F.abs(la - lb) <= most_difference * F.greatest(la, lb))
     return near.select("keep", "remove", "keep_name", "remove_name", "entity_type", F.when(_same(F.col("keep_name"), F.col("remove_name")), "auto").otherwise("judge").alias("outcome"))

@@ -181,10 +181,19 @@ def _spelled(brand: Column) -> Column:
     return F.when(k == 0, loose("-")).when(k == 1, loose(" ")).when(k == 2, F.upper(loose(" "))).otherwise(F.lower(loose(".")))
 
 
+def _brands(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as entities that bear a spelling of their brand."""
+    return bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), _spelled(F.col("p_brand")).alias("name"), F.col("p_type").alias("entity_type"))
+
+
 def m6_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of spellings that are equal but for case and white space around them, each by its least node."""
-    p = bind.table(spark, sf, "part").select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("node"), _spelled(F.col("p_brand")).alias("name"), F.col("p_type").alias("entity_type"))
-    return M.merge_candidates(p).filter("outcome = 'auto'").select("keep", "remove", "outcome")
+    """All pairs of a type's spellings within the limit of length, each by its least node: merged at once, or for a judge."""
+    return M.merge_candidates(_brands(spark, sf), blocked=False).select("keep", "remove", "outcome")
+
+
+def m6_name_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: which of these least nodes stands for a node."""
+    return M.name_classes(_brands(spark, sf)).select("node", "keep")
 
 
 def _firms(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,8 +350,11 @@ ORACLE_SQL = {
     "m5_merged": f"with {bind.EDGES}, k as (select case when source in ('n1', 'n2', 'n3') then 'n0' else source end as source, case when target in ('n1', 'n2', 'n3') then 'n0' else target end as target, relation_type from edges where relation_type != 'placed_by') select distinct * from k where source != target",
     "m9_view": f"with {bind.EDGES}, {bind.ENTITIES}, c as (select node, count(*) as n from (select target as node from edges union all select source from edges) group by 1) select e.*, coalesce(n, 0) as n_mentions, least(60, greatest(20, 20 + 5 * coalesce(n, 0)))::bigint as size from entities e left join c using (node)",
     "m2_c22_induced": f"with {bind.EDGES} select source, target, relation_type from edges where relation_type = 'part_of'",
-    "m6_merge_candidates": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case p_partkey % 4 when 0 then replace(p_brand, '#', '-') when 1 then replace(p_brand, '#', ' ') when 2 then upper(replace(p_brand, '#', ' ')) else lower(replace(p_brand, '#', '.')) end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t)
-        select a.node as keep, b.node as remove, 'auto' as outcome from c a join c b on lower(trim(a.name)) = lower(trim(b.name)) and a.t = b.t and a.node < b.node""",
+    "m6_merge_candidates": r"""with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case p_partkey % 4 when 0 then replace(p_brand, '#', '-') when 1 then replace(p_brand, '#', ' ') when 2 then upper(replace(p_brand, '#', ' ')) else lower(replace(p_brand, '#', '.')) end as name, p_type as t from part), c as (select min(node) as node, name, t from p group by name, t),
+        b as (select *, length(name) as l, lower(regexp_replace(name, '^\s+|\s+$', '', 'g')) as k from c)
+        select x.node as keep, y.node as remove, case when x.k = y.k then 'auto' else 'judge' end as outcome from b x join b y on x.t = y.t and x.node < y.node and abs(x.l - y.l) <= 0.7::double * greatest(x.l, y.l)""",
+    "m6_name_classes": """with p as (select 'p' || lpad(p_partkey::varchar, 8, '0') as node, case p_partkey % 4 when 0 then replace(p_brand, '#', '-') when 1 then replace(p_brand, '#', ' ') when 2 then upper(replace(p_brand, '#', ' ')) else lower(replace(p_brand, '#', '.')) end as name, p_type as t from part)
+        select node, min(node) over (partition by name, t) as keep from p where name is not null and t is not null""",
     "m6_judged": r"""with m as (select lpad(s_suppkey::varchar, 6, '0') as s, (s_suppkey % 5)::varchar as t, translate(md5(s_suppkey::varchar), '0123456789', 'ghijklmnop') as k from supplier),
         f as (select s, t, form, case form when 0 then 's' || k[1:9] when 1 then 'S' || k[1:9] || ' Ltd' when 3 then upper(k[1] || k[6] || k[11] || k[16]) when 4 then '  S' || k[1:9] || ' ltd '
             else list_aggregate(list_transform(range(4), lambda i: upper(k[5 * i + 1]) || k[5 * i + 2]), 'string_agg', ' ') end as name, s || '-' || form as node from m, (select unnest(range(5)) as form)),

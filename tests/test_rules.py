@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import editions, evidence, graph, linkage, scans, views
+from docloom.queries import QUERIES
 from docloom.streaming import citations
 
 
@@ -245,6 +246,20 @@ def test_reconciliation_against_all_pairs(spark, monkeypatch):
     assert again == set(got) - {(r.keep, r.remove) for r in before.collect()}
 
 
+def test_all_candidates_of_a_type(spark, tmp_path):
+    """Without blocks each two spellings of a type meet, those with nothing in common too; the query takes them all, for a judge or not."""
+    rows = [("n1", " Acme", "org"), ("n2", "acme\t", "org"), ("n3", "Zyx 9", "org"), ("n4", "Zyx 9", "org"), ("n5", "--", "org"), ("n6", "Acme", "person"), ("n7", "x" * 40, "org"), ("n8", None, "org")]
+    df = spark.createDataFrame(rows, "node string, name string, entity_type string")
+    got = {(r.keep, r.remove): r.outcome for r in graph.merge_candidates(df, blocked=False).collect()}
+    assert got == {("n1", "n2"): "auto", ("n1", "n3"): "judge", ("n2", "n3"): "judge", ("n1", "n5"): "judge", ("n2", "n5"): "judge", ("n3", "n5"): "judge"}
+    assert {(r.node, r.keep) for r in graph.name_classes(df).collect() if r.node != r.keep} == {("n4", "n3")}
+    parts = [(k, "Acme#1" if k < 8 else "Other", "T") for k in range(12)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    kinds = [r.outcome for r in QUERIES["m6_merge_candidates"](spark, str(tmp_path)).collect()]
+    # Acme-1, Acme 1, ACME 1, acme.1; Other (twice), OTHER, other
+    assert sorted(kinds) == ["auto"] * 4 + ["judge"] * 17
+
+
 # recognised pages
 
 
