@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import chunking, text as X, vectors as V
 from docloom.operators import access, aggregates, editions, evidence, graph, models, retrieval as R, sets, tabular
 from docloom.plans import sqlguard
+from docloom.queries import sqlsurface
 from docloom.sources import readers
 from docloom.streaming import jobs
 
@@ -345,6 +346,14 @@ def test_graph_walks(spark):
     assert {(r.source, r.target) for r in graph.merged(e, mapping).collect()} == {("a", "c"), ("c", "a"), ("c", "d")}
 
 
+def test_theta_join_is_whole(spark, tmp_path):
+    """Pairs of a nation, however far apart their keys are and whichever is larger."""
+    for t in sqlsurface.TABLES:
+        spark.createDataFrame([(1, 1, 5.0), (2, 1, 9.0), (900, 1, 7.0), (901, 2, 8.0), (902, 1, 5.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {(r.lo, r.hi) for r in sqlsurface.QUERIES["n_theta_join"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (1, 900), (900, 2), (902, 2), (902, 900)}
+
+
 def test_sets(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
     assert sorted(r.v for r in sets.replace_document(t, t.limit(0), "k", 1).collect()) == ["b", "c"]
