@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from docloom.llm._common import map_texts, prepare, worker_cache
 
 #: Entries of the memos of pieces and of neighbours in a worker; a full memo starts again.
-PIECES, NEIGHBOURS = 1 << 17, 1 << 18
+PIECES, NEIGHBOURS = 1 << 19, 1 << 18
 #: Characters of a text that are taken at a time.
 LONG = 1 << 20
 #: Safe cuts, and parts that lie between two of them.
@@ -91,20 +91,30 @@ class Codec:
                     if left == limit:
                         return True
 
+    def _ahead(self, image: str, start: int, longest: list[int]) -> int:
+        """The longest token at start. Those behind it are filled in as well, up to a place where one is known: each place once."""
+        at = start
+        for end, (back, rank) in self.automaton.iter_long(image, start):
+            if end - back != at:
+                raise ValueError("the vocabulary lacks a byte")
+            if longest[at] >= 0:
+                return longest[start]
+            longest[at] = rank
+            at = end + 1
+        if at != len(image):
+            raise ValueError("the vocabulary lacks a byte")
+        return longest[start]
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.ranks.get(data)
         if whole is not None:  # as the library does
             return (whole,)
-        n, size, shorter, memo = len(data), self.size, self.shorter, self.fits_memo
-        longest = [-1] * n  # matches come by their ends, so that the last one for a start is the longest
-        for end, (back, rank) in self.automaton.iter(data.decode("latin-1")):
-            longest[end - back] = rank
-        if -1 in longest:
-            raise ValueError("the vocabulary lacks a byte")
+        n, size, shorter, memo, image = len(data), self.size, self.shorter, self.fits_memo, data.decode("latin-1")
+        longest = [-1] * n  # filled where the walk comes by
         dead: set[int] = set()  # places from which the end can't be reached
         out: list[int] = []
-        at, last, token = 0, -1, longest[0]
+        at, last, token = 0, -1, self._ahead(image, 0, longest)
         while True:
             after = at + size[token]
             if after not in dead:
@@ -122,6 +132,8 @@ class Codec:
                     if after == n:
                         return tuple(out)
                     at, last, token = after, token, longest[after]
+                    if token < 0:
+                        token = self._ahead(image, at, longest)
                     continue
             token = shorter[token]
             if token < 0:
@@ -155,21 +167,20 @@ class Codec:
         got = list(map(known.get, parts))
         if first:
             got[0] = None
-        if None in got:
-            for k, part in enumerate(parts):
-                if got[k] is None:
-                    ids = older.get(part)
-                    if k == 0 and first or ids is None:
-                        if not EDGES.fullmatch(part):
-                            parts = CUT.split(text)
-                            return [self._segment(x if first and not k else " " + x) for k, x in enumerate(parts)]
-                        ids = self._segment(part if k == 0 and first else " " + part)
-                    if len(part) < 64 and not (k == 0 and first):
-                        if len(known) >= PIECES:  # what was seen since the last time stays at hand
-                            self.older, self.known = known, {}
-                            known, older = self.known, self.older
-                        known[part] = ids
-                    got[k] = ids
+        for k in [k for k, ids in enumerate(got) if ids is None]:
+            part = parts[k]
+            ids = older.get(part)
+            if k == 0 and first or ids is None:
+                if not ("!" <= part[:1] <= "~" and "!" <= part[-1:] <= "~" or EDGES.fullmatch(part)):
+                    parts = CUT.split(text)
+                    return [self._segment(x if first and not k else " " + x) for k, x in enumerate(parts)]
+                ids = self._segment(part if k == 0 and first else " " + part)
+            if len(part) < 64 and not (k == 0 and first):
+                if len(known) >= PIECES:  # what was seen since the last time stays at hand
+                    self.older, self.known = known, {}
+                    known, older = self.known, self.older
+                known[part] = ids
+            got[k] = ids
         return got
 
     def encode(self, data: bytes | None) -> array:

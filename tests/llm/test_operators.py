@@ -429,6 +429,24 @@ def test_bpe_with_another_vocabulary():
         assert list(codec.encode(s.encode())) == library.encode_ordinary(s), s
 
 
+def test_bpe_longest_tokens_where_they_are_asked_for(multi):
+    """Longest tokens are found from any place on, each place once; the end of a piece never makes all matches be listed."""
+    codec = bpe.Codec(multi[0], public_tokenizers.PATTERN)
+    tokens = {codec.bytes_of[r] for r in codec.parts}
+    random.seed(7)
+    for _ in range(300):
+        data = "".join(random.choice(["tion", "th", "é", "の", " ", "x", "ing", "\n", "0"]) for _ in range(random.randint(1, 12))).encode()
+        image, longest = data.decode("latin-1"), [-1] * len(data)
+        for at in random.sample(range(len(data)), len(data)):
+            want = next(k for k in range(len(data), 0, -1) if data[at : at + k] in tokens)
+            assert codec.bytes_of[longest[at] if longest[at] >= 0 else codec._ahead(image, at, longest)] == data[at : at + want]
+        assert -1 not in longest
+    toy = bpe.Codec({b"a": 0, b"b": 1}, r"[\s\S]+")
+    for lacking in ("abc", "cab", "acb"):
+        with pytest.raises(ValueError):
+            toy.encode_piece(lacking)
+
+
 def test_bpe_documents(spark, multi):
     ranks, library = multi
     tokens = bpe.encode(awkward(spark), ranks, public_tokenizers.PATTERN)
