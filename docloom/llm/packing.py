@@ -14,19 +14,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm._common import TEXT, _pieces, prepare, scratch, worker_cache
-from docloom.llm.segments import ByteLevel, Segments
+from docloom.llm.segments import BLANKS, LONG, ByteLevel, Segments
 
 #: Tokens of a sequence, the id behind each document, pieces of a shard, and BM25's parameters.
 WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
 
-#: Segments that a worker remembers: their ids are short.
-SEGMENTS = 1 << 19
+#: Segments that are encoded as one text, and that a worker remembers of odd texts: those with white space beside a space or a
+#: line feed, or at an end.
+RUN, SEGMENTS = 1 << 16, 1 << 19
+_BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in sorted(BLANKS))
+ODD = f"(?:\\A|[ \n])(?:[{_BLANK}]|\\z)|[{_BLANK}](?:[ \n]|\\z)"
 WHOLE, PIECE, FREQUENCY = 0, 1, 2
 
 
@@ -38,7 +42,11 @@ def load(spark: SparkSession, path: str, pattern: str) -> tuple[str, str]:
 
 
 class Tokens:
-    """Ids of whole texts as little-endian 32-bit numbers; a vocabulary's special tokens in a text are found as the library does."""
+    """Ids of whole texts as little-endian 32-bit numbers; a vocabulary's special tokens in a text are found as the library does.
+
+    The texts of a batch are cut at single spaces and line feeds (safe cuts, see segments) in Arrow; each distinct part of a batch is
+    encoded once, however often it stands there. Odd texts and long ones go by Segments.
+    """
 
     def __init__(self, tokenizer: tuple[str, str]):
         self.tokenizer = ByteLevel(*tokenizer, special=True)
@@ -50,10 +58,34 @@ class Tokens:
         data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.segments.look(texts)
-        value = self.segments.values.__getitem__
-        return [b"".join(map(value, f)) for f in found]
+    def ids(self, texts: pa.StringArray) -> list[bytes]:
+        """texts: none is null."""
+        if not len(texts):
+            return []
+        self.segments.trim()
+        other = pc.or_(pc.match_substring_regex(texts, ODD), pc.greater(pc.binary_length(texts), LONG))
+        parts = pc.split_pattern(pc.replace_substring(pc.if_else(other, "", texts), "\n", " \n"), " ")
+        starts, coded = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        names, places = coded.dictionary, np.array(coded.indices)
+        bare = pc.or_(pc.equal(names, ""), pc.starts_with(names, "\n"))
+        segments = pc.if_else(bare, names, pc.binary_join_element_wise("", names, " "))
+        first = parts.values.take(pa.array(starts[:-1]))  # no space before these
+        alone = pa.array([array("I", self.tokenizer.ids(x)).tobytes() for x in first.to_pylist()], pa.binary())
+        places[starts[:-1]] = np.arange(len(names), len(names) + len(first))
+        values = pa.concat_arrays([*self._joined(segments), alone]).take(pa.array(places))
+        data, ends = (values.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(values.buffers()[1], np.int32)[starts].tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for k, found in zip(np.flatnonzero(other).tolist(), self.segments.look(texts.filter(other).to_pylist()), strict=True):
+            out[k] = b"".join(map(self.segments.values.__getitem__, found))
+        return out
+
+    def _joined(self, segments: pa.StringArray) -> Iterator[pa.BinaryArray]:
+        """Ids of segments that can stand behind each other, a run of them as one text."""
+        for at in range(0, len(segments), RUN):
+            run = segments.slice(at, RUN)
+            ids = np.array(self.tokenizer.ids("".join(run.to_numpy(zero_copy_only=False))), "<u4")
+            ends = np.searchsorted(np.cumsum(self.tokenizer.sizes[ids]), np.cumsum(pc.binary_length(run)), side="right")
+            yield pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(ids)])
 
 
 class Index:
@@ -130,6 +162,14 @@ def _powers(made: list[tuple[int, int, int]], total: int) -> Iterator[list[tuple
             yield run
 
 
+def _strings(texts: pa.BinaryArray) -> pa.StringArray:
+    """Texts from their bytes: null is empty, and bytes that aren't UTF-8 are U+FFFD."""
+    try:
+        return texts.fill_null(b"").cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([(x or b"").decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+
+
 def pieces(docs: DataFrame, tokenizer: tuple[str, str], text: str, keep: list[str], window: int, end: int) -> DataFrame:
     """A table in the shared folder. kind WHOLE: a document's whole windows, with their sequence; PIECE: what is left of it, with
     its rarest id by the vocabulary's order (later merges are rarer) as sign; FREQUENCY: how many documents (n) of a task have
@@ -153,21 +193,18 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str], text: str, keep: list[st
         if name not in cache:
             cache[name] = Tokens(shared.value)
         tokens = cache[name]
-        frequency, has, n_docs, row = np.zeros(tokens.size, np.int32), np.zeros(tokens.size, np.int32), 0, TaskContext.get().partitionId() << 32
+        frequency, n_docs, row = np.zeros(tokens.size, np.int32), 0, TaskContext.get().partitionId() << 32
 
         def table(columns: dict, n: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in whole], schema=whole)
 
         for big in batches:
             for batch in _pieces(big):
-                tokens.segments.trim()
                 owner, own = [], {c: [] for c, _ in own_names}
-                for k, ids in enumerate(tokens.ids([(x or b"").decode("utf-8", "replace") for x in batch.column(n_kept).to_pylist()])):
+                for k, ids in enumerate(tokens.ids(_strings(batch.column(n_kept)))):
                     ids += mark
                     size, every = len(ids) // 4, np.frombuffer(ids, "<u4")
-                    has[every] = 1
-                    frequency += has
-                    has[every] = 0
+                    frequency[every] += 1  # once for an id, however often it is in every
                     n_docs += 1
                     for at in range(0, size, window):
                         whole_window = size - at >= window

@@ -205,6 +205,27 @@ def test_packing_query(spark, sf):
     assert short == {(r.doc_id, r.start): (r.length, zlib.crc32(r.ids), r.sequence_id, r.offset) for r in rows}
 
 
+def test_tokens_of_plain_texts_are_looked_up_once_a_batch(monkeypatch):
+    """Words are cut and counted in Arrow; text by text goes only what has blanks in odd places, or is long."""
+    random.seed(9)
+    words = ["the", "naïve", "Straße", "日本語", "🙂", "42", "!!!", "don't", "x<|endoftext|>y", "<|endoftext|>", "\x00", "a\tb", "e\u0301", "it\u00a0is", "z" * 70]
+    plain = ["".join(random.choice(words) + random.choice("  \n") for _ in range(random.randint(0, 60))) + random.choice(words) for _ in range(200)]
+    blanks = [" ", "  ", "\n", "\n\n", " \n", "\n ", "\t", " \t", "\r\n", "\u00a0", " \u3000", "\u200b ", "\ufeff", "\u180e", "\x85", "\x1c "]
+    odd = ["", *blanks, *(f"{b}one two" for b in blanks), *(f"one two{b}" for b in blanks), *(f"one{b}two{b}  three" for b in blanks), "word " * 300 + "end"]
+    monkeypatch.setattr(packing, "LONG", 1400)
+    monkeypatch.setattr(packing, "RUN", 7)
+    plain = [t for t in plain if len(t.encode()) <= 1400]
+    walked, walk = [], packing.Segments._places
+    monkeypatch.setattr(packing.Segments, "_places", lambda self, text, first: walked.append(text) or walk(self, text, first))
+    tokens, tokenizer = packing.Tokens(packing.load(None, BYTE_LEVEL, public_tokenizers.PATTERN)), plain_tokenizer(True)
+    want = {t: tokenizer.encode(t, add_special_tokens=False).ids for t in plain + odd}
+    for texts in (plain, odd, plain[:20] + odd + plain[20:], [""], ["", ""], []):
+        got = tokens.ids(packing._strings(pa.array([t.encode() for t in texts], pa.binary())))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want[t] for t in texts]
+        assert len(plain) > 150 and set(walked) <= set(odd)
+    assert packing._strings(pa.array([b"a\xffb", None, b"\xed\xa0\x80"], pa.binary())).to_pylist() == ["a\ufffdb", "", "\ufffd\ufffd\ufffd"]
+
+
 def test_index_scores_are_bm25():
     random.seed(5)
     pieces = [np.array([random.randrange(12) for _ in range(random.randint(1, 30))], np.uint32) for _ in range(40)]
