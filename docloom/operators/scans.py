@@ -148,11 +148,14 @@ def _plain(text: Column) -> Column:
 
 
 def _stands(token: Column, text: Column) -> Column:
-    """Whether a text has the token: as it is, without other signs, or all its longer words."""
+    """Whether a text has the token: as it is, without other signs, or all its longer words. An address, which is a token without
+    letters, has to stand there number by number: its digits in a row may be part of another number or name."""
     squeezed = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+    apart = lambda x: F.concat(F.lit(" "), _plain(x), F.lit(" "))
+    bare = F.when(F.lower(token).rlike("[a-z]"), F.contains(squeezed(text), squeezed(token))).otherwise(F.contains(apart(text), apart(token)))
     words = F.filter(F.split(_plain(token), " "), lambda w: F.length(w) > 2)
     has = F.split(_plain(text), " ")
-    return _any([F.contains(F.lower(text), F.trim(F.lower(token))), F.contains(squeezed(text), squeezed(token)), (F.size(words) > 0) & (F.size(F.array_except(words, has)) == 0)])
+    return _any([F.contains(F.lower(text), F.trim(F.lower(token))), bare, (F.size(words) > 0) & (F.size(F.array_except(words, has)) == 0)])
 
 
 def _near(candidates: pd.Series, text: pd.Series) -> pd.Series:

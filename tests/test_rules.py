@@ -279,6 +279,13 @@ def test_kept_tokens(spark):
     assert merged("[Figure]\nx\n[/Figure]", ["VRF"]) == "[Figure]\nx\nAlso visible (OCR identifiers not in description):\n- VRF\n[/Figure]" and merged("x", []) == "x"
 
 
+def test_addresses_stand_number_by_number(spark):
+    """The digits of an address in a host's number are no address; other signs between its numbers are."""
+    rows = [(1, "10.0.5.7/24 by bgp", "BGP at https://h1005724.example.com/x"), (2, "10.0.5.7/24", "net 10-0-5-7 / 24"), (3, "10.0.5.7", "rack 10 057"), (4, "SD-WAN", "an SDWAN")]
+    got = scans.kept_tokens(spark.createDataFrame(rows, "i int, text string, description string")).orderBy("i").collect()
+    assert [r.kept for r in got] == [["10.0.5.7/24"], [], ["10.0.5.7"], []]
+
+
 def test_box_regions_against_all_pairs(spark):
     rng = random.Random(5)
     boxes = [(d, 1, f"b{i:03d}", x := rng.uniform(0, 400), y := rng.uniform(0, 400), x + rng.uniform(1, 150), y + rng.uniform(1, 30), f"w{i}") for d in (1, 2) for i in range(40)]
