@@ -20,8 +20,8 @@ SHEET = ("doc_id", "sheet")
 SCAN, LEAST_FILLED, MOST_NUMERIC, LEAST_CELLS, LEAST_ROWS, RECTANGULAR, CONSISTENT = 10, 0.6, 0.3, 2, 3, 0.8, 0.8
 
 
-#: Rows of a sheet at most: the limit of the file format.
-SHEET_ROWS = 1 << 20
+#: Numbers of rows of a sheet that one step of regions() walks.
+BLOCK = 1 << 13
 
 
 def kinds(cells: Column) -> Column:
@@ -146,42 +146,93 @@ def _kind(cell: str | None) -> str:
     return "number"
 
 
-def consistent_run(rows: Sequence[Sequence[str | None]], header: int) -> int:
-    """End of the run of data rows beneath a header: rows join while they have two filled cells, aren't wider than the
-    header, and leave every column of one kind to four fifths."""
-    width = len(rows[header])
-    tally = [[0, 0] for _ in range(width)]
-    for end in range(header + 1, len(rows)):
-        k = [_kind(c) for c in rows[end]]
-        if len(k) > width or len(k) - k.count("empty") <= 1:
-            return end
-        now = [[n + (x == "number"), t + (x == "text")] for (n, t), x in zip(tally, k + ["empty"] * (width - len(k)), strict=True)]
-        if any(max(c) < CONSISTENT * sum(c) for c in now):
-            return end
-        tally = now
-    return len(rows)
-
-
-def regions(grid: DataFrame) -> DataFrame:
-    """H8, K5: header_row and end (exclusive) of each sheet's longest consistent run of at least three rows, the first of
-    equals. Whether a row joins hangs on all before it, so a sheet is walked in Python; file formats bound its rows."""
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > SHEET_ROWS:
-            raise ValueError(f"a sheet of {len(frame)} rows is none")
+def consistent_run(kinds: Sequence[Sequence[str]], start: int, numbers: list[int], texts: list[int]) -> int | None:
+    """Place of the row, from start on, that ends a run of data rows; None if none does. Rows join while they have two filled
+    cells, aren't wider than the header, and leave every column of one kind to four fifths.
+
+    kinds: of the rows' cells; numbers, texts: of each column of the header in the run so far, counted on here.
+    """
+    for at in range(start, len(kinds)):
+        k = kinds[at]
+        if len(k) > len(numbers) or len(k) - k.count("empty") <= 1:
+            return at
+        for i, x in enumerate(k):
+            numbers[i] += x == "number"
+            texts[i] += x == "text"
+            if max(numbers[i], texts[i]) < CONSISTENT * (numbers[i] + texts[i]):
+                return at
+    return None
+
+
+def _kinds(frame: pd.DataFrame) -> list[list[str]]:
+    return [[_kind(c) for c in row] for row in frame["cells"]]
+
+
+def _tally(kinds: Sequence[Sequence[str]], value: str) -> list[int]:
+    """How many cells of each column are of a kind."""
+    out = [0] * max(map(len, kinds), default=0)
+    for row in kinds:
+        for i, x in enumerate(row):
+            out[i] += x == value
+    return out
+
+
+def regions(grid: DataFrame, block: int = BLOCK) -> DataFrame:
+    """H8, K5: header_row and end (exclusive) of each sheet's longest consistent run of at least three rows, the first of equals.
+
+    A row joins by what all rows before it add up to. So blocks of row numbers are counted, a sheet's counts added up to what
+    stands before each block, and blocks walked on from there, each by itself: a sheet may have any number of rows, and one
+    group holds a block of it, or a row of counts for each block.
+    """
+    place = F.coalesce(F.floor(F.col("row_idx") / block), F.lit((1 << 63) - 1))
+    rows = grid.select(*[F.col(c).cast("string").alias(c) for c in SHEET], place.alias("block"), "row_idx", "cells")
+    sheet = "doc_id string, sheet string"
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of a block: its number of rows, its columns' numbers and texts, and its first rows."""
         frame = frame.sort_values("row_idx")
-        rows = [list(c) for c in frame["cells"]]
-        best = (0, -1, -1)
-        for h in range(min(len(rows) - 1, SCAN)):
-            if looks_like_header(rows[h]):
-                end = consistent_run(rows, h)
-                if end - h - 1 >= LEAST_ROWS and end - h - 1 > best[0]:
-                    best = (end - h - 1, h, end)
-        found = [] if best[1] < 0 else [(frame["doc_id"].iloc[0], frame["sheet"].iloc[0], best[1], best[2])]
-        return pd.DataFrame(found, columns=["doc_id", "sheet", "header_row", "end_row"])
+        k = _kinds(frame)
+        return frame.iloc[:1][[*SHEET, "block"]].assign(n=len(k), numbers=[_tally(k, "number")], texts=[_tally(k, "text")], first=[[list(c) for c in frame["cells"].iloc[:SCAN]]])
+
+    def begun(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of a sheet's blocks, for each header among its first rows: what its run has counted before the block."""
+        frame = frame.sort_values("block")
+        first = [list(row) for some in frame["first"].iloc[:SCAN] for row in some][:SCAN]
+        n_rows = int(frame["n"].sum())
+        out = []
+        for h in range(min(n_rows - 1, len(first))):
+            if not looks_like_header(first[h]):
+                continue
+            above = [[_kind(c) for c in row] for row in first[: h + 1]]
+            held = {x: [-c for c in (_tally(above, v) + [0] * len(first[h]))[: len(first[h])]] for x, v in (("numbers", "number"), ("texts", "text"))}
+            before = 0
+            for b in frame.itertuples(index=False):
+                if before + b.n > h + 1:
+                    inside = before <= h
+                    out.append((b.doc_id, b.sheet, b.block, n_rows, h, before, *[[0] * len(x) if inside else list(x) for x in held.values()]))
+                for x, more in (("numbers", b.numbers), ("texts", b.texts)):
+                    held[x] = [c + d for c, d in zip(held[x], [*map(int, more), *[0] * len(held[x])])]  # columns behind the header's end a run
+                before += b.n
+        return pd.DataFrame(out, columns=[*SHEET, "block", "n_rows", "header_row", "before", "numbers", "texts"])
+
+    def walked(frame: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        """Of a block, for each header: where its run ends, if it does so there."""
+        k = _kinds(frame.sort_values("row_idx")) if len(heads) else []
+        out = []
+        for x in heads.itertuples(index=False):
+            end = consistent_run(k, max(0, x.header_row + 1 - x.before), list(map(int, x.numbers)), list(map(int, x.texts)))
+            out.append((x.doc_id, x.sheet, x.header_row, x.n_rows if end is None else x.before + end))
+        return pd.DataFrame(out, columns=[*SHEET, "header_row", "end_row"])
 
     ship(grid.sparkSession)
-    return grid.groupBy(*SHEET).applyInPandas(walk, "doc_id string, sheet string, header_row int, end_row int")
+    by = [*SHEET, "block"]
+    counts = rows.groupBy(*by).applyInPandas(counted, f"{sheet}, block long, n long, numbers array<long>, texts array<long>, first array<array<string>>")
+    heads = counts.groupBy(*SHEET).applyInPandas(begun, f"{sheet}, block long, n_rows long, header_row int, before long, numbers array<long>, texts array<long>")
+    ends = rows.groupBy(*by).cogroup(heads.groupBy(*by)).applyInPandas(walked, f"{sheet}, header_row int, end_row int")
+    runs = ends.groupBy(*SHEET, "header_row").agg(F.min("end_row").alias("end_row"))
+    size = F.col("end_row") - F.col("header_row") - 1
+    best = runs.filter(size >= LEAST_ROWS).groupBy(*SHEET).agg(F.max(F.struct(size.alias("n"), (-F.col("header_row")).alias("h"), "end_row")).alias("b"))
+    return best.select(*SHEET, (-F.col("b.h")).alias("header_row"), "b.end_row")
 
 
 def resolve_hints(hints: DataFrame) -> DataFrame:

@@ -187,6 +187,37 @@ def test_regions(spark):
     assert tabular.regions(sheet(spark, [["only", "text"], ["x", "y"]])).count() == 0
 
 
+def test_regions_of_any_number_of_rows(spark):
+    """More rows than a file format's sheet has; and small blocks against one walk over the sheet."""
+    n = (1 << 20) + 5
+    long = spark.range(n).select(F.lit("d").alias("doc_id"), F.lit("s").alias("sheet"), F.col("id").cast("int").alias("row_idx"), F.when(F.col("id") == 0, F.array(F.lit("k"), F.lit("v"))).otherwise(F.array(F.lit("x"), F.col("id").cast("string"))).alias("cells"))
+    assert [tuple(r) for r in tabular.regions(long).collect()] == [("d", "s", 0, n)]
+
+    def plain(rows):
+        best = (0, -1, -1)
+        for h in range(min(len(rows) - 1, tabular.SCAN)):
+            if tabular.looks_like_header(rows[h]):
+                end, tally = len(rows), [[0, 0] for _ in rows[h]]
+                for at in range(h + 1, len(rows)):
+                    k = [tabular._kind(c) for c in rows[at]]
+                    tally = [[t[0] + (x == "number"), t[1] + (x == "text")] for t, x in zip(tally, k + ["empty"] * len(tally))]
+                    if len(k) > len(tally) or len(k) - k.count("empty") <= 1 or any(max(t) < tabular.CONSISTENT * sum(t) for t in tally):
+                        end = at
+                        break
+                best = max(best, (end - h - 1, -h, end)) if end - h - 1 >= tabular.LEAST_ROWS else best
+        return () if best[2] < 0 else (-best[1], best[2])
+
+    rng, want, made = random.Random(9), {}, []
+    for d in range(30):
+        cell = lambda c: rng.choice([None, "", "t", "7"]) if rng.random() < 0.12 else ["t", "7", "t"][c % 3]
+        rows = [["a", "b", "c"][: rng.choice([2, 3, 3])] if rng.random() < 0.1 else [cell(c) for c in range(rng.choice([2, 3, 3, 3]))] for _ in range(rng.randint(1, 40))]
+        want[str(d)] = plain(rows)
+        made += [(str(d), "s", 3 * i, r) for i, r in enumerate(rows)]
+    odd = spark.createDataFrame(made, "doc_id string, sheet string, row_idx int, cells array<string>")
+    for block in (1, 7, 40):
+        assert {r.doc_id: (r.header_row, r.end_row) for r in tabular.regions(odd, block).collect()} == {d: w for d, w in want.items() if w}
+
+
 def test_stitch_and_normalise(spark):
     grids = spark.createDataFrame([("d", "s", g, r, c) for g, h in enumerate(["H", "H", "K"]) for r, c in enumerate([[h], [f"v{g}"]])], "doc_id string, sheet string, grid_no int, row_idx int, cells array<string>")
     assert sorted((r.island, r.cells[0]) for r in tabular.stitch(grids).collect()) == [(1, "H"), (1, "v0"), (1, "v1"), (2, "K"), (2, "v2")]
