@@ -68,6 +68,64 @@ def test_alike_titles_meet(spark):
     assert len(alike) > 100 and not [(ids[a], ids[b]) for a, b in alike if not keys[a] & keys[b]]
 
 
+@pytest.mark.parametrize("side", [5, linkage.SIDE if hasattr(linkage, "SIDE") else 0])
+def test_near_titles(spark, side, monkeypatch):
+    """Every pair with a likeness of 0.8 is there once, however titles are laid out and their characters counted; random letters give next to none."""
+    rng = random.Random(8)
+    some = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 30))) for _ in range(25)] + ["ÄÖ\U0001f600 title", "aa " * 80]
+    titles = {*some, *(t + "s" for t in some), *(t[:-1] + "x" for t in some), *(t[3:] for t in some)} - {""}
+    monkeypatch.setattr(linkage, "AT_ONCE", 7)
+    got = [tuple(r) for r in linkage.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), side).collect()]
+    alike = {(a, b) for a, b in itertools.combinations(sorted(titles), 2) if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.8}
+    assert len(alike) > 30 and len(got) == len({*got}) and alike <= {*got}
+    far = ["".join(rng.choice("ghijklmnopabcdef") for _ in range(32)) for _ in range(60)]
+    assert len(linkage._near(sorted(far), sorted(far), True)) <= 2
+
+
+def _manuals(spark, rows):
+    """(doc_id, text) as documents with identity, and their distinct ones."""
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("filename", F.concat("doc_id", F.lit(".txt"))).withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+    return editions.identity(docs)
+
+
+def test_one_title_of_many_products(spark):
+    """Manuals of one title whose numbers and products differ don't meet; one that lacks a product, or supersedes another, does."""
+    rows = [(f"d{i:03d}", f"# Manual\nDocument ID: M-{i}\nProduct: P{i}\n") for i in range(100)]
+    profiles = editions._profiles(_manuals(spark, rows))[0]
+    assert editions.compared(profiles).count() == 0
+    rows = [("a", "# Manual\nProduct: P\n"), ("b", "# Manual\n"), ("c", "# Manual\nDocument ID: M 7\n"), ("d", "# Manual\nDocument ID: X\nSupersedes: m 7 of old\n"), ("e", "# Manual\nProduct: Q\n")]
+    got = {(r.a, r.b): r.reason for r in editions.pairs(editions._profiles(_manuals(spark, rows))[0]).collect()}
+    assert got == {p: "supersession" if p == ("c", "d") else "possible" for p in itertools.combinations("abcde", 2) if p != ("a", "e")}
+
+
+def test_facts_are_told_once(spark):
+    """Families come from facts that were written down, not from texts read again."""
+    plan = editions.families(_manuals(spark, [(str(i), f"# Manual {i % 3}\nDocument ID: M-{i % 3}\n") for i in range(6)]))._jdf.queryExecution().toString()
+    assert "regexp" not in plan.lower()
+
+
+@pytest.mark.parametrize("common", [2, 64])
+def test_candidates_against_all_pairs(spark, monkeypatch, common):
+    """Titles of shared sections, common or not: the same candidates as the rule over all pairs."""
+    monkeypatch.setattr(editions, "COMMON", common)
+    rng = random.Random(4)
+    title = lambda: rng.choice(["Router guide", "Router guides", "Ruoter guide", "Switch", "Swtich", "x"]) + rng.choice(["", " 1", " 12"])
+    rows = [(f"d{i:02d}", f"# {title()}\n" + rng.choice(["", f"Product: P{rng.randint(1, 2)}\n"]) + rng.choice(["", "", f"Document ID: M-{i}\n"]) + "## Setup\n## Safety\n" + f"## S{rng.randint(1, 3)}\n") for i in range(45)]
+    docs = _manuals(spark, rows)
+    got = sorted((r.a, r.b, r.confidence) for r in editions.candidates(docs).collect())
+    p = editions._profiles(docs)[0]
+    x, y = p.select(F.col("doc_id").alias("a"), F.col("d").alias("x")), p.select(F.col("doc_id").alias("b"), F.col("d").alias("y"))
+    every = x.crossJoin(y).filter("a < b").withColumn("alike", editions._likeness("x.normalized_title", "y.normalized_title"))
+    want = every.select("a", "b", editions.related(F.col("x"), F.col("y"), F.col("alike")).alias("r")).filter("r.confidence >= 0.5 and r.confidence < 0.9")
+    assert len(got) > 20 and got == sorted((r.a, r.b, r.r.confidence) for r in want.collect())
+
+
+def test_families_are_found_once_for_several_questions(spark, sf, monkeypatch):
+    asked, plain = [], editions.complete_linkage
+    monkeypatch.setattr(editions, "complete_linkage", lambda links: asked.append(1) or plain(links))
+    assert QUERIES["l5_asked_editions"](spark, sf).count() > 0 and len(asked) == 1
+
+
 def test_few_titles_are_compared(spark, sf, monkeypatch):
     """Documents that all share their sections: the pairs whose titles are compared are no more than five times the pairs found,
     and what is found is what all pairs give."""
